@@ -267,6 +267,33 @@ def level_split_candidates(stats: DataFrame, min_bucket: int) -> DataFrame:
             .withColumn("cut", (F.col("nv") + F.col("next_nv")) / 2.0))
 
 
+def root_split_table(df: DataFrame, x_vars, offset: str, y: str, min_bucket: int = 7) -> DataFrame:
+    """Best root split per predictor as a lazy DataFrame (one row per feature).
+
+    ``cut`` for numeric predictors, ``left_levels`` (the lower-rate levels,
+    comma-joined in sorted order) for string predictors.
+    """
+    xs = resolve_cols(df, x_vars)
+    numeric = {v: isinstance(df.schema[v].dataType, T.NumericType) for v in xs}
+    base = prepare_tree_cells(df, xs, offset, y)
+    a, b = _cell_terms(F.col("__t"), F.col("__y"))
+    cells = base.select(*xs, "__t", "__y", a.alias("__a"), b.alias("__b"), F.lit(1).cast("long").alias("node"))
+    stats = level_stats(cells, xs, numeric)
+    cand = level_split_candidates(stats, min_bucket).filter(F.col("improve") > _EPS)
+    best = (cand.groupBy("f").agg(F.min(F.struct((-F.col("improve")).alias("neg"), "pos", "improve", "cut",
+                                                 "ln", "rn")).alias("w"))
+            .select("f", "w.*"))
+    ranked = stats.withColumn("rpos", F.row_number().over(_order_window()))
+    # ``best`` has one row per predictor: a bounded broadcast
+    levels = (ranked.join(F.broadcast(best.select("f", F.col("pos").alias("wpos"))), "f")
+              .filter((F.col("rpos") <= F.col("wpos")) & F.col("sv").isNotNull())
+              .groupBy("f").agg(F.array_join(F.array_sort(F.collect_list("sv")), ",").alias("left_levels")))
+    name = F.element_at(F.array(*[F.lit(v) for v in xs]), F.col("f") + 1)
+    return (best.join(levels, "f", "left")
+            .select(name.alias("feature"), "cut", "left_levels", "improve",
+                    F.col("ln").cast("long").alias("n_left"), F.col("rn").cast("long").alias("n_right")))
+
+
 def best_splits(cand: DataFrame) -> list:
     """One winner per node: highest improvement, then feature order, then position."""
     payload = F.struct(

@@ -52,6 +52,8 @@ def compare(spark_df, con, sql):
 
 
 def _py(v):
+    if isinstance(v, float) and math.isnan(v):
+        return None  # pandas turns NULL in a float column into NaN
     try:
         import pandas as pd
         if v is pd.NaT or (not isinstance(v, (str, bytes)) and pd.isna(v) and not isinstance(v, float)):

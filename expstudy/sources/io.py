@@ -135,16 +135,16 @@ def write_run_scores(scores: DataFrame, path: str) -> str:
 def read_prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test")) -> DataFrame:
     """SRC-8: recursive scan for Parquet data whose name holds every marker.
 
-    Adds ``filename`` (file name), ``dataset`` (the file name, or for Spark's
+    Adds ``filename`` (file name), ``source_name`` (the file name, or for Spark's
     ``part-*`` files the name of their dataset folder) and ``path`` from the
-    file metadata column; the markers are matched on ``dataset``.
+    file metadata column; the markers are matched on ``source_name``.
     """
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
     parts = F.split(F.col("_metadata.file_path"), "/")
     base = F.element_at(parts, -1)
     dataset = F.when(base.startswith("part-"), F.element_at(parts, -2)).otherwise(base)
-    df = df.select("*", F.col("_metadata.file_name").alias("filename"), dataset.alias("dataset"),
+    df = df.select("*", F.col("_metadata.file_name").alias("filename"), dataset.alias("source_name"),
                    F.col("_metadata.file_path").alias("path"))
     for m in must_contain:
-        df = df.filter(F.col("dataset").contains(m))
+        df = df.filter(F.col("source_name").contains(m))
     return df

@@ -95,9 +95,9 @@ def test_prediction_files(tmp_path, spark):
     for name in ("model_data_test_preds", "model_data_train_preds", "other_test"):
         pred.filter(F.col("file") == name).write.parquet(str(tmp_path / "runs" / "r1" / f"{name}.parquet"))
     df = IO.read_prediction_files(spark, str(tmp_path / "runs"))
-    names = {r["dataset"] for r in df.select("dataset").distinct().collect()}
+    names = {r["source_name"] for r in df.select("source_name").distinct().collect()}
     assert names == {"model_data_test_preds.parquet"}
-    ll = M.poisson_loglik(df, "actual", "MODEL_PRED", by=["dataset"]).first()
+    ll = M.poisson_loglik(df, "actual", "MODEL_PRED", by=["source_name"]).first()
     want = M.poisson_loglik(pred.filter(F.col("file") == "model_data_test_preds"), "actual", "MODEL_PRED").first()
     assert ll["n_rows"] == want["n_rows"] and math.isclose(ll["ll"], want["ll"], rel_tol=1e-9)
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from expstudy.functions.ranking import row_number_within
 from expstudy.operators.score import GlmModel
 
 # Output-name rules (characters not allowed in a sheet name, length cap).
@@ -146,14 +147,14 @@ def safe_names(df: DataFrame, col: str, order: str, out: str = "safe_name") -> D
     ``[]*:?/\\`` -> ``_``, trim, empty -> ``Sheet``, cut to 31 characters; a
     repeated name gets ``_1``, ``_2``, ... (in ``order``) with the base re-cut so
     the result fits 31 characters.  Works on a column of names (one row per
-    output); the window partitions by the cleaned name, so a partition holds the
-    duplicates of one name.
+    output); the duplicate index is a skew-safe row number, so a name repeated
+    on a third of the rows is still numbered across many tasks.
     """
     clean = F.trim(F.regexp_replace(F.col(col), NAME_BAD_CHARS, "_"))
     clean = F.when((clean == "") | clean.isNull(), F.lit(NAME_EMPTY)).otherwise(clean)
     base = F.substring(clean, 1, NAME_MAX)
-    d = df.withColumn("__base", base)
-    d = d.withColumn("__dup", F.row_number().over(Window.partitionBy("__base").orderBy(order)) - 1)
+    d = row_number_within(df.withColumn("__base", base), ["__base"], [order], out="__rn")
+    d = d.withColumn("__dup", F.col("__rn") - 1).drop("__rn")
     suffix = F.concat(F.lit("_"), F.col("__dup").cast("string"))
     cut = F.expr(f"substring(__base, 1, greatest(1, {NAME_MAX} - length(concat('_', cast(__dup AS string)))))")
     name = F.when(F.col("__dup") == 0, F.col("__base")).otherwise(F.concat(cut, suffix))

@@ -27,6 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from expstudy.functions.ranking import row_number_within
 from expstudy.plans.fixtures import TOOL_CREATE_DATASET, TOOL_GLM, TOOL_INFERENCE, TOOL_TREE
 from expstudy.session import reliable_checkpoint
 
@@ -132,10 +133,9 @@ def steps_by_time(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame
     """LIN-6: the steps reached from each root (JN-5 semi join) in creation order."""
     rd = root_depth(nodes)
     reached = rd if roots is None else rd.join(roots.select(F.col("node").alias("root")), "root", "left_semi")
-    full = fill_missing_steps(nodes).join(reached, "node")
-    w = Window.partitionBy("root").orderBy("created", "node")
-    return full.select("root", "node", "created", "depth", "tool_name",
-                       F.row_number().over(w).alias("step_ix"))
+    full = fill_missing_steps(nodes).join(reached, "node").select("root", "node", "created", "depth", "tool_name")
+    # one study can hold most of the log: number its steps without one task per study
+    return row_number_within(full, ["root"], ["created", "node"], out="step_ix")
 
 
 def classify_steps(branch_steps: DataFrame) -> DataFrame:

@@ -28,7 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # S1 experience
 # ---------------------------------------------------------------------------
 
-def experience(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+SPLIT_START = "1999-01-01 00:00:00"
+
+
+def experience(spark: SparkSession, sf_dir: str, dirty: bool = False, split: str | None = None) -> DataFrame:
     """One row per lineitem: predictors, ``expected`` (offset), ``actual`` (claims).
 
     The join order is chosen for scale: ``orders`` is joined to ``customer``
@@ -40,9 +43,20 @@ def experience(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFra
     ``dirty=True`` adds the NULL / zero-exposure variants used by the data
     quality operators: ``expected = 0`` on line number 7 and a missing market
     segment (NULL on even line numbers, 'UNKNOWN' on odd) when quantity is 1.
+
+    ``split='TRAIN'|'TEST'`` keeps one split with a plain range predicate on the
+    lineitem scan, which Parquet can push down (the real experience table is
+    written partitioned by observation year, where the same filter prunes
+    partitions).
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+    if split == "TRAIN":
+        li = li.filter(F.col("l_shipdate") < F.lit(SPLIT_START))
+    elif split == "TEST":
+        li = li.filter((F.col("l_shipdate") >= F.lit(SPLIT_START)) | F.col("l_shipdate").isNull())
+    elif split is not None:
+        raise ValueError("split must be TRAIN or TEST")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
@@ -68,7 +82,8 @@ def experience(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFra
         disc.cast("int").alias("discount_pct"),
         expected.cast("double").alias("expected"),
         actual.cast("double").alias("actual"),
-        F.when(year < 1999, F.lit("TRAIN")).otherwise(F.lit("TEST")).alias("dataset"),
+        # year < 1999, written as a range on the scan column
+        F.when(F.col("l_shipdate") < F.lit(SPLIT_START), F.lit("TRAIN")).otherwise(F.lit("TEST")).alias("dataset"),
     ]
     if dirty:
         cols.append(F.col("l_linenumber"))
@@ -220,9 +235,9 @@ PRED_DISCOUNT = 0.03
 PRED_BUILDING = 0.2
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
     """``experience`` plus ``MODEL_PRED`` and the prediction ``file`` name."""
-    e = experience(spark, sf_dir)
+    e = experience(spark, sf_dir, split=split)
     eta = (F.lit(PRED_INTERCEPT) + F.lit(PRED_QUANTITY) * F.col("quantity")
            + F.lit(PRED_DISCOUNT) * F.col("discount_pct")
            + F.when(F.col("c_mktsegment") == "BUILDING", F.lit(PRED_BUILDING)).otherwise(F.lit(0.0)))

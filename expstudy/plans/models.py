@@ -46,7 +46,7 @@ SPLINE = NS("quantity", [20, 35], [5, 45])
 
 
 def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.experience(spark, sf_dir).filter(F.col("dataset") == "TRAIN")
+    return X.experience(spark, sf_dir, split="TRAIN")
 
 
 def fixed_model(spark: SparkSession, sf_dir: str) -> GlmModel:

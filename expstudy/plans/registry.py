@@ -45,7 +45,7 @@ def r6(c, digits: int = 6):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the training split, then A/E by market segment and return flag."""
-    e = X.experience(spark, sf_dir).drop("dataset")
+    e = X.experience(spark, sf_dir, split="TRAIN").drop("dataset")
     e = P.add_split(e, "obs_year", cutoff=1999, label_col="dataset")
     train = P.positive_exposure(P.take_split(e, "TRAIN", "dataset"), "expected")
     c = M.cells(train, CELL_VARS, "expected", "actual", count_name="n_rows")
@@ -180,7 +180,7 @@ SELECT c_mktsegment, l_returnflag, quantity, discount_pct,
 FROM experience WHERE dataset = 'TRAIN' GROUP BY 1, 2, 3, 4
 """, experience=X.EXPERIENCE_SQL))
 def q_cells(spark, sf_dir):
-    train = P.take_split(X.experience(spark, sf_dir), "TRAIN", "dataset")
+    train = P.take_split(X.experience(spark, sf_dir, split="TRAIN"), "TRAIN", "dataset")
     c = M.cells(train, CELL_VARS, "expected", "actual", count_name="n_rows")
     return c.select(*CELL_VARS, r6("expected"), r6("actual"), F.col("n_rows").cast("bigint").alias("n_rows"))
 
@@ -267,7 +267,7 @@ def q_exposure_quality(spark, sf_dir):
 SELECT CAST(count(*) AS BIGINT) AS n_rows FROM experience WHERE dataset = 'TEST'
 """, experience=X.EXPERIENCE_SQL))
 def q_n_rows(spark, sf_dir):
-    t = P.take_split(X.experience(spark, sf_dir), "TEST", "dataset")
+    t = P.take_split(X.experience(spark, sf_dir, split="TEST"), "TEST", "dataset")
     return t.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
@@ -377,3 +377,40 @@ def q_first_per_key(spark, sf_dir):
     e = X.experience(spark, sf_dir)
     f = M.first_per(e, "c_mktsegment", ["obs_year", "quantity", "discount_pct"])
     return f
+
+
+# ---------------------------------------------------------------------------
+# PRJ-3 by year, PRJ-8, PRJ-12, PRJ-14
+# ---------------------------------------------------------------------------
+
+@register("split_by_year", X.with_views("""
+SELECT obs_year, CAST(count(*) AS BIGINT) AS n_rows, round(sum(actual), 6) AS actual
+FROM experience WHERE obs_year <= 1997 GROUP BY 1
+""", experience=X.EXPERIENCE_SQL))
+def q_split_by_year(spark, sf_dir):
+    t = P.take_split_by_year(X.experience(spark, sf_dir), "obs_year", 1997, train=True)
+    return t.groupBy("obs_year").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), r6(F.sum("actual")).alias("actual"))
+
+
+@register("upper_columns", X.with_views("""
+SELECT c_mktsegment AS C_MKTSEGMENT, dataset AS DATASET, round(sum(actual), 6) AS ACTUAL_SUM,
+       round(sum(expected), 6) AS EXPECTED_SUM
+FROM experience GROUP BY 1, 2
+""", experience=X.EXPERIENCE_SQL))
+def q_upper_columns(spark, sf_dir):
+    u = P.upper_columns(X.experience(spark, sf_dir))
+    a = M.ae(u, "actual", "EXPECTED", by=["c_mktsegment", "dataset"])  # names resolve case-insensitively
+    return a.select("C_MKTSEGMENT", "DATASET", r6("actual").alias("ACTUAL_SUM"), r6("expected").alias("EXPECTED_SUM"))
+
+
+@register("drop_constant_columns", X.with_views("""
+SELECT c_mktsegment, o_orderpriority, CAST(count(*) AS BIGINT) AS n_rows,
+       round(sum(actual), 6) AS claims
+FROM experience WHERE l_returnflag = 'R' AND dataset = 'TRAIN' GROUP BY 1, 2
+""", experience=X.EXPERIENCE_SQL))
+def q_drop_constant_columns(spark, sf_dir):
+    e = P.segment(X.experience(spark, sf_dir, split="TRAIN"), equals={"l_returnflag": "R"})
+    kept = P.drop_constant_columns(e, ["l_returnflag", "dataset", "expected", "c_mktsegment", "o_orderpriority"])
+    keys = [c for c in ["l_returnflag", "dataset", "expected", "c_mktsegment", "o_orderpriority"] if c in kept.columns]
+    out = kept.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.sum("actual").alias("actual"))
+    return P.rename_measures(out.withColumn("actual", r6("actual")), {"actual": "claims"})

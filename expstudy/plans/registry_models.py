@@ -223,7 +223,7 @@ def q_tree_nodes(spark, sf_dir):
 
 @register("residual_tree", None)
 def q_residual_tree(spark, sf_dir):
-    pred = X.predictions(spark, sf_dir).filter(F.col("dataset") == "TRAIN")
+    pred = X.predictions(spark, sf_dir, split="TRAIN")
     return TR.poisson_tree(pred, TREE_VARS, "MODEL_PRED", "actual", max_depth=3, cp=0.001).leaves_df(spark)
 
 
@@ -281,7 +281,7 @@ def q_factor_table_fitted(spark, sf_dir):
 def q_score_fitted_test(spark, sf_dir):
     """Fitted model on the held-out split: A/E and Poisson log-likelihood by segment."""
     model = MD.fitted(spark, sf_dir).model
-    test = X.experience(spark, sf_dir).filter(F.col("dataset") == "TEST")
+    test = X.experience(spark, sf_dir, split="TEST")
     scored = model.score(test)
     cells = M.cells(scored, ["c_mktsegment", "quantity"], "MODEL_PRED", "actual")
     ll = M.poisson_loglik(cells, "actual", "MODEL_PRED", by=["c_mktsegment"])

@@ -176,6 +176,14 @@ def learn_recipe(cells: DataFrame, x_vars: Sequence[str], factor_defaults: Mappi
     for v in x_vars:
         dt = cells.schema[resolve_col(cells, v)].dataType
         (strings if isinstance(dt, T.StringType) else numerics).append(v)
+    if strings:
+        # guard first with a fixed-size sketch, so a high-cardinality column fails
+        # before any executor builds a large distinct set
+        approx = cells.agg(*[F.approx_count_distinct(resolve_col(cells, v), 0.05).alias(f"a{i}")
+                             for i, v in enumerate(strings)]).first()
+        for i, v in enumerate(strings):
+            if approx[f"a{i}"] > 2 * max_levels:
+                raise ValueError(f"Error: {v} has more than {max_levels} levels")
     aggs = []
     for i, v in enumerate(strings):
         s = F.collect_set(resolve_col(cells, v))

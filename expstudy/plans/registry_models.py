@@ -460,3 +460,87 @@ def q_export_capped(spark, sf_dir):
     t = flag.first()["truncated"]
     return (head.groupBy("dataset").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), r6(F.sum("actual")).alias("actual"))
             .withColumn("truncated", F.lit(bool(t))))
+
+
+def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, cp: float = 0.001) -> str:
+    """Greedy Poisson-tree growth unrolled level by level in SQL (no pruning step).
+
+    Independent of the Spark code path: per level it ranks candidate cuts per
+    (node, feature) with window running sums and routes every cell to its child.
+    """
+    feats = [("c_mktsegment", False), ("l_returnflag", False), ("quantity", True), ("discount_pct", True)]
+    ctes = {
+        "experience": X.EXPERIENCE_SQL,
+        "cells": """SELECT c_mktsegment, l_returnflag, quantity, discount_pct, sum(expected) AS t, sum(actual) AS y
+                    FROM experience WHERE dataset = 'TRAIN' GROUP BY 1, 2, 3, 4""",
+        "a0": "SELECT *, CAST(1 AS BIGINT) AS node FROM cells",
+        "root": "SELECT sum(y) / sum(t) AS rate FROM cells",
+    }
+
+    def nstats(a):
+        return f"""SELECT node, count(*) AS n, sum(y) AS Y, sum(t) AS T,
+                   sum(CASE WHEN y > 0 THEN y * ln(y) ELSE 0 END) AS A,
+                   sum(CASE WHEN y > 0 AND t > 0 THEN y * ln(t) ELSE 0 END) AS B
+                   FROM {a} GROUP BY node"""
+
+    def dev(s):
+        return f"""SELECT s.*, (1 + Y) / (1 / root.rate + T) AS lam,
+                   2 * (A - B - CASE WHEN Y > 0 THEN Y * ln((1 + Y) / (1 / root.rate + T)) ELSE 0 END
+                        - Y + (1 + Y) / (1 / root.rate + T) * T) AS dev
+                   FROM {s} s, root"""
+
+    ctes["ns0"] = nstats("a0")
+    ctes["nd0"] = dev("ns0")
+    ctes["rootdev"] = "SELECT dev AS d FROM nd0 WHERE node = 1"
+    val = "CASE b.f " + " ".join(
+        f"WHEN {i} THEN {'NULL' if num else 'a.' + name}" for i, (name, num) in enumerate(feats)) + " END"
+    nval = "CASE b.f " + " ".join(
+        f"WHEN {i} THEN {'CAST(a.' + name + ' AS DOUBLE)' if num else 'NULL'}" for i, (name, num) in enumerate(feats)) + " END"
+    for k in range(depth):
+        a, nxt = f"a{k}", f"a{k + 1}"
+        if k > 0:
+            ctes[f"ns{k}"] = nstats(a)
+            ctes[f"nd{k}"] = dev(f"ns{k}")
+        ctes[f"act{k}"] = (f"SELECT node FROM nd{k}, rootdev WHERE node >= {2 ** k} AND n >= {min_split} "
+                           f"AND dev > {cp} * rootdev.d")
+        ctes[f"lng{k}"] = " UNION ALL ".join(
+            f"SELECT node, {i} AS f, {'CAST(' + name + ' AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS nv, "
+            f"{'CAST(NULL AS VARCHAR)' if num else name} AS sv, t, y FROM {a} WHERE node IN (SELECT node FROM act{k})"
+            for i, (name, num) in enumerate(feats))
+        ctes[f"st{k}"] = (f"SELECT node, f, nv, sv, sum(t) AS t, sum(y) AS y, count(*) AS n, "
+                          f"coalesce(nv, CASE WHEN sum(t) > 0 THEN sum(y) / sum(t) ELSE 'Infinity'::DOUBLE END) AS ord "
+                          f"FROM lng{k} WHERE nv IS NOT NULL OR sv IS NOT NULL GROUP BY 1, 2, 3, 4")
+        ctes[f"run{k}"] = f"""SELECT node, f, nv, sv, row_number() OVER w AS pos, lead(nv) OVER w AS next_nv,
+               sum(t) OVER wr AS lt, sum(y) OVER wr AS ly, sum(n) OVER wr AS ln,
+               sum(t) OVER wa AS st, sum(y) OVER wa AS sy, sum(n) OVER wa AS sn
+            FROM st{k}
+            WINDOW w AS (PARTITION BY node, f ORDER BY ord, sv),
+                   wr AS (PARTITION BY node, f ORDER BY ord, sv ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                   wa AS (PARTITION BY node, f)"""
+        ctes[f"cand{k}"] = (f"SELECT *, {_ylogy('ly', 'lt')} + {_ylogy('sy - ly', 'st - lt')} - {_ylogy('sy', 'st')} AS imp, "
+                            f"(nv + next_nv) / 2.0 AS cut, "
+                            f"CASE WHEN lt > 0 THEN ly / lt ELSE 'Infinity'::DOUBLE END <= "
+                            f"CASE WHEN st - lt > 0 THEN (sy - ly) / (st - lt) ELSE 'Infinity'::DOUBLE END AS lower_first "
+                            f"FROM run{k} WHERE ln >= {min_bucket} AND sn - ln >= {min_bucket}")
+        ctes[f"best{k}"] = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY imp DESC, f, pos) AS rk "
+                            f"FROM cand{k} WHERE imp > 1e-12) r WHERE rk = 1")
+        ctes[f"lv{k}"] = (f"SELECT r.node, r.sv FROM run{k} r JOIN best{k} b ON r.node = b.node AND r.f = b.f "
+                          f"WHERE r.pos <= b.pos AND r.sv IS NOT NULL")
+        in_prefix = (f"(CASE WHEN {nval} IS NOT NULL THEN {nval} < b.cut "
+                     f"ELSE EXISTS (SELECT 1 FROM lv{k} l WHERE l.node = a.node AND l.sv = {val}) END)")
+        ctes[nxt] = (f"SELECT a.c_mktsegment, a.l_returnflag, a.quantity, a.discount_pct, a.t, a.y, "
+                     f"CASE WHEN b.node IS NULL THEN a.node "
+                     f"WHEN {in_prefix} = b.lower_first THEN 2 * a.node ELSE 2 * a.node + 1 END AS node "
+                     f"FROM {a} a LEFT JOIN best{k} b ON a.node = b.node")
+    ctes["leaves"] = dev(f"({nstats(f'a{depth}')})")
+    body = """SELECT CAST(node AS BIGINT) AS leaf, CAST(n AS BIGINT) AS n, round(Y, 6) AS events, round(T, 6) AS exposure,
+                     round(lam, 6) AS rate, round(Y / T, 6) AS ae
+              FROM leaves"""
+    return X.with_views(body, **ctes)
+
+
+@register("tree_leaf_stats", _tree_oracle_sql())
+def q_tree_leaf_stats(spark, sf_dir):
+    """Leaves of the depth-3 training tree: cells, events, exposure, shrunk rate, A/E."""
+    leaves = _train_tree(spark, sf_dir).leaves_df(spark)
+    return leaves.select("leaf", "n", r6("events"), r6("exposure"), r6("rate"), r6("ae"))

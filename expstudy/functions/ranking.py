@@ -32,10 +32,55 @@ def row_number_within(df: DataFrame, by: Sequence[str], order: Sequence[str], ou
     before = (Window.partitionBy(*by).orderBy("__piece")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.withColumn("__off", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    l, r = local.alias("__l"), offsets.alias("__r")
-    cond = F.col("__l.__piece") == F.col("__r.__piece")
-    for c in by:  # NULL group keys form a group too
-        cond = cond & F.col(f"__l.{c}").eqNullSafe(F.col(f"__r.{c}"))
-    return (l.join(r, cond)
-            .select(*[F.col(f"__l.{c}") for c in df.columns],
-                    (F.col("__r.__off") + F.col("__l.__rn")).cast("int").alias(out)))
+    joined = _join_pieces(local, offsets, by)
+    return joined.select(*df.columns, (F.col("__off") + F.col("__rn")).cast("int").alias(out))
+
+
+def _join_pieces(local: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join per-piece offsets back by (piece, group); NULL group keys match each other."""
+    renamed = offsets.withColumnRenamed("__piece", "__piece_r")
+    for i, c in enumerate(by):
+        renamed = renamed.withColumnRenamed(c, f"__by_r{i}")
+    cond = F.col("__piece") == F.col("__piece_r")
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__by_r{i}"))
+    return local.join(renamed, cond)
+
+
+def running_sums_within(df: DataFrame, by: Sequence[str], order: Sequence[str], measures: Sequence[str],
+                        next_of: str | None = None, pos: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """Running sums (``cum_<m>``), 1-based position and the next row's ``next_of``
+    within each group of ``by`` in ``order`` - without one task per group.
+
+    Same piece/offset scheme as ``row_number_within``: range pieces are summed
+    locally, shifted by the totals of the group's earlier pieces, and the last
+    row of a piece takes its "next" value from the first row of the next piece.
+    ``order`` must be unique within a group.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(by) + list(order)
+    tagged = df.repartitionByRange(n, *keys).withColumn("__piece", F.spark_partition_id())
+    w = Window.partitionBy("__piece", *by).orderBy(*order)
+    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = [F.row_number().over(w).alias("__rn")] + [F.sum(m).over(wr).alias(f"__c_{m}") for m in measures]
+    if next_of:
+        cols.append(F.lead(next_of).over(w).alias("__next"))
+    local = tagged.select("*", *cols)
+    piece_aggs = [F.max("__rn").alias("__size")] + [F.sum(m).alias(f"__p_{m}") for m in measures]
+    if next_of:
+        piece_aggs.append(F.min_by(next_of, F.struct(*order)).alias("__first"))
+    pieces = local.groupBy("__piece", *by).agg(*piece_aggs)
+    wp = Window.partitionBy(*by).orderBy("__piece")
+    before = wp.rowsBetween(Window.unboundedPreceding, -1)
+    off_cols = [F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__o_rows")]
+    off_cols += [F.coalesce(F.sum(f"__p_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures]
+    if next_of:
+        off_cols.append(F.lead("__first").over(wp).alias("__next_piece"))
+    offsets = pieces.select("__piece", *by, *off_cols)
+    out = list(df.columns)
+    out.append((F.col("__o_rows") + F.col("__rn")).cast("int").alias(pos))
+    out += [(F.col(f"__o_{m}") + F.col(f"__c_{m}")).alias(f"cum_{m}") for m in measures]
+    if next_of:
+        out.append(F.coalesce(F.col("__next"), F.col("__next_piece")).alias(f"next_{next_of}"))
+    return _join_pieces(local, offsets, by).select(*out)

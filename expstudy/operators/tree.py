@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from expstudy.functions.ranking import running_sums_within
 from expstudy.schema import resolve_col, resolve_cols
 from expstudy.session import reliable_checkpoint
 
@@ -47,6 +48,8 @@ MAX_TREE_DEPTH = 4
 MIN_CP = 0.0001
 DEFAULT_MIN_SPLIT = 20
 PRIOR_CV = 1.0
+# distinct values per (node, feature) above which running sums leave plain windows
+WINDOW_LIMIT = 1_000_000
 
 _EPS = 1e-12
 
@@ -246,27 +249,54 @@ def _order_window():
     return Window.partitionBy("node", "f").orderBy("ord", "sv")
 
 
-def level_split_candidates(stats: DataFrame, min_bucket: int) -> DataFrame:
-    """All admissible splits (one row per node, feature and cut position)."""
-    w_order = _order_window()
-    w_run = w_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = w_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = stats.select(
-        "node", "f", "nv", "sv", "ord",
-        F.lead("nv").over(w_order).alias("next_nv"),
-        F.row_number().over(w_order).alias("pos"),
-        *[F.sum(m).over(w_run).alias(f"l{m}") for m in ("t", "y", "n", "a", "b")],
-        *[F.sum(m).over(w_all).alias(f"s{m}") for m in ("t", "y", "n", "a", "b")],
-    )
+def level_split_candidates(stats: DataFrame, min_bucket: int, window_limit: int | None = None) -> DataFrame:
+    """All admissible splits (one row per node, feature and cut position).
+
+    Per-(node, feature) totals come from a small aggregate (at most
+    2^depth x features rows, collected and broadcast).  Its distinct-value
+    counts are the size check for the running sums: up to ``window_limit``
+    values per group a plain window is used; above it, range-partitioned
+    running sums, so no task holds all values of one feature.
+    """
+    limit = WINDOW_LIMIT if window_limit is None else window_limit
+    spark = stats.sparkSession
+    tot = (stats.groupBy("node", "f")
+           .agg(*[F.sum(m).alias(f"s{m}") for m in ("t", "y", "n", "a", "b")], F.count(F.lit(1)).alias("n_values"))
+           .collect())
+    if not tot:
+        return None
+    tot_df = spark.createDataFrame(tot, "node long, f int, st double, sy double, sn long, sa double, sb double, "
+                                        "n_values long")
+    if max(r["n_values"] for r in tot) <= limit:
+        w_order = _order_window()
+        w_run = w_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = stats.select(
+            "node", "f", "nv", "sv", "ord",
+            F.lead("nv").over(w_order).alias("next_nv"),
+            F.row_number().over(w_order).alias("pos"),
+            *[F.sum(m).over(w_run).alias(f"l{m}") for m in ("t", "y", "n", "a", "b")])
+    else:
+        run = running_sums_within(stats, ["node", "f"], ["ord", "sv"], ["t", "y", "n", "a", "b"], next_of="nv")
+        run = run.select("node", "f", "nv", "sv", "ord", "next_nv", "pos",
+                         *[F.col(f"cum_{m}").alias(f"l{m}") for m in ("t", "y", "n", "a", "b")])
+    run = run.join(F.broadcast(tot_df.drop("n_values")), ["node", "f"])
     for m in ("t", "y", "n", "a", "b"):
         run = run.withColumn(f"r{m}", F.col(f"s{m}") - F.col(f"l{m}"))
     improve = (_ylogy_over_t(F.col("ly"), F.col("lt")) + _ylogy_over_t(F.col("ry"), F.col("rt"))
                - _ylogy_over_t(F.col("sy"), F.col("st")))
-    return (run.filter((F.col("ln") >= min_bucket) & (F.col("rn") >= min_bucket))
+    return (run.withColumn("admissible", (F.col("ln") >= min_bucket) & (F.col("rn") >= min_bucket))
             .withColumn("improve", improve)
             .withColumn("cut", (F.col("nv") + F.col("next_nv")) / 2.0))
 
 
+def _left_level_sets(run: DataFrame, winners: DataFrame, key: str) -> DataFrame:
+    """Per winner: the prefix levels (positions <= the winning position) and all levels."""
+    j = run.filter(F.col("sv").isNotNull()).join(F.broadcast(winners), [key, "f"] if key == "node" else ["f"])
+    return j.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos") <= F.col("wpos"), F.col("sv")))).alias("low"),
+        F.array_sort(F.collect_list("sv")).alias("all"))
+
+
 def root_split_table(df: DataFrame, x_vars, offset: str, y: str, min_bucket: int = 7) -> DataFrame:
     """Best root split per predictor as a lazy DataFrame (one row per feature).
 
@@ -278,24 +308,26 @@ def root_split_table(df: DataFrame, x_vars, offset: str, y: str, min_bucket: int
     base = prepare_tree_cells(df, xs, offset, y)
     a, b = _cell_terms(F.col("__t"), F.col("__y"))
     cells = base.select(*xs, "__t", "__y", a.alias("__a"), b.alias("__b"), F.lit(1).cast("long").alias("node"))
-    stats = level_stats(cells, xs, numeric)
-    cand = level_split_candidates(stats, min_bucket).filter(F.col("improve") > _EPS)
+    stats = level_stats(cells, xs, numeric).persist()
+    run = level_split_candidates(stats, min_bucket)
+    cand = run.filter(F.col("admissible") & (F.col("improve") > _EPS))
     best = (cand.groupBy("f").agg(F.min(F.struct((-F.col("improve")).alias("neg"), "pos", "improve", "cut",
                                                  "ln", "rn")).alias("w"))
             .select("f", "w.*"))
-    ranked = stats.withColumn("rpos", F.row_number().over(_order_window()))
     # ``best`` has one row per predictor: a bounded broadcast
-    levels = (ranked.join(F.broadcast(best.select("f", F.col("pos").alias("wpos"))), "f")
-              .filter((F.col("rpos") <= F.col("wpos")) & F.col("sv").isNotNull())
-              .groupBy("f").agg(F.array_join(F.array_sort(F.collect_list("sv")), ",").alias("left_levels")))
+    levels = (_left_level_sets(run, best.select("f", F.col("pos").alias("wpos")), "f")
+              .select("f", F.array_join("low", ",").alias("left_levels")))
     name = F.element_at(F.array(*[F.lit(v) for v in xs]), F.col("f") + 1)
     return (best.join(levels, "f", "left")
             .select(name.alias("feature"), "cut", "left_levels", "improve",
                     F.col("ln").cast("long").alias("n_left"), F.col("rn").cast("long").alias("n_right")))
 
 
-def best_splits(cand: DataFrame) -> list:
+def best_splits(run: DataFrame | None) -> list:
     """One winner per node: highest improvement, then feature order, then position."""
+    if run is None:
+        return []
+    cand = run.filter(F.col("admissible"))
     payload = F.struct(
         (-F.col("improve")).alias("neg"), F.col("f"), F.col("pos"), F.col("improve"), F.col("cut"),
         F.col("ord"), *[F.col(f"{s}{m}") for s in ("l", "r") for m in ("t", "y", "n", "a", "b")])
@@ -305,7 +337,7 @@ def best_splits(cand: DataFrame) -> list:
 
 def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3, cp: float = 0.001,
                  min_split: int = DEFAULT_MIN_SPLIT, min_bucket: int | None = None,
-                 checkpoint: bool = True) -> PoissonTree:
+                 checkpoint: bool = True, window_limit: int | None = None) -> PoissonTree:
     """MOD-15: grow and prune a Poisson tree on the cells of ``df``."""
     min_bucket = int(round(min_split / 3)) if min_bucket is None else min_bucket
     xs = resolve_cols(df, x_vars)
@@ -333,9 +365,13 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
         if not active:
             break
         stats = level_stats(current, xs, numeric, active).persist()
-        winners = best_splits(level_split_candidates(stats, min_bucket))
+        run = level_split_candidates(stats, min_bucket, window_limit)
+        run = run.persist() if run is not None else None
+        winners = best_splits(run)
         if not winners:
             stats.unpersist()
+            if run is not None:
+                run.unpersist()
             break
         new_frontier = []
         str_winners = []
@@ -366,8 +402,9 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
             grown[k] = sp
             new_frontier += [2 * k, 2 * k + 1]
         if str_winners:
-            _fill_left_levels(stats, grown, str_winners)
+            _fill_left_levels(run, grown, str_winners)
         stats.unpersist()
+        run.unpersist()
         # assign children: one generated CASE over the winners of this level
         expr = F.col("node")
         case = None
@@ -401,22 +438,15 @@ def _add_missing(cells: DataFrame, k: int, feat: str, child: NodeStats) -> None:
     child.s_ylnt += float(r["b"] or 0)
 
 
-def _fill_left_levels(stats: DataFrame, grown, str_winners) -> None:
-    """Left-level sets of string splits from the same per-level statistics.
+def _fill_left_levels(run: DataFrame, grown, str_winners) -> None:
+    """Left-level sets of string splits from the same persisted candidate frame.
 
-    The order (rate, level) is total, so positions match the candidate pass;
-    the result is bounded by the number of levels of the winning features.
+    Bounded by the number of levels of the winning features.
     """
-    spark = stats.sparkSession
-    win = spark.createDataFrame([(k, f, p) for k, f, _, p in str_winners], "node long, f int, wpos int")
+    spark = run.sparkSession
     # the winner table has at most 2^depth rows: a bounded broadcast
-    lv = (stats.join(F.broadcast(win), ["node", "f"])
-          .withColumn("pos", F.row_number().over(_order_window())))
-    rows = (lv.groupBy("node")
-            .agg(F.collect_list(F.when(F.col("pos") <= F.col("wpos"), F.col("sv"))).alias("low"),
-                 F.collect_list("sv").alias("all"))
-            .collect())
-    for r in rows:
+    win = spark.createDataFrame([(k, f, p) for k, f, _, p in str_winners], "node long, f int, wpos int")
+    for r in _left_level_sets(run, win, "node").collect():
         k = int(r["node"])
         sp = grown[k]
         low = set(r["low"])

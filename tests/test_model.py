@@ -283,3 +283,13 @@ def test_factor_tables_reproduce_score(spark, small_fit):
                                 "c_mktsegment string, l_returnflag string, quantity double, discount_pct double, expected double")
     pred = row.select(model.predict(row)).first()[0]
     assert math.isclose(pred, math.exp(total), rel_tol=1e-9)
+
+
+def test_tree_range_partitioned_running_sums_match_windows(spark):
+    """The large-group path (range pieces + offsets) grows the same tree as plain windows."""
+    train = MD.train_rows(spark, SF001)
+    a = TR.poisson_tree(train, MD.X_VARS, "expected", "actual", max_depth=3, cp=0.0001, min_split=10)
+    b = TR.poisson_tree(train, MD.X_VARS, "expected", "actual", max_depth=3, cp=0.0001, min_split=10, window_limit=0)
+    assert [tuple(r) for r in a.leaves_df(spark).collect()] == [tuple(r) for r in b.leaves_df(spark).collect()]
+    assert {k: (s.feature, s.cut, tuple(s.left_levels)) for k, s in a.splits.items()} == \
+           {k: (s.feature, s.cut, tuple(s.left_levels)) for k, s in b.splits.items()}

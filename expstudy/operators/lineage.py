@@ -64,21 +64,27 @@ def root_depth(nodes: DataFrame, node: str = "node", parent: str = "parent", max
                        F.col(parent).isNull().alias("done"))
     cur = reliable_checkpoint(cur)
     rounds = int(math.ceil(math.log2(max(max_depth, 2)))) + 1
+    pending = cur.filter(~F.col("done")).limit(1).count()
     for _ in range(rounds + 1):
-        if cur.filter(~F.col("done")).limit(1).count() == 0:
+        if not pending:
             return cur.select("node", F.col("anc").alias("root"), F.col("dist").alias("depth"))
         a, b = cur.alias("a"), cur.alias("b")
         j = a.join(b, F.col("a.anc") == F.col("b.node"), "left")
-        missing = j.filter(F.col("b.node").isNull()).limit(1).collect()
-        if missing:
-            raise ValueError("malformed lineage: a parent pointer names no node")
         cur = reliable_checkpoint(j.select(
             F.col("a.node").alias("node"),
             F.when(F.col("a.done"), F.col("a.anc")).otherwise(F.col("b.anc")).alias("anc"),
             F.when(F.col("a.done"), F.col("a.dist")).otherwise(F.col("a.dist") + F.col("b.dist")).alias("dist"),
-            (F.col("a.done") | F.col("b.done")).alias("done")))
-        if cur.filter(F.col("dist") > max_depth).limit(1).count():
+            (F.col("a.done") | F.coalesce(F.col("b.done"), F.lit(False))).alias("done"),
+            (~F.col("a.done") & F.col("b.node").isNull()).alias("broken")))
+        # one job per round for all checks: dangling pointer, unfinished nodes, depth cap
+        flags = cur.agg(F.max(F.col("broken").cast("int")).alias("broken"),
+                        F.count_if(~F.col("done")).alias("pending"), F.max("dist").alias("deepest")).first()
+        if flags["broken"]:
+            raise ValueError("malformed lineage: a parent pointer names no node")
+        if flags["deepest"] is not None and flags["deepest"] > max_depth:
             raise ValueError("Max depth reached while scanning for root")
+        pending = flags["pending"]
+        cur = cur.drop("broken")
     raise ValueError("Max depth reached while scanning for root")
 
 

@@ -15,7 +15,7 @@ term, otherwise by all levels; and, with no intercept, the first factor of the
 first term that has one gets all levels.
 
 The recipe (levels of string predictors, clip ranges of numeric predictors)
-is learned in one aggregate job over the training cells.  Every basis column is
+is learned by aggregate jobs over the training cells.  Every basis column is
 a Spark ``Column``; the design row is ``array(col_1, ..., col_p)``.
 """
 
@@ -162,7 +162,7 @@ def check_factors(df: DataFrame, x_vars: Sequence[str], declared: Mapping[str, s
 
 def learn_recipe(cells: DataFrame, x_vars: Sequence[str], factor_defaults: Mapping[str, str] | None = None,
                  clip: Mapping[str, tuple] | None = None, max_levels: int = MAX_LEVELS) -> Recipe:
-    """MOD-2 + MOD-4 in one aggregate job over the cells.
+    """MOD-2 + MOD-4 over the cells: a distinct-count sketch guard, then one aggregate job.
 
     String predictors: more than ``max_levels`` distinct values is an error; the
     level order is the default level first (even if absent from the data), then
@@ -266,6 +266,15 @@ class Design:
             cond = cond & F.coalesce(col.isin(list(self.recipe.levels[v])), F.lit(False))
         return cond
 
+    def terms_by_variable(self) -> dict[str, list[str]]:
+        """MOD-26: variable -> labels of the terms that use it."""
+        out: dict[str, list[str]] = {v: [] for v in self.variables}
+        for t in self.terms:
+            for comp in t.components:
+                if t.label() not in out[comp.var]:
+                    out[comp.var].append(t.label())
+        return out
+
     def term_map(self) -> list[tuple[str, str, str]]:
         """MOD-20: (term_name, term_group, vars_in_group) per design column."""
         out = []

@@ -239,3 +239,36 @@ def test_streaming_scoring_matches_batch(tmp_path, spark):
     got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("MODEL_PRED")).first()[0]
     want = model.score(src).agg(F.sum("MODEL_PRED")).first()[0]
     assert math.isclose(got, want, rel_tol=1e-12)
+
+
+def test_model_outputs_written(tmp_path, spark):
+    from expstudy.operators.design import validate_model_view
+    from expstudy.operators.factors import coefficient_table, factor_tables_long, overview, term_map_df
+
+    model = MD.fixed_model(spark, SF001)
+    long = factor_tables_long(model, spark)
+    out = IO.write_factor_tables(long, str(tmp_path / "factors"))
+    back = spark.read.parquet(out)
+    assert {r[0] for r in back.select("term_group").distinct().collect()} == \
+           {g for _, g, _ in model.design.term_map()}
+    scored = model.score(X.experience(spark, SF001))
+    IO.write_scored(scored, str(tmp_path), "scored")
+    with pytest.raises(FileExistsError):
+        IO.write_scored(scored, str(tmp_path), "scored")
+    ll = M.poisson_loglik(scored.withColumn("file", F.lit("run1")), "actual", "MODEL_PRED", by=["file"])
+    IO.write_run_scores(ll.coalesce(1), str(tmp_path / "scores"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "scores")).columns == ["file", "ll", "n_rows"]
+    assert coefficient_table(model, spark).count() == len(model.design.names) + 1
+    assert term_map_df(model, spark).count() == len(model.design.names)
+    assert overview(model, spark).count() == 3
+    assert model.design.terms_by_variable()["discount_pct"] == ["discount_pct", "l_returnflag:discount_pct"]
+    preds = validate_model_view(X.experience(spark, SF001), "actual", "EXPECTED", split_col="dataset")
+    assert "actual" not in preds and "expected" not in preds and "quantity" in preds
+    with pytest.raises(ValueError):
+        validate_model_view(X.experience(spark, SF001), "actual", "actual", split_col="dataset")
+
+
+def test_order_by_nulls(spark):
+    df = spark.createDataFrame([(1,), (None,), (3,)], "x int")
+    assert [r[0] for r in LM.order_by(df, ["x"], nulls="last").collect()] == [1, 3, None]
+    assert [r[0] for r in LM.order_by(df, ["x"], descending=True, nulls="first").collect()] == [None, 3, 1]

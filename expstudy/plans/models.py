@@ -9,7 +9,6 @@ distributed lasso.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from expstudy.operators import measures as M
 from expstudy.operators.design import NS, Interact, Main, build_design, learn_recipe

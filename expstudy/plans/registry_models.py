@@ -15,7 +15,6 @@ from expstudy.plans import models as MD
 from expstudy.plans.registry import register, r6
 from expstudy.sources import io as IO
 
-EXP = {"experience": X.EXPERIENCE_SQL}
 
 # ---------------------------------------------------------------------------
 # Design and scoring with the fixed-coefficient model (MOD-2, 3, 5, 7, 8, 12)

@@ -272,3 +272,59 @@ def test_order_by_nulls(spark):
     df = spark.createDataFrame([(1,), (None,), (3,)], "x int")
     assert [r[0] for r in LM.order_by(df, ["x"], nulls="last").collect()] == [1, 3, None]
     assert [r[0] for r in LM.order_by(df, ["x"], descending=True, nulls="first").collect()] == [None, 3, 1]
+
+
+# The 30-period cash flow of the reference's present-value example
+# (t, amount, one-year rate at t) and its exact present value.
+PV_EXAMPLE = """
+1,900,0.05
+2,944,0.04
+3,580,0.03
+4,946,0.05
+5,689,0.01
+6,996,0.01
+7,850,0.05
+8,796,0.01
+9,919,0.03
+10,652,0.03
+11,881,0.03
+12,767,0.05
+13,689,0.05
+14,864,0.03
+15,844,0.02
+16,987,0.02
+17,762,0.04
+18,937,0.01
+19,816,0.04
+20,538,0.02
+21,516,0.01
+22,592,0.05
+23,799,0.05
+24,814,0.02
+25,555,0.01
+26,997,0.04
+27,528,0.01
+28,673,0.01
+29,699,0.01
+30,978,0.04"""
+PV_EXAMPLE_VALUE = 15259.867327641188
+
+
+def test_present_value_reference_example(spark):
+    rows = [(1, int(t), float(a), float(r)) for t, a, r in (ln.split(",") for ln in PV_EXAMPLE.strip().splitlines())]
+    cf = spark.createDataFrame(rows, "portfolio_id int, t int, amt double, rate double")
+    pv = M.present_value(cf).first()["pv"]
+    assert math.isclose(pv, PV_EXAMPLE_VALUE, rel_tol=1e-12)
+
+
+# The 20 recorded present-value answers of the reference, in file order.
+PV_ANSWERS = [15241.68, 15256.94, 15252.649959611723, 15258.16, 15251.52, 15260.29, 15255.93,
+              15257.524024142856, 15251.323715, 15258.2016860718, 15254.587839428572, 15258.85, 15252.43,
+              15254.43, 15265.91, 15234.3, 15259.86, 15243.48, 15256.22, 15251.655042142856]
+
+
+def test_spread_of_recorded_answers(spark):
+    df = spark.createDataFrame([(v,) for v in PV_ANSWERS], "pv double")
+    r = M.spread(df, "pv").first()
+    assert r["n"] == 20 and r["min"] == 15234.3 and r["max"] == 15265.91
+    assert round(r["mean"], 3) == 15253.797 and round(r["sd_pop"], 3) == 6.990

@@ -13,7 +13,6 @@ from expstudy.operators import measures as M
 from expstudy.operators import tree as TR
 from expstudy.operators.design import NS, Cross, Interact, Main, Recipe, build_design, learn_recipe
 from expstudy.operators.score import GlmModel
-from expstudy.plans import fixtures as X
 from expstudy.plans import models as MD
 
 

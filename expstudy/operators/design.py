@@ -176,6 +176,15 @@ def learn_recipe(cells: DataFrame, x_vars: Sequence[str], factor_defaults: Mappi
     for v in x_vars:
         dt = cells.schema[resolve_col(cells, v)].dataType
         (strings if isinstance(dt, T.StringType) else numerics).append(v)
+    # two passes over the (aggregated, small) cells: keep them for the second
+    cells = cells.persist()
+    try:
+        return _learn(cells, strings, numerics, factor_defaults, clip, max_levels)
+    finally:
+        cells.unpersist()
+
+
+def _learn(cells, strings, numerics, factor_defaults, clip, max_levels) -> Recipe:
     if strings:
         # guard first with a fixed-size sketch, so a high-cardinality column fails
         # before any executor builds a large distinct set

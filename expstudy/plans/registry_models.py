@@ -278,14 +278,20 @@ def q_factor_table_fitted(spark, sf_dir):
 
 @register("score_fitted_test", None)
 def q_score_fitted_test(spark, sf_dir):
-    """Fitted model on the held-out split: A/E and Poisson log-likelihood by segment."""
+    """Fitted model on the held-out split: A/E and Poisson log-likelihood by segment.
+
+    Both come from one aggregation over (segment, quantity) cells of the scored rows.
+    """
+    from expstudy.functions.expr import poisson_logpmf
+
     model = MD.fitted(spark, sf_dir).model
-    test = X.experience(spark, sf_dir, split="TEST")
-    scored = model.score(test)
+    scored = model.score(X.experience(spark, sf_dir, split="TEST"))
     cells = M.cells(scored, ["c_mktsegment", "quantity"], "MODEL_PRED", "actual")
-    ll = M.poisson_loglik(cells, "actual", "MODEL_PRED", by=["c_mktsegment"])
-    ae = M.ae(scored, "actual", "MODEL_PRED", by=["c_mktsegment"])
-    return ae.join(ll, "c_mktsegment").select("c_mktsegment", r6("actual"), r6("expected"), r6("ae"), r6("ll", 4))
+    out = cells.groupBy("c_mktsegment").agg(
+        F.sum("actual").alias("actual"), F.sum("MODEL_PRED").alias("expected"),
+        F.sum(poisson_logpmf(F.col("actual"), F.col("MODEL_PRED"))).alias("ll"))
+    return out.select("c_mktsegment", r6("actual"), r6("expected"),
+                      r6(F.col("actual") / F.col("expected")).alias("ae"), r6("ll", 4))
 
 
 # ---------------------------------------------------------------------------

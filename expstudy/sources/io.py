@@ -23,6 +23,12 @@ CSV_DATE_FORMAT = "yyyy-MM-dd"
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 _TRAILING_SEMIS = re.compile(r";+\s*$", re.MULTILINE)
+_SELECT = re.compile(r"(?is)^\s*select\b.*;?\s*$")
+
+
+def is_select(sql: str) -> bool:
+    """SNK-1 statement check: a SELECT (no LIMIT needed)."""
+    return bool(_SELECT.match(sql))
 
 
 def strip_semicolons(sql: str) -> str:
@@ -72,6 +78,8 @@ def create_dataset(spark: SparkSession, root: str, name: str, sql: str) -> int:
     """
     from pyspark.sql import Observation
 
+    if not is_select(sql):
+        raise ValueError("sql must be a valid select statement.")
     path = dataset_path(root, name)
     if os.path.exists(path):
         raise FileExistsError(f"dataset {name} already exists")

@@ -69,6 +69,8 @@ def test_create_dataset_and_resolve(tmp_path, spark):
     assert n == X.experience(spark, SF001).filter("dataset = 'TRAIN'").count()
     with pytest.raises(FileExistsError):
         IO.create_dataset(spark, str(tmp_path), "train_ds", "SELECT 1")
+    with pytest.raises(ValueError):
+        IO.create_dataset(spark, str(tmp_path), "other_ds", "DROP VIEW exp_view")
     assert IO.resolve(spark, "train_ds", str(tmp_path)).count() == n
     assert IO.resolve(spark, "exp_view", str(tmp_path)).count() > n
 

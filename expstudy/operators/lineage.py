@@ -228,6 +228,31 @@ class StudyLog:
         nodes = self.steps().select("node", "parent")
         return branches(nodes, nodes.filter(F.col("node") == node)).select("node")
 
+    def check_can_step(self, parent: str, tool_name: str) -> None:
+        """Refuse steps under a finalised branch and a second model fit on a chain."""
+        finals = self._read("final", "node string, created double")
+        anc = self._ancestors(parent)
+        if anc.join(finals, "node", "left_semi").limit(1).count():
+            raise ValueError("this study branch is finalised; no further steps")
+        if tool_name == TOOL_GLM:
+            fits = (self.steps().filter((F.col("tool_name") == TOOL_GLM) & F.col("success"))
+                    .join(anc, "node", "left_semi"))
+            if fits.limit(1).count():
+                raise ValueError("model already exists; backtrack before the earlier fit")
+
+    def ancestors(self, node: str) -> list[str]:
+        """The node and its ancestors, nearest first."""
+        nodes = self.steps().select("node", "parent")
+        rows = branches(nodes, nodes.filter(F.col("node") == node)).orderBy("pos").collect()
+        return [r["node"] for r in rows]
+
+    def record(self, node: str, parent: str, tool_name: str, args: list, result: dict | None = None,
+               success: bool = True) -> str:
+        """Append the log entry of an already-named step."""
+        self._append("steps", [(node, parent, time.time(), tool_name, json.dumps(args),
+                                json.dumps(result or {}, default=str), success)], self.STEP_SCHEMA)
+        return node
+
     def step(self, parent: str, tool_name: str, args: list, result: dict | None = None,
              success: bool = True) -> str:
         """LIN-1 + SNK-8: a new child node with its log entry (also on failure)."""

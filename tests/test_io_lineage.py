@@ -330,3 +330,36 @@ def test_spread_of_recorded_answers(spark):
     r = M.spread(df, "pv").first()
     assert r["n"] == 20 and r["min"] == 15234.3 and r["max"] == 15265.91
     assert round(r["mean"], 3) == 15253.797 and round(r["sd_pop"], 3) == 6.990
+
+
+def test_study_workflow(tmp_path, spark):
+    from expstudy.operators.design import Main
+    from expstudy.study import Study
+
+    X.experience(spark, SF001).createOrReplaceTempView("experience_v")
+    st = Study(spark, str(tmp_path / "study"))
+    root = st.start()
+    n1, rows = st.create_dataset(root, "train", "SELECT * FROM experience_v WHERE dataset = 'TRAIN'")
+    n1b, _ = st.create_dataset(n1, "test", "SELECT * FROM experience_v WHERE dataset = 'TEST'")
+    assert rows == X.experience(spark, SF001).filter("dataset = 'TRAIN'").count()
+    n2, tree = st.tree(n1b, "train", MD.X_VARS, "expected", "actual", max_depth=2, cp=0.001)
+    assert tree.leaves()
+    with pytest.raises(ValueError):
+        st.tree(n2, "train", MD.X_VARS + ["obs_year", "o_orderpriority"], "expected", "actual")
+    n3, fit = st.glm(n2, "train", MD.X_VARS, [Main("c_mktsegment"), Main("quantity"), Main("discount_pct")],
+                     "expected", "actual", nlambda=10)
+    assert abs(fit.ae_train - 1) < 0.03
+    with pytest.raises(ValueError):
+        st.glm(n3, "train", MD.X_VARS, [Main("quantity")], "expected", "actual", nlambda=5)
+    with pytest.raises(FileNotFoundError):
+        st.run_inference(n2, "test", "scored")   # no model on that branch yet
+    n4 = st.run_inference(n3, "test", "scored")
+    assert st.resolve(n4, "scored").filter("MODEL_PRED IS NULL").count() == 0
+    with pytest.raises(Exception):
+        st.resolve(n1, "scored").count()          # a sibling/ancestor does not see later datasets
+    out = st.finalize(n4)
+    assert spark.read.parquet(out).count() > 0
+    with pytest.raises(ValueError):
+        st.create_dataset(n4, "more", "SELECT 1 AS a")
+    failed = st.log.steps().filter("NOT success").count()
+    assert failed >= 1

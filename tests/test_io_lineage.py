@@ -363,3 +363,10 @@ def test_study_workflow(tmp_path, spark):
         st.create_dataset(n4, "more", "SELECT 1 AS a")
     failed = st.log.steps().filter("NOT success").count()
     assert failed >= 1
+
+
+def test_fill_missing_steps(spark):
+    nodes = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a")], "node string, parent string")
+    steps = spark.createDataFrame([("a", X.TOOL_TREE, '["ds"]')], "node string, tool_name string, args string")
+    got = {r["node"]: (r["tool_name"], r["args"]) for r in LN.fill_missing_steps(nodes, steps).collect()}
+    assert got == {"r": (None, None), "a": (X.TOOL_TREE, '["ds"]'), "b": ("unknown", "[]")}

@@ -13,6 +13,7 @@ from expstudy.operators import measures as M
 from expstudy.operators import tree as TR
 from expstudy.operators.design import NS, Cross, Interact, Main, Recipe, build_design, learn_recipe
 from expstudy.operators.score import GlmModel
+from expstudy.plans import fixtures as X
 from expstudy.plans import models as MD
 
 
@@ -292,3 +293,16 @@ def test_tree_range_partitioned_running_sums_match_windows(spark):
     assert [tuple(r) for r in a.leaves_df(spark).collect()] == [tuple(r) for r in b.leaves_df(spark).collect()]
     assert {k: (s.feature, s.cut, tuple(s.left_levels)) for k, s in a.splits.items()} == \
            {k: (s.feature, s.cut, tuple(s.left_levels)) for k, s in b.splits.items()}
+
+
+def test_tree_with_missing_predictor_values(spark):
+    """Cells with a NULL segment follow the larger side; leaves still partition all cells."""
+    dirty = X.experience(spark, SF001, dirty=True).filter(F.col("dataset") == "TRAIN")
+    tree = TR.poisson_tree(dirty, MD.X_VARS, "expected", "actual", max_depth=2, cp=0.0001, min_split=10)
+    cells = M.cells(dirty, MD.X_VARS, "expected", "actual")
+    n_cells = cells.count()
+    assert cells.filter(F.col("c_mktsegment").isNull()).count() > 0
+    leaves = tree.leaves_df(spark).collect()
+    assert sum(r["n"] for r in leaves) == n_cells
+    got = cells.groupBy(tree.leaf_column(cells).alias("leaf")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["leaf"]: r["n"] for r in got} == {r["leaf"]: r["n"] for r in leaves}

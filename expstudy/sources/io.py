@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from expstudy.schema import EXPERIENCE
 
 # Export settings of the reference (rows per Parquet group, sheet row cap,
-# CSV date and timestamp formats).
+# CSV date and timestamp formats), trailing-semicolon and dataset-statement patterns.
 ROWS_PER_GROUP = 100_000
 SHEET_ROW_CAP = 1_048_576
 CSV_DATE_FORMAT = "yyyy-MM-dd"
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
-
 _TRAILING_SEMIS = re.compile(r";+\s*$", re.MULTILINE)
 _SELECT = re.compile(r"(?is)^\s*select\b.*;?\s*$")
 

@@ -36,7 +36,7 @@ def _tsv_rows(n=20):
 
 
 def test_read_experience_tsv(tmp_path, spark):
-    p = tmp_path / "ilec.txt"
+    p = tmp_path / "experience.txt"
     with open(p, "w", newline="") as fh:
         w = csv.writer(fh, delimiter="\t")
         w.writerow([f.name for f in EXPERIENCE.fields])

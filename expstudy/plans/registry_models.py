@@ -220,10 +220,14 @@ def q_tree_nodes(spark, sf_dir):
     return tree.snip(3).nodes_df(spark)
 
 
+def _residual_tree(spark, sf_dir):
+    pred = X.predictions(spark, sf_dir, split="TRAIN")
+    return TR.poisson_tree(pred, TREE_VARS, "MODEL_PRED", "actual", max_depth=3, cp=0.001)
+
+
 @register("residual_tree", None)
 def q_residual_tree(spark, sf_dir):
-    pred = X.predictions(spark, sf_dir, split="TRAIN")
-    return TR.poisson_tree(pred, TREE_VARS, "MODEL_PRED", "actual", max_depth=3, cp=0.001).leaves_df(spark)
+    return _residual_tree(spark, sf_dir).leaves_df(spark)
 
 
 @register("tree_leaf_ae", None)
@@ -467,7 +471,8 @@ def q_export_capped(spark, sf_dir):
             .withColumn("truncated", F.lit(bool(t))))
 
 
-def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, cp: float = 0.001) -> str:
+def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, cp: float = 0.001,
+                     source: str = "experience", offset: str = "expected") -> str:
     """Greedy Poisson-tree growth unrolled level by level in SQL (no pruning step).
 
     Independent of the Spark code path: per level it ranks candidate cuts per
@@ -476,8 +481,9 @@ def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, c
     feats = [("c_mktsegment", False), ("l_returnflag", False), ("quantity", True), ("discount_pct", True)]
     ctes = {
         "experience": X.EXPERIENCE_SQL,
-        "cells": """SELECT c_mktsegment, l_returnflag, quantity, discount_pct, sum(expected) AS t, sum(actual) AS y
-                    FROM experience WHERE dataset = 'TRAIN' GROUP BY 1, 2, 3, 4""",
+        "predictions": X.PREDICTIONS_SQL,
+        "cells": f"""SELECT c_mktsegment, l_returnflag, quantity, discount_pct, sum({offset}) AS t, sum(actual) AS y
+                    FROM {source} WHERE dataset = 'TRAIN' GROUP BY 1, 2, 3, 4""",
         "a0": "SELECT *, CAST(1 AS BIGINT) AS node FROM cells",
         "root": "SELECT sum(y) / sum(t) AS rate FROM cells",
     }
@@ -544,6 +550,13 @@ def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, c
     return X.with_views(body, **ctes)
 
 
+@register("residual_tree_leaf_stats", _tree_oracle_sql(source="predictions", offset="MODEL_PRED"))
+def q_residual_tree_leaf_stats(spark, sf_dir):
+    """MOD-14 on the scored training rows: leaf cells, events, expected (MODEL_PRED), rate, A/E."""
+    leaves = _residual_tree(spark, sf_dir).leaves_df(spark)
+    return leaves.select("leaf", "n", r6("events"), r6("exposure"), r6("rate"), r6("ae"))
+
+
 @register("tree_leaf_stats", _tree_oracle_sql())
 def q_tree_leaf_stats(spark, sf_dir):
     """Leaves of the depth-3 training tree: cells, events, exposure, shrunk rate, A/E."""

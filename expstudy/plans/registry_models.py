@@ -230,15 +230,6 @@ def q_residual_tree(spark, sf_dir):
     return _residual_tree(spark, sf_dir).leaves_df(spark)
 
 
-@register("tree_leaf_ae", None)
-def q_tree_leaf_ae(spark, sf_dir):
-    """Leaves of the training tree applied to every row (a generated CASE), A/E by split."""
-    tree = _train_tree(spark, sf_dir)
-    e = X.experience(spark, sf_dir)
-    a = M.ae(e.withColumn("leaf", tree.leaf_column(e)), "actual", "expected", by=["dataset", "leaf"])
-    return a.select("dataset", "leaf", r6("actual"), r6("expected"), r6("ae"))
-
-
 # ---------------------------------------------------------------------------
 # Spline basis and the lasso fit (MOD-6, MOD-9 .. MOD-14, MOD-19 .. MOD-24)
 # ---------------------------------------------------------------------------
@@ -472,7 +463,7 @@ def q_export_capped(spark, sf_dir):
 
 
 def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, cp: float = 0.001,
-                     source: str = "experience", offset: str = "expected") -> str:
+                     source: str = "experience", offset: str = "expected", route_rows: bool = False) -> str:
     """Greedy Poisson-tree growth unrolled level by level in SQL (no pruning step).
 
     Independent of the Spark code path: per level it ranks candidate cuts per
@@ -547,6 +538,20 @@ def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, c
     body = """SELECT CAST(node AS BIGINT) AS leaf, CAST(n AS BIGINT) AS n, round(Y, 6) AS events, round(T, 6) AS exposure,
                      round(lam, 6) AS rate, round(Y / T, 6) AS ae
               FROM leaves"""
+    if route_rows:
+        # send every row of the source (both splits) down the same winners
+        ctes["r0"] = f"SELECT dataset, c_mktsegment, l_returnflag, quantity, discount_pct, {offset} AS t, actual AS y, " \
+                     f"CAST(1 AS BIGINT) AS node FROM {source}"
+        for k in range(depth):
+            in_prefix = (f"(CASE WHEN {nval} IS NOT NULL THEN {nval} < b.cut "
+                         f"ELSE EXISTS (SELECT 1 FROM lv{k} l WHERE l.node = a.node AND l.sv = {val}) END)")
+            ctes[f"r{k + 1}"] = (f"SELECT a.dataset, a.c_mktsegment, a.l_returnflag, a.quantity, a.discount_pct, a.t, a.y, "
+                                 f"CASE WHEN b.node IS NULL THEN a.node "
+                                 f"WHEN {in_prefix} = b.lower_first THEN 2 * a.node ELSE 2 * a.node + 1 END AS node "
+                                 f"FROM r{k} a LEFT JOIN best{k} b ON a.node = b.node")
+        body = f"""SELECT dataset, CAST(node AS BIGINT) AS leaf, round(sum(y), 6) AS actual, round(sum(t), 6) AS expected,
+                          round(sum(y) / nullif(sum(t), 0), 6) AS ae
+                   FROM r{depth} GROUP BY 1, 2"""
     return X.with_views(body, **ctes)
 
 
@@ -562,3 +567,12 @@ def q_tree_leaf_stats(spark, sf_dir):
     """Leaves of the depth-3 training tree: cells, events, exposure, shrunk rate, A/E."""
     leaves = _train_tree(spark, sf_dir).leaves_df(spark)
     return leaves.select("leaf", "n", r6("events"), r6("exposure"), r6("rate"), r6("ae"))
+
+
+@register("tree_leaf_ae", _tree_oracle_sql(route_rows=True))
+def q_tree_leaf_ae(spark, sf_dir):
+    """Leaves of the training tree applied to every row (a generated CASE), A/E by split."""
+    tree = _train_tree(spark, sf_dir)
+    e = X.experience(spark, sf_dir)
+    a = M.ae(e.withColumn("leaf", tree.leaf_column(e)), "actual", "expected", by=["dataset", "leaf"])
+    return a.select("dataset", "leaf", r6("actual"), r6("expected"), r6("ae"))

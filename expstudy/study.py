@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from expstudy.operators import factors as FT
+from expstudy.operators import limits as LM
 from expstudy.operators import tree as TR
 from expstudy.operators.lasso import fit_glm
 from expstudy.operators.lineage import StudyLog
@@ -62,6 +63,13 @@ class Study:
         self.log.record(node, parent, tool, args, result if isinstance(result, dict) else {"result": result})
         return node, result
 
+    # --- ad-hoc SQL ----------------------------------------------------------
+    def sql_run(self, description: str, sql: str) -> LM.QueryResult:
+        """LIM-1 + SNK-7: a bounded SELECT; the query is logged whether it succeeds or not."""
+        res = LM.bounded_query(self.spark, sql)
+        self.log.log_query(description, sql, res.success)
+        return res
+
     # --- steps --------------------------------------------------------------
     def start(self) -> str:
         return self.log.start()

@@ -363,6 +363,10 @@ def test_study_workflow(tmp_path, spark):
         st.create_dataset(n4, "more", "SELECT 1 AS a")
     failed = st.log.steps().filter("NOT success").count()
     assert failed >= 1
+    ok = st.sql_run("segments", "SELECT c_mktsegment, count(*) AS n FROM experience_v GROUP BY 1 LIMIT 10")
+    bad = st.sql_run("no limit", "SELECT * FROM experience_v")
+    assert ok.success and len(ok.rows) == 5 and not bad.success
+    assert [r["success"] for r in st.log.queries().collect()] == [True, False]
 
 
 def test_fill_missing_steps(spark):

@@ -45,6 +45,19 @@ class Study:
                 return IO.read_dataset(self.spark, path)
         return self.spark.table(name)
 
+    def visible_datasets(self, node: str) -> list[tuple[str, str]]:
+        """LIN-2: (dataset, creating node) for every dataset on the node's chain, nearest first."""
+        out, seen = [], set()
+        for anc in self.log.ancestors(node):
+            folder = f"{self._node_dir(anc)}/datasets"
+            if os.path.isdir(folder):
+                for f in sorted(os.listdir(folder)):
+                    name = f[: -len(".parquet")] if f.endswith(".parquet") else f
+                    if name not in seen:
+                        seen.add(name)
+                        out.append((name, anc))
+        return out
+
     def model_of(self, node: str):
         """MOD-23: the model fitted on this node's chain."""
         for anc in self.log.ancestors(node):

@@ -354,6 +354,8 @@ def test_study_workflow(tmp_path, spark):
     with pytest.raises(FileNotFoundError):
         st.run_inference(n2, "test", "scored")   # no model on that branch yet
     n4 = st.run_inference(n3, "test", "scored")
+    assert [d for d, _ in st.visible_datasets(n4)] == ["scored", "test", "train"]
+    assert [d for d, _ in st.visible_datasets(n1)] == ["train"]
     assert st.resolve(n4, "scored").filter("MODEL_PRED IS NULL").count() == 0
     with pytest.raises(Exception):
         st.resolve(n1, "scored").count()          # a sibling/ancestor does not see later datasets

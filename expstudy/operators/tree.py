@@ -22,11 +22,14 @@ more cells (no surrogate splits).
 Spark plan per level: the persisted cells carry a ``node`` column; the active
 cells are unpivoted to ``(node, feature, value)`` with one ``explode`` of a
 struct array (numeric and string values share one shuffle), grouped with a
-partial hash aggregate, ordered within ``(node, feature)`` by a window for the
-running sums, and reduced to one winner per node with ``min(struct(...))``.
-Only the winners (at most 2^depth rows) reach the driver.  A window partition
-holds the distinct values of one feature within one node (cells are already
-aggregated, so a hot cell is one row).
+partial hash aggregate, given running sums in split order, and reduced to one
+winner per node with ``min(struct(...))``.  Only per-(node, feature) totals
+and the winners (at most 2^depth x features rows) reach the driver.  The
+running sums are a plain window when every (node, feature) holds at most
+``WINDOW_LIMIT`` distinct values (cells are already aggregated, so a hot cell
+is one row); above that they are range-partitioned running sums
+(``functions.ranking.running_sums_within``), so no task holds all values of
+one feature.
 """
 
 from __future__ import annotations

@@ -378,6 +378,8 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
             break
         new_frontier = []
         str_winners = []
+        pending_missing: dict = {}
+        children: dict = {}
         for w in winners:
             k = int(w["node"])
             feat = xs[int(w["f"])]
@@ -397,13 +399,17 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
             lo.node, hi.node = 2 * k, 2 * k + 1
             sp.null_left = lo.n >= hi.n
             if missing:
-                # add the NULL rows' sums to the majority child
-                _add_missing(current, k, feat, lo if sp.null_left else hi)
-            for s in (lo, hi):
-                _node_rate_dev(s, root_rate)
-                nodes[s.node] = s
+                # the NULL rows' sums go to the majority child (filled below, one job per level)
+                pending_missing[k] = (feat, lo if sp.null_left else hi)
+            children[k] = (lo, hi)
             grown[k] = sp
             new_frontier += [2 * k, 2 * k + 1]
+        if pending_missing:
+            _add_missing(current, pending_missing)
+        for k, pair in children.items():
+            for s_ in pair:
+                _node_rate_dev(s_, root_rate)
+                nodes[s_.node] = s_
         if str_winners:
             _fill_left_levels(run, grown, str_winners)
         stats.unpersist()
@@ -430,15 +436,26 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
     return PoissonTree(xs, nodes, splits, root_rate, cp, max_depth, complexity)
 
 
-def _add_missing(cells: DataFrame, k: int, feat: str, child: NodeStats) -> None:
-    r = (cells.filter((F.col("node") == k) & F.col(feat).isNull())
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("y"), F.sum("__t").alias("t"),
-              F.sum("__a").alias("a"), F.sum("__b").alias("b")).first())
-    child.n += int(r["n"])
-    child.y += float(r["y"] or 0)
-    child.t += float(r["t"] or 0)
-    child.s_ylny += float(r["a"] or 0)
-    child.s_ylnt += float(r["b"] or 0)
+def _add_missing(cells: DataFrame, pending: dict) -> None:
+    """Add the sums of cells whose split predictor is NULL to the chosen child.
+
+    One aggregate for all nodes of the level: a CASE picks each node's split
+    predictor.
+    """
+    flag = None
+    for k, (feat, _) in pending.items():
+        cond = F.col("node") == F.lit(k)
+        flag = F.when(cond, F.col(feat).isNull()) if flag is None else flag.when(cond, F.col(feat).isNull())
+    rows = (cells.filter(F.coalesce(flag, F.lit(False)))
+            .groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("y"), F.sum("__t").alias("t"),
+                                 F.sum("__a").alias("a"), F.sum("__b").alias("b")).collect())
+    for r in rows:
+        child = pending[int(r["node"])][1]
+        child.n += int(r["n"])
+        child.y += float(r["y"] or 0)
+        child.t += float(r["t"] or 0)
+        child.s_ylny += float(r["a"] or 0)
+        child.s_ylnt += float(r["b"] or 0)
 
 
 def _fill_left_levels(run: DataFrame, grown, str_winners) -> None:

@@ -446,8 +446,10 @@ ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag LIMIT 1000
 def q_bounded_query(spark, sf_dir):
     if not LM.is_bounded_select(BOUNDED_SQL):
         raise ValueError("not a bounded select")
-    X.table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return LM.with_truncation_flag(spark.sql(BOUNDED_SQL), LM.QUERY_ROW_CAP,
+    # the table is bound as a DataFrame parameter: no session-wide temp view is created
+    df = spark.sql(BOUNDED_SQL.replace("FROM lineitem", "FROM {lineitem}"),
+                   lineitem=X.table(spark, sf_dir, "lineitem"))
+    return LM.with_truncation_flag(df, LM.QUERY_ROW_CAP,
                                    order=["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
 
 

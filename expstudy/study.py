@@ -58,6 +58,28 @@ class Study:
                         out.append((name, anc))
         return out
 
+    def register_outputs(self, node: str) -> str | None:
+        """LIN-10: register every scored dataset on the branch as a view; return the first one.
+
+        Scored datasets are those written by inference steps, in step order.
+        """
+        from pyspark.sql import functions as F
+
+        from expstudy.sources.catalog import register_view
+
+        chain = list(reversed(self.log.ancestors(node)))  # root first
+        steps = (self.log.steps().filter((F.col("tool_name") == TOOL_INFERENCE) & F.col("success"))
+                 .select("node", F.get_json_object("args", "$[1]").alias("out")).collect())
+        out_by_node = {r["node"]: r["out"] for r in steps}
+        names = []
+        for n in chain:
+            if n in out_by_node:
+                name = out_by_node[n]
+                register_view(self.spark, name, IO.read_dataset(
+                    self.spark, IO.dataset_path(f"{self._node_dir(n)}/datasets", name)))
+                names.append(name)
+        return names[0] if names else None
+
     def model_of(self, node: str):
         """MOD-23: the model fitted on this node's chain."""
         for anc in self.log.ancestors(node):

@@ -369,6 +369,8 @@ def test_study_workflow(tmp_path, spark):
     bad = st.sql_run("no limit", "SELECT * FROM experience_v")
     assert ok.success and len(ok.rows) == 5 and not bad.success
     assert [r["success"] for r in st.log.queries().collect()] == [True, False]
+    assert st.register_outputs(n4) == "scored"
+    assert spark.table("scored").count() == st.resolve(n4, "scored").count()
 
 
 def test_fill_missing_steps(spark):

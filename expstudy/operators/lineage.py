@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 import time
 import uuid
 
@@ -207,10 +206,15 @@ class StudyLog:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        if not os.path.exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        """The log table, or an empty frame before its first append (any file system)."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+                return self.spark.createDataFrame([], schema)
+            raise
 
     def steps(self) -> DataFrame:
         return self._read("steps", self.STEP_SCHEMA)

@@ -109,16 +109,35 @@ def _comp_from_dict(d):
     return Var(d["var"])
 
 
-def save_model(model: GlmModel, path: str) -> None:
-    """MOD-23: write the model spec once; a second save to the same place is refused."""
+def save_model(model: GlmModel, path: str, spark=None) -> None:
+    """MOD-23: write the model spec once; a second save to the same place is refused.
+
+    With a session the spec is a one-row text dataset written through Spark's
+    file system layer (any shared store); without one, a local JSON file.
+    """
+    text = json.dumps(model.to_dict())
+    if spark is not None:
+        from expstudy.sources.io import _refuse_existing
+
+        df = spark.createDataFrame([(text,)], "spec string").coalesce(1)
+        _refuse_existing(df.write.mode("errorifexists").text, path, "model")
+        return
     if os.path.exists(path):
         raise FileExistsError("model already exists; a workspace chain holds one model")
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "x") as fh:
-        json.dump(model.to_dict(), fh)
+        fh.write(text)
 
 
-def load_model(path: str) -> GlmModel:
+def load_model(path: str, spark=None) -> GlmModel:
+    if spark is not None:
+        from pyspark.errors import AnalysisException
+
+        try:
+            rows = spark.read.text(path).collect()
+        except AnalysisException as exc:
+            raise FileNotFoundError("no fitted model in this workspace chain") from exc
+        return GlmModel.from_dict(json.loads("".join(r[0] for r in rows)))
     if not os.path.exists(path):
         raise FileNotFoundError("no fitted model in this workspace chain")
     with open(path) as fh:

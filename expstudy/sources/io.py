@@ -7,9 +7,9 @@ executor re-runs its tasks without leaving partial files behind.
 
 from __future__ import annotations
 
-import os
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +62,38 @@ def dataset_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}.parquet"
 
 
+def try_read(spark: SparkSession, path: str) -> DataFrame | None:
+    """Read Parquet at ``path`` through Spark's file system layer, or None when absent.
+
+    Works the same for local, HDFS and object-store paths.
+    """
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            return None
+        raise
+
+
+def _refuse_existing(write, path: str, what: str) -> None:
+    """Run a writer in ``errorifexists`` mode; an existing target becomes FileExistsError.
+
+    Spark checks the target while planning the write, before any job runs.
+    """
+    try:
+        write(path)
+    except AnalysisException as exc:
+        if "PATH_ALREADY_EXISTS" in str(exc) or "already exists" in str(exc):
+            raise FileExistsError(f"{what} already exists") from exc
+        raise
+
+
 def resolve(spark: SparkSession, name: str, root: str | None = None) -> DataFrame:
     """SRC-3: the dataset file in the workspace if present, else the catalog table/view."""
-    if root is not None and os.path.exists(dataset_path(root, name)):
-        return read_dataset(spark, dataset_path(root, name))
+    if root is not None:
+        df = try_read(spark, dataset_path(root, name))
+        if df is not None:
+            return df
     return spark.table(name)
 
 
@@ -79,12 +107,10 @@ def create_dataset(spark: SparkSession, root: str, name: str, sql: str) -> int:
 
     if not is_select(sql):
         raise ValueError("sql must be a valid select statement.")
-    path = dataset_path(root, name)
-    if os.path.exists(path):
-        raise FileExistsError(f"dataset {name} already exists")
     obs = Observation(f"create_{name}")
     df = spark.sql(strip_semicolons(sql)).observe(obs, F.count(F.lit(1)).alias("n"))
-    df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_GROUP).parquet(path)
+    _refuse_existing(df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_GROUP).parquet,
+                     dataset_path(root, name), f"dataset {name}")
     return int(obs.get["n"])
 
 
@@ -129,9 +155,9 @@ def write_factor_tables(long_tables: DataFrame, path: str) -> str:
 def write_scored(df: DataFrame, root: str, name: str) -> str:
     """SNK-6: refuse if the output exists, then write the scored frame."""
     path = dataset_path(root, name)
-    if os.path.exists(path):
-        raise FileExistsError(f"dataset {name} already exists")
-    return export_parquet(df, path)
+    _refuse_existing(df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_GROUP).parquet,
+                     path, f"dataset {name}")
+    return path
 
 
 def write_run_scores(scores: DataFrame, path: str) -> str:

@@ -9,7 +9,6 @@ Spark operators of this package; the session only names and files results.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,56 +34,63 @@ class Study:
         return f"{self.root}/nodes/{node}"
 
     def _model_path(self, node: str) -> str:
-        return f"{self._node_dir(node)}/model.json"
+        return f"{self._node_dir(node)}/model"
 
-    def resolve(self, node: str, name: str) -> DataFrame:
-        """SRC-3 from a node: the nearest ancestor's dataset, else a catalog table/view."""
-        for anc in self.log.ancestors(node):
-            path = IO.dataset_path(f"{self._node_dir(anc)}/datasets", name)
-            if os.path.exists(path):
-                return IO.read_dataset(self.spark, path)
-        return self.spark.table(name)
+    def _chain_steps(self, node: str) -> list:
+        """Successful log entries on the node's chain with their distance (nearest first).
+
+        Located through the step log, never by listing folders, so any shared
+        file system works; the chain is at most the depth cap.
+        """
+        from pyspark.sql import functions as F
+
+        chain = self.log.ancestors(node)
+        order = self.spark.createDataFrame([(n, i) for i, n in enumerate(chain)], "node string, dist int")
+        rows = (self.log.steps().filter(F.col("success")).join(F.broadcast(order), "node")
+                .select("node", "dist", "tool_name", "args").orderBy("dist").collect())
+        return rows
 
     def visible_datasets(self, node: str) -> list[tuple[str, str]]:
         """LIN-2: (dataset, creating node) for every dataset on the node's chain, nearest first."""
+        import json
+
         out, seen = [], set()
-        for anc in self.log.ancestors(node):
-            folder = f"{self._node_dir(anc)}/datasets"
-            if os.path.isdir(folder):
-                for f in sorted(os.listdir(folder)):
-                    name = f[: -len(".parquet")] if f.endswith(".parquet") else f
-                    if name not in seen:
-                        seen.add(name)
-                        out.append((name, anc))
+        for r in self._chain_steps(node):
+            args = json.loads(r["args"] or "[]")
+            name = (args[0] if r["tool_name"] == TOOL_CREATE_DATASET else
+                    args[1] if r["tool_name"] == TOOL_INFERENCE else None)
+            if name is not None and name not in seen:
+                seen.add(name)
+                out.append((name, r["node"]))
         return out
 
-    def register_outputs(self, node: str) -> str | None:
-        """LIN-10: register every scored dataset on the branch as a view; return the first one.
+    def resolve(self, node: str, name: str) -> DataFrame:
+        """SRC-3 from a node: the nearest ancestor's dataset, else a catalog table/view."""
+        for ds, creator in self.visible_datasets(node):
+            if ds == name:
+                return IO.read_dataset(self.spark, IO.dataset_path(f"{self._node_dir(creator)}/datasets", name))
+        return self.spark.table(name)
 
-        Scored datasets are those written by inference steps, in step order.
-        """
-        from pyspark.sql import functions as F
+    def register_outputs(self, node: str) -> str | None:
+        """LIN-10: register every scored dataset on the branch as a view; return the first one."""
+        import json
 
         from expstudy.sources.catalog import register_view
 
-        chain = list(reversed(self.log.ancestors(node)))  # root first
-        steps = (self.log.steps().filter((F.col("tool_name") == TOOL_INFERENCE) & F.col("success"))
-                 .select("node", F.get_json_object("args", "$[1]").alias("out")).collect())
-        out_by_node = {r["node"]: r["out"] for r in steps}
         names = []
-        for n in chain:
-            if n in out_by_node:
-                name = out_by_node[n]
+        for r in reversed(self._chain_steps(node)):  # root first
+            if r["tool_name"] == TOOL_INFERENCE:
+                name = json.loads(r["args"])[1]
                 register_view(self.spark, name, IO.read_dataset(
-                    self.spark, IO.dataset_path(f"{self._node_dir(n)}/datasets", name)))
+                    self.spark, IO.dataset_path(f"{self._node_dir(r['node'])}/datasets", name)))
                 names.append(name)
         return names[0] if names else None
 
     def model_of(self, node: str):
         """MOD-23: the model fitted on this node's chain."""
-        for anc in self.log.ancestors(node):
-            if os.path.exists(self._model_path(anc)):
-                return load_model(self._model_path(anc))
+        for r in self._chain_steps(node):
+            if r["tool_name"] == TOOL_GLM:
+                return load_model(self._model_path(r["node"]), spark=self.spark)
         raise FileNotFoundError("no fitted model on this branch; fit one first")
 
     def _run(self, parent: str, tool: str, args: list, fn):
@@ -137,7 +143,7 @@ class Study:
             kw = {} if nlambda is None else {"nlambda": nlambda}
             fit = fit_glm(self.resolve(parent, dataset), x_vars, terms, offset, y, factor_defaults=factor_defaults,
                           clip=clip, lambda_strat=lambda_strat, **kw)
-            save_model(fit.model, self._model_path(node))
+            save_model(fit.model, self._model_path(node), spark=self.spark)
             holder["fit"] = fit
             return {"ae_train": fit.ae_train, "lambda_ix": fit.path.chosen + 1}
         args = [dataset, list(x_vars), [t.label() if hasattr(t, "label") else str(t) for t in terms],

@@ -578,3 +578,31 @@ def q_tree_leaf_ae(spark, sf_dir):
     e = X.experience(spark, sf_dir)
     a = M.ae(e.withColumn("leaf", tree.leaf_column(e)), "actual", "expected", by=["dataset", "leaf"])
     return a.select("dataset", "leaf", r6("actual"), r6("expected"), r6("ae"))
+
+
+def _lambda_max_sql() -> str:
+    cols = MD.fixed_columns_sql()
+    cells = ("SELECT c_mktsegment, l_returnflag, quantity, discount_pct, sum(expected) AS t, sum(actual) AS y "
+             "FROM experience WHERE dataset = 'TRAIN' GROUP BY 1, 2, 3, 4")
+    parts = []
+    for name, expr in cols:
+        parts.append(f"""SELECT '{name}' AS term,
+               round(abs(sum(({expr}) * (y - t * tot.r))) / (tot.n * sqrt(sum(({expr}) * ({expr})) / tot.n
+                     - power(sum({expr}) / tot.n, 2))), 6) AS grad
+            FROM cells, rng, tot GROUP BY tot.n, tot.r""")
+    return ("WITH experience AS (" + X.EXPERIENCE_SQL + ")," + MD.FIXED_RANGES_SQL + ",\n"
+            + f"cells AS ({cells}),\n"
+            + "tot AS (SELECT count(*) AS n, sum(y) / sum(t) AS r FROM cells)\n"
+            + "\nUNION ALL\n".join(parts))
+
+
+@register("lasso_lambda_max", _lambda_max_sql())
+def q_lasso_lambda_max(spark, sf_dir):
+    """MOD-9 scaling: standardised null-model score per design column (max = lambda_max)."""
+    from expstudy.operators import lasso as L
+
+    model = MD.fixed_model(spark, sf_dir)
+    cells = M.cells(MD.train_rows(spark, sf_dir), MD.X_VARS, "expected", "actual")
+    dcells = L.design_cells(cells, MD.X_VARS, "expected", "actual", model.design, is_cells=True)
+    rows = L.null_gradients(dcells, model.design.names)
+    return spark.createDataFrame([(n, round(g, 6)) for n, g in rows], "term string, grad double")

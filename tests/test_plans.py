@@ -39,3 +39,29 @@ def test_scoring_is_a_projection_without_python(spark):
 def test_first_per_key_is_an_aggregate_not_a_window(spark):
     p = plan(all_queries()["first_per_key"][0](spark, SF001))
     assert "Window" not in p and "partial_min" in p
+
+
+def test_ingested_experience_split_is_partition_pruning(tmp_path, spark):
+    """On the real schema the TRAIN filter on Observation_Year prunes partitions."""
+    import csv
+
+    from pyspark.sql import functions as F
+
+    from expstudy.operators import prepare as P
+    from expstudy.schema import EXPERIENCE
+    from expstudy.sources import io as IO
+
+    src = tmp_path / "experience.txt"
+    with open(src, "w", newline="") as fh:
+        w = csv.writer(fh, delimiter="\t")
+        w.writerow([f.name for f in EXPERIENCE.fields])
+        for i in range(40):
+            w.writerow([str(2010 + i % 8), "ALB", "M", "NS", "Term", "40", "3", "100000-249999", "2005", "43",
+                        "", "", "", "S", "1", "2", "1", "1000", "1", "0", "1" if i % 3 == 0 else "0",
+                        "0.01", "0.02", "0.3", "0.04", "0", "0", "0", "0", "0"])
+    IO.ingest_experience(spark, str(src), str(tmp_path / "pq"))
+    df = P.add_split(spark.read.parquet(str(tmp_path / "pq")), "Observation_Year", 2016)
+    train = P.take_split_by_year(df, "Observation_Year", 2015)
+    p = plan(train.select("Number_Of_Deaths"))
+    assert "PartitionFilters: [isnotnull(Observation_Year" in p and "(Observation_Year#" in p
+    assert train.count() == 30 and train.agg(F.max("Observation_Year")).first()[0] == 2015

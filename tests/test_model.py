@@ -306,3 +306,22 @@ def test_tree_with_missing_predictor_values(spark):
     assert sum(r["n"] for r in leaves) == n_cells
     got = cells.groupBy(tree.leaf_column(cells).alias("leaf")).agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["leaf"]: r["n"] for r in got} == {r["leaf"]: r["n"] for r in leaves}
+
+
+def test_cells_are_lossless_for_the_poisson_likelihood(spark):
+    """Unpenalised Poisson fits with log offset agree on raw rows and on collapsed cells."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    train = MD.train_rows(spark, SF001)
+    cells = M.cells(train, ["quantity", "discount_pct"], "expected", "actual")
+
+    def fit(df):
+        data = VectorAssembler(inputCols=["quantity", "discount_pct"], outputCol="features").transform(
+            df.withColumn("off", F.log("expected")).withColumn("quantity", F.col("quantity").cast("double"))
+            .withColumn("discount_pct", F.col("discount_pct").cast("double")))
+        m = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="off", labelCol="actual",
+                                        maxIter=100, tol=1e-10, regParam=0.0).fit(data)
+        return np.concatenate([[m.intercept], m.coefficients.toArray()])
+
+    assert np.allclose(fit(train), fit(cells), atol=1e-6)

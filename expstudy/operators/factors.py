@@ -141,7 +141,13 @@ def factor_tables_long(model: GlmModel, spark: SparkSession) -> DataFrame:
     return out
 
 
-def safe_names(df: DataFrame, col: str, order: str, out: str = "safe_name") -> DataFrame:
+def _named(d: DataFrame, out: str) -> DataFrame:
+    suffix = F.concat(F.lit("_"), F.col("__dup").cast("string"))
+    cut = F.expr(f"substring(__base, 1, greatest(1, {NAME_MAX} - length(concat('_', cast(__dup AS string)))))")
+    return d.withColumn(out, F.when(F.col("__dup") == 0, F.col("__base")).otherwise(F.concat(cut, suffix)))
+
+
+def safe_names(df: DataFrame, col: str, order: str, out: str = "safe_name", max_rounds: int = 50) -> DataFrame:
     """STR-6 + WIN-4: sheet-safe unique names.
 
     ``[]*:?/\\`` -> ``_``, trim, empty -> ``Sheet``, cut to 31 characters; a
@@ -149,13 +155,27 @@ def safe_names(df: DataFrame, col: str, order: str, out: str = "safe_name") -> D
     the result fits 31 characters.  Works on a column of names (one row per
     output); the duplicate index is a skew-safe row number, so a name repeated
     on a third of the rows is still numbered across many tasks.
+
+    A generated name can meet an original one (``A``, ``A``, ``A_1``).  Then the
+    earliest row keeps the name and the others take their next suffix, round
+    after round, until all names are unique.  Each round is an aggregate and a
+    join, and it is checkpointed; rounds run only while duplicates exist.
     """
+    from expstudy.session import reliable_checkpoint
+
     clean = F.trim(F.regexp_replace(F.col(col), NAME_BAD_CHARS, "_"))
     clean = F.when((clean == "") | clean.isNull(), F.lit(NAME_EMPTY)).otherwise(clean)
     base = F.substring(clean, 1, NAME_MAX)
     d = row_number_within(df.withColumn("__base", base), ["__base"], [order], out="__rn")
-    d = d.withColumn("__dup", F.col("__rn") - 1).drop("__rn")
-    suffix = F.concat(F.lit("_"), F.col("__dup").cast("string"))
-    cut = F.expr(f"substring(__base, 1, greatest(1, {NAME_MAX} - length(concat('_', cast(__dup AS string)))))")
-    name = F.when(F.col("__dup") == 0, F.col("__base")).otherwise(F.concat(cut, suffix))
-    return d.withColumn(out, name).drop("__base", "__dup")
+    d = _named(d.withColumn("__dup", F.col("__rn") - 1).drop("__rn"), out)
+    for _ in range(max_rounds):
+        firsts = (d.groupBy(out).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+                  .filter(F.col("__n") > 1).drop("__n"))
+        if not firsts.limit(1).count():
+            return d.drop("__base", "__dup")
+        d = d.join(firsts, out, "left")
+        bump = F.col("__first").isNotNull() & (F.col(order) != F.col("__first"))
+        d = _named(d.withColumn("__dup", F.when(bump, F.col("__dup") + 1).otherwise(F.col("__dup")))
+                    .drop("__first", out), out)
+        d = reliable_checkpoint(d)
+    raise ValueError("could not make the names unique")

@@ -378,3 +378,15 @@ def test_fill_missing_steps(spark):
     steps = spark.createDataFrame([("a", X.TOOL_TREE, '["ds"]')], "node string, tool_name string, args string")
     got = {r["node"]: (r["tool_name"], r["args"]) for r in LN.fill_missing_steps(nodes, steps).collect()}
     assert got == {"r": (None, None), "a": (X.TOOL_TREE, '["ds"]'), "b": ("unknown", "[]")}
+
+
+def test_safe_names_unique_after_collisions(spark):
+    from expstudy.operators.factors import safe_names
+
+    def names(vals):
+        df = spark.createDataFrame(list(enumerate(vals)), "i int, raw string")
+        return [r["safe_name"] for r in safe_names(df, "raw", "i").orderBy("i").collect()]
+
+    assert names(["A", "A", "A_1"]) == ["A", "A_1", "A_1_1"]
+    assert names(["A_1", "A", "A"]) == ["A_1", "A", "A_2"]
+    assert names(["a/b", "a:b", " ", "x" * 40, "x" * 40]) == ["a_b", "a_b_1", "Sheet", "x" * 31, "x" * 29 + "_1"]

@@ -465,7 +465,8 @@ def q_export_capped(spark, sf_dir):
 
 
 def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, cp: float = 0.001,
-                     source: str = "experience", offset: str = "expected", route_rows: bool = False) -> str:
+                     source: str = "experience", offset: str = "expected", route_rows: bool = False,
+                     node_stats: bool = False) -> str:
     """Greedy Poisson-tree growth unrolled level by level in SQL (no pruning step).
 
     Independent of the Spark code path: per level it ranks candidate cuts per
@@ -540,6 +541,16 @@ def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, c
     body = """SELECT CAST(node AS BIGINT) AS leaf, CAST(n AS BIGINT) AS n, round(Y, 6) AS events, round(T, 6) AS exposure,
                      round(lam, 6) AS rate, round(Y / T, 6) AS ae
               FROM leaves"""
+    if node_stats:
+        # every node of the grown tree, level by level (ids 2^k .. 2^(k+1)-1 at level k)
+        levels = [f"SELECT node, {k} AS depth, n, Y, T, lam, dev FROM nd{k} WHERE node >= {2 ** k}"
+                  for k in range(depth)]
+        levels.append(f"SELECT node, {depth} AS depth, n, Y, T, lam, dev FROM leaves WHERE node >= {2 ** depth}")
+        ctes["all_nodes"] = " UNION ALL ".join(levels)
+        body = """SELECT CAST(node AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS n,
+                         round(Y, 6) AS events, round(T, 6) AS exposure, round(lam, 6) AS rate,
+                         round(dev, 4) AS deviance
+                  FROM all_nodes"""
     if route_rows:
         # send every row of the source (both splits) down the same winners
         ctes["r0"] = f"SELECT dataset, c_mktsegment, l_returnflag, quantity, discount_pct, {offset} AS t, actual AS y, " \
@@ -606,3 +617,11 @@ def q_lasso_lambda_max(spark, sf_dir):
     dcells = L.design_cells(cells, MD.X_VARS, "expected", "actual", model.design, is_cells=True)
     rows = L.null_gradients(dcells, model.design.names)
     return spark.createDataFrame([(n, round(g, 6)) for n, g in rows], "term string, grad double")
+
+
+@register("tree_node_stats", _tree_oracle_sql(node_stats=True))
+def q_tree_node_stats(spark, sf_dir):
+    """MOD-17 numbers of every node of the depth-3 training tree: cells, events, exposure,
+    shrunk rate and deviance."""
+    nodes = _train_tree(spark, sf_dir).nodes_df(spark)
+    return nodes.select("node", "depth", "n", r6("events"), r6("exposure"), r6("rate"), r6("deviance", 4))

@@ -325,3 +325,17 @@ def test_cells_are_lossless_for_the_poisson_likelihood(spark):
         return np.concatenate([[m.intercept], m.coefficients.toArray()])
 
     assert np.allclose(fit(train), fit(cells), atol=1e-6)
+
+
+def test_weakest_link_pruning_by_hand():
+    """g(t) = (R(t) - R(subtree)) / (leaves - 1); cut the weakest while g <= cp * R(root)."""
+    nodes = {k: TR.NodeStats(k, 10, 1.0, 1.0, 0.0, 0.0, deviance=d)
+             for k, d in {1: 100.0, 2: 40.0, 3: 50.0, 4: 20.0, 5: 19.0, 6: 10.0, 7: 10.0}.items()}
+    grown = {k: TR.Split(k, "x", "num", cut=float(k)) for k in (1, 2, 3)}
+    # g(2) = 1, g(3) = 30, g(1) = 41/3; at alpha 5 only node 2 goes, then g(1) = 20 > 5
+    kept, cpx = TR._prune(nodes, grown, 5.0, 100.0)
+    assert sorted(kept) == [1, 3]
+    assert math.isclose(cpx[2], 0.01) and math.isclose(cpx[1], 0.20) and math.isclose(cpx[3], 0.30)
+    # at alpha 25 node 2 goes first, then the root's g = 20 <= 25 collapses the tree
+    kept, _ = TR._prune(nodes, grown, 25.0, 100.0)
+    assert kept == {}

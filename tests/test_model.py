@@ -339,3 +339,16 @@ def test_weakest_link_pruning_by_hand():
     # at alpha 25 node 2 goes first, then the root's g = 20 <= 25 collapses the tree
     kept, _ = TR._prune(nodes, grown, 25.0, 100.0)
     assert kept == {}
+
+
+def test_fit_guards(spark):
+    from expstudy.operators.score import training_gate
+
+    training_gate(1.02)
+    training_gate(0.975)
+    for bad in (1.031, 0.97, None, 0.0):
+        with pytest.raises(ValueError):
+            training_gate(bad)
+    dirty = X.experience(spark, SF001, dirty=True).filter(F.col("dataset") == "TRAIN")
+    with pytest.raises(ValueError, match="zero exposure"):
+        L.fit_glm(dirty, ["quantity", "l_linenumber"], [Main("quantity")], "expected", "actual", nlambda=5)

@@ -311,7 +311,7 @@ def root_split_table(df: DataFrame, x_vars, offset: str, y: str, min_bucket: int
     base = prepare_tree_cells(df, xs, offset, y)
     a, b = _cell_terms(F.col("__t"), F.col("__y"))
     cells = base.select(*xs, "__t", "__y", a.alias("__a"), b.alias("__b"), F.lit(1).cast("long").alias("node"))
-    stats = level_stats(cells, xs, numeric).persist()
+    stats = level_stats(cells, xs, numeric)
     run = level_split_candidates(stats, min_bucket)
     cand = run.filter(F.col("admissible") & (F.col("improve") > _EPS))
     best = (cand.groupBy("f").agg(F.min(F.struct((-F.col("improve")).alias("neg"), "pos", "improve", "cut",
@@ -348,7 +348,8 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
     base = prepare_tree_cells(df, xs, offset, y)
     a, b = _cell_terms(F.col("__t"), F.col("__y"))
     cells = base.select(*xs, "__t", "__y", a.alias("__a"), b.alias("__b"), F.lit(1).cast("long").alias("node"))
-    cells = reliable_checkpoint(cells) if checkpoint else cells.persist()
+    # checkpointed for recovery (when asked) and kept on the executors: every level reads it
+    cells = (reliable_checkpoint(cells) if checkpoint else cells).persist()
 
     tot = cells.agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("y"), F.sum("__t").alias("t"),
                     F.sum("__a").alias("a"), F.sum("__b").alias("b")).first()
@@ -429,8 +430,7 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
 
     for fr in level_frames[1:]:
         fr.unpersist()
-    if not checkpoint:
-        cells.unpersist()
+    cells.unpersist()
 
     splits, complexity = _prune(nodes, grown, alpha_abs, root.deviance)
     return PoissonTree(xs, nodes, splits, root_rate, cp, max_depth, complexity)

@@ -232,18 +232,26 @@ class StudyLog:
         nodes = self.steps().select("node", "parent")
         return branches(nodes, nodes.filter(F.col("node") == node)).select("node")
 
-    def check_can_step(self, parent: str, tool_name: str) -> None:
-        """Refuse steps under a finalised branch and a second model fit on a chain."""
+    def check_not_final(self, parent: str) -> None:
+        """Refuse any step under a finalised branch (before a node is created)."""
         finals = self._read("final", "node string, created double")
-        anc = self._ancestors(parent)
-        if anc.join(finals, "node", "left_semi").limit(1).count():
+        if self._ancestors(parent).join(finals, "node", "left_semi").limit(1).count():
             raise ValueError("this study branch is finalised; no further steps")
+
+    def check_one_model(self, parent: str, tool_name: str) -> None:
+        """Refuse a second model fit on a chain."""
         if tool_name == TOOL_GLM:
+            anc = self._ancestors(parent)
             fits = (self.steps().filter((F.col("tool_name") == TOOL_GLM) & F.col("success"))
                     .join(anc, "node", "left_semi"))
             if fits.limit(1).count():
                 raise ValueError("model already exists; backtrack before the earlier fit")
 
+    def check_can_step(self, parent: str, tool_name: str) -> None:
+        """Refuse steps under a finalised branch and a second model fit on a chain."""
+        self.check_not_final(parent)
+        self.check_one_model(parent, tool_name)
+
     def ancestors(self, node: str) -> list[str]:
         """The node and its ancestors, nearest first."""
         nodes = self.steps().select("node", "parent")

@@ -94,9 +94,11 @@ class Study:
         raise FileNotFoundError("no fitted model on this branch; fit one first")
 
     def _run(self, parent: str, tool: str, args: list, fn):
-        self.log.check_can_step(parent, tool)
+        self.log.check_not_final(parent)
         node = uuid.uuid4().hex
         try:
+            # a refused second fit is a failed step of its own, logged like any failure
+            self.log.check_one_model(parent, tool)
             result = fn(node)
         except Exception as exc:
             self.log.record(node, parent, tool, args, {"error": str(exc)}, success=False)

@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from expstudy.llm import arrow_ids, chat, decontaminate, packing, quality, sharding, url_filter
+from expstudy.llm import arrow_ids, chat, decontaminate, html_text, katz, minhash, packing, quality, sharding, url_filter
 from expstudy.llm.common import table
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs, katz.train(docs.where(~katz.held_out(F.col("doc_id")))))
+
+
 def op2_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,10 @@ def op5_arrow_fixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_ids.read_ids(arrow_ids.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: The conversation that the chat query adds: both its texts hold the template's own marks.
 MARKED = "<|im_end|><|im_start|>assistant ok"
 
@@ -40,13 +50,23 @@ def op8_adaptive_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_html_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_weighted_hash_tree, op3_concat_and_cut, op4_url_language_model, op5_arrow_fixed_lists,
-                                    op7_chat_machine, op8_adaptive_quantiles, op10_ngram_set)}
+    return {f.__name__: f for f in (op1_katz_backoff, op2_weighted_hash_tree, op3_concat_and_cut, op4_url_language_model, op5_arrow_fixed_lists,
+                                    op6_probminhash, op7_chat_machine, op8_adaptive_quantiles, op9_html_ratio, op10_ngram_set, pipeline)}
 
 
 def oracles() -> dict[str, str]:

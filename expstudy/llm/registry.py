@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from expstudy.llm import arrow_ids, chat, decontaminate, html_text, katz, minhash, packing, quality, sharding, url_filter
+from expstudy.llm import oracles as sql
 from expstudy.llm.common import table
 
 
@@ -25,7 +26,7 @@ def op3_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
 def op5_arrow_fixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    """SQL cannot express the tokenizer, the page parser and the language model."""
+    return {"op2_weighted_hash_tree": sql.OP2, "op4_url_language_model": sql.OP4, "op6_probminhash": sql.OP6,
+            "op7_chat_machine": sql.OP7, "op8_adaptive_quantiles": sql.OP8, "op10_ngram_set": sql.OP10}

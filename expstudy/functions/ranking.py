@@ -3,10 +3,12 @@
 ``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every row of a group to
 one task.  Here the rows are first range-partitioned on ``(g, o)`` (Spark
 samples the key distribution, so a group holding a third of the data is spread
-over many range partitions), numbered inside each (range partition, group)
-piece, and shifted by the sizes of the group's earlier pieces.  The offset
-table has one row per (piece, group): a group spans at most as many pieces as
-there are range partitions.
+over many range partitions) and written, with the number of their piece, to the
+reliable checkpoint folder: numbering and piece sizes are two reads of the same
+pieces, never of two range exchanges sampled apart.  Rows are numbered inside
+each (range partition, group) piece and shifted by the sizes of the group's
+earlier pieces.  The offset table has one row per (piece, group): a group spans
+at most as many pieces as there are range partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from expstudy.session import reliable_checkpoint
+
 
 def row_number_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rn",
                       num_partitions: int | None = None) -> DataFrame:
@@ -25,8 +29,7 @@ def row_number_within(df: DataFrame, by: Sequence[str], order: Sequence[str], ou
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(by) + list(order)
-    tagged = df.repartitionByRange(n, *keys).withColumn("__piece", F.spark_partition_id())
+    tagged = _pieces(df, list(by) + list(order), n)
     local = tagged.withColumn("__rn", F.row_number().over(Window.partitionBy("__piece", *by).orderBy(*order)))
     sizes = local.groupBy("__piece", *by).agg(F.max("__rn").alias("__size"))
     before = (Window.partitionBy(*by).orderBy("__piece")
@@ -36,6 +39,11 @@ def row_number_within(df: DataFrame, by: Sequence[str], order: Sequence[str], ou
     return joined.select(*df.columns, (F.col("__off") + F.col("__rn")).cast("int").alias(out))
 
 
+def _pieces(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """``df`` in ``n`` range pieces, each row with its ``__piece``; materialised once."""
+    return reliable_checkpoint(df.repartitionByRange(n, *keys).withColumn("__piece", F.spark_partition_id()))
+
+
 def _join_pieces(local: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join per-piece offsets back by (piece, group); NULL group keys match each other."""
     renamed = offsets.withColumnRenamed("__piece", "__piece_r")
@@ -59,8 +67,7 @@ def running_sums_within(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(by) + list(order)
-    tagged = df.repartitionByRange(n, *keys).withColumn("__piece", F.spark_partition_id())
+    tagged = _pieces(df, list(by) + list(order), n)
     w = Window.partitionBy("__piece", *by).orderBy(*order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = [F.row_number().over(w).alias("__rn")] + [F.sum(m).over(wr).alias(f"__c_{m}") for m in measures]

@@ -147,19 +147,25 @@ def _named(d: DataFrame, out: str) -> DataFrame:
     return d.withColumn(out, F.when(F.col("__dup") == 0, F.col("__base")).otherwise(F.concat(cut, suffix)))
 
 
-def safe_names(df: DataFrame, col: str, order: str, out: str = "safe_name", max_rounds: int = 50) -> DataFrame:
+#: Suffixes that a row whose name is taken tries in one round.
+SUFFIXES_TRIED = 64
+
+
+def safe_names(df: DataFrame, col: str, order: str, out: str = "safe_name") -> DataFrame:
     """STR-6 + WIN-4: sheet-safe unique names.
 
     ``[]*:?/\\`` -> ``_``, trim, empty -> ``Sheet``, cut to 31 characters; a
-    repeated name gets ``_1``, ``_2``, ... (in ``order``) with the base re-cut so
-    the result fits 31 characters.  Works on a column of names (one row per
-    output); the duplicate index is a skew-safe row number, so a name repeated
-    on a third of the rows is still numbered across many tasks.
+    repeated name gets ``_1``, ``_2``, ... (in ``order``, unique per row) with the
+    base re-cut so the result fits 31 characters.  Works on a column of names (one
+    row per output); the duplicate index is a skew-safe row number, so a name
+    repeated on a third of the rows is still numbered across many tasks.
 
     A generated name can meet an original one (``A``, ``A``, ``A_1``).  Then the
-    earliest row keeps the name and the others take their next suffix, round
-    after round, until all names are unique.  Each round is an aggregate and a
-    join, and it is checkpointed; rounds run only while duplicates exist.
+    earliest row keeps the name, and each other row moves on to its first suffix
+    that no earlier row holds, round after round, until all names are unique.  A
+    name once held by an earlier row stays held by one, so the result is that of
+    naming the rows one by one in ``order``.  A round is aggregates and joins,
+    checkpointed; every round moves at least one row on, so the rounds end.
     """
     from expstudy.session import reliable_checkpoint
 
@@ -167,15 +173,17 @@ def safe_names(df: DataFrame, col: str, order: str, out: str = "safe_name", max_
     clean = F.when((clean == "") | clean.isNull(), F.lit(NAME_EMPTY)).otherwise(clean)
     base = F.substring(clean, 1, NAME_MAX)
     d = row_number_within(df.withColumn("__base", base), ["__base"], [order], out="__rn")
-    d = _named(d.withColumn("__dup", F.col("__rn") - 1).drop("__rn"), out)
-    for _ in range(max_rounds):
-        firsts = (d.groupBy(out).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
-                  .filter(F.col("__n") > 1).drop("__n"))
-        if not firsts.limit(1).count():
+    d = reliable_checkpoint(_named(d.withColumn("__dup", F.col("__rn") - 1).drop("__rn"), out))
+    while True:
+        held = reliable_checkpoint(d.groupBy(out).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")))
+        if held.filter(F.col("__n") > 1).isEmpty():
             return d.drop("__base", "__dup")
-        d = d.join(firsts, out, "left")
-        bump = F.col("__first").isNotNull() & (F.col(order) != F.col("__first"))
-        d = _named(d.withColumn("__dup", F.when(bump, F.col("__dup") + 1).otherwise(F.col("__dup")))
-                    .drop("__first", out), out)
-        d = reliable_checkpoint(d)
-    raise ValueError("could not make the names unique")
+        late = (d.select(F.col(order).alias("__row"), "__base", "__dup", out)
+                .join(held.filter(F.col("__n") > 1), out).filter(F.col("__row") != F.col("__first")))
+        tries = F.explode(F.sequence(F.col("__dup") + 1, F.col("__dup") + F.lit(SUFFIXES_TRIED)))
+        tries = _named(late.select("__row", "__base", F.col("__dup").alias("__was"), tries.alias("__dup")), out)
+        free = tries.join(held.select(out, "__first"), out, "left").groupBy("__row").agg(
+            F.coalesce(F.min(F.when(F.col("__first").isNull() | (F.col("__first") > F.col("__row")), F.col("__dup"))),
+                       F.max("__dup") + 1).alias("__next"))
+        d = d.join(free, F.col(order) == F.col("__row"), "left").withColumn("__dup", F.coalesce("__next", "__dup"))
+        d = reliable_checkpoint(_named(d.drop("__row", "__next", out), out))

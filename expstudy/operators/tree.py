@@ -25,9 +25,7 @@ struct array (numeric and string values share one shuffle), grouped with a
 partial hash aggregate, given running sums in split order, and reduced to one
 winner per node with ``min(struct(...))``.  Only per-(node, feature) totals
 and the winners (at most 2^depth x features rows) reach the driver.  The
-running sums are a plain window when every (node, feature) holds at most
-``WINDOW_LIMIT`` distinct values (cells are already aggregated, so a hot cell
-is one row); above that they are range-partitioned running sums
+running sums are range-partitioned at every size
 (``functions.ranking.running_sums_within``), so no task holds all values of
 one feature.
 """
@@ -37,7 +35,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,8 +49,6 @@ MAX_TREE_DEPTH = 4
 MIN_CP = 0.0001
 DEFAULT_MIN_SPLIT = 20
 PRIOR_CV = 1.0
-# distinct values per (node, feature) above which running sums leave plain windows
-WINDOW_LIMIT = 1_000_000
 
 _EPS = 1e-12
 
@@ -248,41 +244,23 @@ def level_stats(cells: DataFrame, x_vars, numeric: dict, active=None) -> DataFra
     return stats.withColumn("ord", F.coalesce(F.col("nv"), rate))
 
 
-def _order_window():
-    return Window.partitionBy("node", "f").orderBy("ord", "sv")
-
-
-def level_split_candidates(stats: DataFrame, min_bucket: int, window_limit: int | None = None) -> DataFrame:
+def level_split_candidates(stats: DataFrame, min_bucket: int) -> DataFrame:
     """All admissible splits (one row per node, feature and cut position).
 
     Per-(node, feature) totals come from a small aggregate (at most
-    2^depth x features rows, collected and broadcast).  Its distinct-value
-    counts are the size check for the running sums: up to ``window_limit``
-    values per group a plain window is used; above it, range-partitioned
-    running sums, so no task holds all values of one feature.
+    2^depth x features rows, collected and broadcast).  The running sums are
+    range-partitioned, so no task holds all values of one feature.
     """
-    limit = WINDOW_LIMIT if window_limit is None else window_limit
     spark = stats.sparkSession
     tot = (stats.groupBy("node", "f")
-           .agg(*[F.sum(m).alias(f"s{m}") for m in ("t", "y", "n", "a", "b")], F.count(F.lit(1)).alias("n_values"))
-           .collect())
+           .agg(*[F.sum(m).alias(f"s{m}") for m in ("t", "y", "n", "a", "b")]).collect())
     if not tot:
         return None
-    tot_df = spark.createDataFrame(tot, "node long, f int, st double, sy double, sn long, sa double, sb double, "
-                                        "n_values long")
-    if max(r["n_values"] for r in tot) <= limit:
-        w_order = _order_window()
-        w_run = w_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = stats.select(
-            "node", "f", "nv", "sv", "ord",
-            F.lead("nv").over(w_order).alias("next_nv"),
-            F.row_number().over(w_order).alias("pos"),
-            *[F.sum(m).over(w_run).alias(f"l{m}") for m in ("t", "y", "n", "a", "b")])
-    else:
-        run = running_sums_within(stats, ["node", "f"], ["ord", "sv"], ["t", "y", "n", "a", "b"], next_of="nv")
-        run = run.select("node", "f", "nv", "sv", "ord", "next_nv", "pos",
-                         *[F.col(f"cum_{m}").alias(f"l{m}") for m in ("t", "y", "n", "a", "b")])
-    run = run.join(F.broadcast(tot_df.drop("n_values")), ["node", "f"])
+    tot_df = spark.createDataFrame(tot, "node long, f int, st double, sy double, sn long, sa double, sb double")
+    run = running_sums_within(stats, ["node", "f"], ["ord", "sv"], ["t", "y", "n", "a", "b"], next_of="nv")
+    run = run.select("node", "f", "nv", "sv", "ord", "next_nv", "pos",
+                     *[F.col(f"cum_{m}").alias(f"l{m}") for m in ("t", "y", "n", "a", "b")])
+    run = run.join(F.broadcast(tot_df), ["node", "f"])
     for m in ("t", "y", "n", "a", "b"):
         run = run.withColumn(f"r{m}", F.col(f"s{m}") - F.col(f"l{m}"))
     improve = (_ylogy_over_t(F.col("ly"), F.col("lt")) + _ylogy_over_t(F.col("ry"), F.col("rt"))
@@ -340,7 +318,7 @@ def best_splits(run: DataFrame | None) -> list:
 
 def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3, cp: float = 0.001,
                  min_split: int = DEFAULT_MIN_SPLIT, min_bucket: int | None = None,
-                 checkpoint: bool = True, window_limit: int | None = None) -> PoissonTree:
+                 checkpoint: bool = True) -> PoissonTree:
     """MOD-15: grow and prune a Poisson tree on the cells of ``df``."""
     min_bucket = int(round(min_split / 3)) if min_bucket is None else min_bucket
     xs = resolve_cols(df, x_vars)
@@ -369,7 +347,7 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
         if not active:
             break
         stats = level_stats(current, xs, numeric, active).persist()
-        run = level_split_candidates(stats, min_bucket, window_limit)
+        run = level_split_candidates(stats, min_bucket)
         run = run.persist() if run is not None else None
         winners = best_splits(run)
         if not winners:

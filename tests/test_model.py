@@ -285,14 +285,23 @@ def test_factor_tables_reproduce_score(spark, small_fit):
     assert math.isclose(pred, math.exp(total), rel_tol=1e-9)
 
 
-def test_tree_range_partitioned_running_sums_match_windows(spark):
-    """The large-group path (range pieces + offsets) grows the same tree as plain windows."""
+def test_tree_running_sums_match_plain_windows(spark):
+    """The range-partitioned running sums of every level are those of a plain window."""
+    from pyspark.sql import Window
+
     train = MD.train_rows(spark, SF001)
-    a = TR.poisson_tree(train, MD.X_VARS, "expected", "actual", max_depth=3, cp=0.0001, min_split=10)
-    b = TR.poisson_tree(train, MD.X_VARS, "expected", "actual", max_depth=3, cp=0.0001, min_split=10, window_limit=0)
-    assert [tuple(r) for r in a.leaves_df(spark).collect()] == [tuple(r) for r in b.leaves_df(spark).collect()]
-    assert {k: (s.feature, s.cut, tuple(s.left_levels)) for k, s in a.splits.items()} == \
-           {k: (s.feature, s.cut, tuple(s.left_levels)) for k, s in b.splits.items()}
+    xs = list(MD.X_VARS)
+    cells = TR.prepare_tree_cells(train, xs, "expected", "actual")
+    a, b = TR._cell_terms(F.col("__t"), F.col("__y"))
+    cells = cells.select(*xs, "__t", "__y", a.alias("__a"), b.alias("__b"), (F.col("quantity") % 3).cast("long").alias("node"))
+    numeric = {v: v in ("quantity", "discount_pct") for v in xs}
+    stats = TR.level_stats(cells, xs, numeric)
+    w = Window.partitionBy("node", "f").orderBy("ord", "sv")
+    plain = stats.select("node", "f", "ord", "sv", F.row_number().over(w).alias("p"), F.lead("nv").over(w).alias("n"),
+                         F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    both = TR.level_split_candidates(stats, 7).alias("r").join(plain.alias("q"), ["node", "f", "ord"]).where("r.sv <=> q.sv")
+    bad = both.where("p <> pos OR NOT (n <=> next_nv) OR abs(s - ly) > 1e-9")
+    assert both.count() == stats.count() and bad.count() == 0
 
 
 def test_tree_with_missing_predictor_values(spark):

@@ -35,20 +35,20 @@ RULES = (
 
 def repeat_words(w: Column) -> Column:
     """Words inside any window of five words that occurs twice or more in the text."""
-    windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)),
-                                                      lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW)))))
+    windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW),
+                                                      lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
 
     def covered(s: Column) -> Column:  # s: (hash, place), sorted: equal windows are neighbours
         same = lambda k, j: F.coalesce(F.get(s, k)["h"] == F.get(s, j)["h"], F.lit(False))
         twice = F.filter(s, lambda x, k: same(k - 1, k) | same(k + 1, k))
-        places = F.array_sort(F.transform(twice, lambda x: x["i"]))
+        places = F.sort_array(F.transform(twice, lambda x: x["i"]))
         return let(places, lambda p: F.aggregate(
             F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))),
             F.lit(0), lambda total, x: total + x))
 
     def count(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
-            let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered))
+            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered))
 
     return F.coalesce(let(windows, lambda h: F.when(h.isNotNull(), count(h))), F.lit(0))
 

@@ -44,7 +44,7 @@ def run_length(k: int) -> int:
 def _runs(w: Column, length: int, step: int, last: Column) -> Column:
     """Hashes of the runs of ``length`` words that start at 0, step, 2 step, ... up to ``last``."""
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)),
-                                         lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(length)))))
+                                         lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(length)])))
 
 
 def _windows(w: Column, k: int) -> Column:

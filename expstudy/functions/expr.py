@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NEG_INF = float("-inf")
+# Fixed value: a count this near a whole number (relative above 1) counts as whole.
+WHOLE = 1e-9
 
 
 def col_of(c) -> Column:
@@ -53,24 +55,18 @@ def log_factorial(c) -> Column:
 def poisson_logpmf(y, mu) -> Column:
     """``log P(Y = y)`` for ``Y ~ Poisson(mu)``, following R's ``dpois(log=TRUE)``.
 
-    mu < 0 -> NaN; y < 0 or fractional -> -Inf; mu = 0 -> 0 when y = 0 else -Inf;
+    mu < 0 -> NaN; y < 0 or fractional -> -Inf (rounding noise of up to ``WHOLE`` is
+    taken for the whole number, as sums of doubles have it); mu = 0 -> 0 when y = 0 else -Inf;
     y = 0 -> -mu; otherwise ``y ln mu - mu - ln y!``.  Never takes ``ln(0)``.
     """
-    yc = col_of(y).cast("double")
+    given = col_of(y).cast("double")
+    yc = F.round(given)
     m = col_of(mu).cast("double")
     return (
         F.when(yc.isNull() | m.isNull(), F.lit(None).cast("double"))
         .when(m < 0, F.lit(float("nan")))
-        .when((yc < 0) | (yc != F.floor(yc)), F.lit(NEG_INF))
+        .when((yc < 0) | (F.abs(given - yc) > WHOLE * F.greatest(F.lit(1.0), yc)), F.lit(NEG_INF))
         .when(m == 0, F.when(yc == 0, F.lit(0.0)).otherwise(F.lit(NEG_INF)))
         .when(yc == 0, -m)
         .otherwise(yc * F.log(m) - m - log_factorial(yc))
     )
-
-
-def poisson_deviance_term(y, mu) -> Column:
-    """Unit Poisson deviance ``2 (y ln(y/mu) - (y - mu))`` with ``0 ln 0 = 0``."""
-    yc = col_of(y).cast("double")
-    m = col_of(mu).cast("double")
-    ylog = F.when(yc > 0, yc * F.log(yc / m)).otherwise(F.lit(0.0))
-    return 2.0 * (ylog - (yc - m))

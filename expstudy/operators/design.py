@@ -157,7 +157,7 @@ def check_factors(df: DataFrame, x_vars: Sequence[str], declared: Mapping[str, s
     strings = {v for v in x_vars if isinstance(df.schema[resolve_col(df, v)].dataType, T.StringType)}
     bad = [k for k in declared if k not in strings]
     if bad:
-        raise ValueError(f"Invalid factor names: {','.join(bad)}")
+        raise ValueError(f"defaults were given for what is no factor: {', '.join(bad)}")
 
 
 def learn_recipe(cells: DataFrame, x_vars: Sequence[str], factor_defaults: Mapping[str, str] | None = None,
@@ -192,7 +192,7 @@ def _learn(cells, strings, numerics, factor_defaults, clip, max_levels) -> Recip
                              for i, v in enumerate(strings)]).first()
         for i, v in enumerate(strings):
             if approx[f"a{i}"] > 2 * max_levels:
-                raise ValueError(f"Error: {v} has more than {max_levels} levels")
+                raise ValueError(f"factor {v} exceeds the limit of {max_levels} levels")
     aggs = []
     for i, v in enumerate(strings):
         s = F.collect_set(resolve_col(cells, v))
@@ -208,12 +208,14 @@ def _learn(cells, strings, numerics, factor_defaults, clip, max_levels) -> Recip
     for i, v in enumerate(strings):
         n_vals = int(r[f"n{i}"]) + int(r[f"z{i}"] or 0)
         if n_vals > max_levels:
-            raise ValueError(f"Error: {v} has more than {max_levels} levels")
+            raise ValueError(f"factor {v} exceeds the limit of {max_levels} levels")
         vals = list(r[f"v{i}"])
         d = factor_defaults.get(v)
         rec.levels[v] = ([d] + [x for x in vals if x != d]) if d is not None else vals
     for i, v in enumerate(numerics):
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+        if lo is None:
+            raise ValueError(f"predictor {v} has no value in any row")
         if v in clip:
             ulo, uhi = clip[v]
             lo, hi = max(lo, ulo), min(hi, uhi)

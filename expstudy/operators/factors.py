@@ -19,10 +19,10 @@ the grid (JN-2, missing contribution -> 0).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from expstudy.functions.ranking import row_number_within
 from expstudy.operators.score import GlmModel
@@ -59,7 +59,7 @@ def _typical(model: GlmModel, var: str):
 
 
 def group_grid(model: GlmModel, spark: SparkSession, vars_: list[str]) -> DataFrame:
-    """JN-3 + SEQ-1: all combinations of the group's values with an ``obs_id``."""
+    """JN-3 + SEQ-1: all combinations of the group's values (levels, or whole steps of the range)."""
     rec = model.design.recipe
     g = spark.range(1).select()
     for v in vars_:
@@ -67,43 +67,25 @@ def group_grid(model: GlmModel, spark: SparkSession, vars_: list[str]) -> DataFr
             vals = F.array(*[F.lit(x) for x in rec.levels[v]])
         else:
             lo, hi = rec.ranges[v]
-            # R-style seq(lo, hi, by = 1), then integer truncation
             vals = F.transform(F.sequence(F.lit(0), F.lit(int(math.floor(hi - lo)))),
                                lambda k: (F.lit(lo) + k).cast("int"))
         g = g.select("*", F.explode(vals).alias(v))
-    first = vars_[0] if vars_ else None
-    order = [F.col(v) for v in vars_] if first else [F.lit(1)]
-    # the grid is bounded by the model spec; one ordered window over it is fine
-    return g.withColumn("obs_id", F.row_number().over(Window.orderBy(*order)))
+    return g
 
 
 def factor_table(model: GlmModel, spark: SparkSession, group: str) -> DataFrame:
-    """MOD-21 for one term group."""
-    tmap = model.design.term_map()
-    names = [n for n, g, _ in tmap if g == group]
-    if not names:
+    """MOD-21 for one term group: the group's part of the linear predictor as one column
+    expression over its grid - no shuffle, the other variables at typical values."""
+    mine = [(n, v) for n, g, v in model.design.term_map() if g == group]
+    if not mine:
         raise KeyError(f"no term group {group}")
-    vars_ = [v for v in [row[2] for row in tmap if row[1] == group][0].split("|")]
-    grid = group_grid(model, spark, vars_)
-    full = grid
-    for v in model.design.variables:
-        if v not in vars_:
-            full = full.withColumn(v, _typical(model, v))
-    basis = model.design.basis(full)
-    by_name = dict(zip(model.design.names, basis))
-    # SEQ-2: wide -> long over this group's columns
-    long = full.select("obs_id", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("term_name"), by_name[n].alias("basis_value")) for n in names])).alias("e"))
-    long = long.select("obs_id", "e.term_name", "e.basis_value")
-    coefs = spark.createDataFrame([(n, float(b)) for n, b in zip(model.design.names, model.coefs) if n in names],
-                                  "term_name string, estimate double")
-    joined = long.join(F.broadcast(coefs), "term_name", "left").withColumn("estimate", F.coalesce("estimate", F.lit(0.0)))
-    contrib = joined.groupBy("obs_id").agg(F.sum(F.col("basis_value") * F.col("estimate")).alias("contribution_log"))
-    out = (grid.join(contrib, "obs_id", "left")
-           .withColumn("contribution_log", F.coalesce("contribution_log", F.lit(0.0)))
-           .withColumn("contribution_multiplier", F.exp("contribution_log")))
-    keep = [v for v in vars_ if _varies(model, v)]
-    return out.select(*keep, "contribution_log", "contribution_multiplier")
+    vars_ = mine[0][1].split("|")
+    full = group_grid(model, spark, vars_).withColumns({v: _typical(model, v) for v in model.design.variables if v not in vars_})
+    names = {n for n, _ in mine}
+    parts = [F.lit(float(b)) * x for n, b, x in zip(model.design.names, model.coefs, model.design.basis(full)) if n in names and b]
+    log = reduce(lambda x, y: x + y, parts) if parts else F.lit(0.0)
+    return full.select(*[v for v in vars_ if _varies(model, v)], log.cast("double").alias("contribution_log"),
+                       F.exp(log.cast("double")).alias("contribution_multiplier"))
 
 
 def _varies(model: GlmModel, v: str) -> bool:
@@ -147,6 +129,13 @@ def _named(d: DataFrame, out: str) -> DataFrame:
     return d.withColumn(out, F.when(F.col("__dup") == 0, F.col("__base")).otherwise(F.concat(cut, suffix)))
 
 
+def sheets(model: GlmModel, spark: SparkSession) -> DataFrame:
+    """SNK-5: the stacked factor tables with a safe, unique ``sheet`` name per term group."""
+    groups = list(dict.fromkeys(g for _, g, _ in model.design.term_map()))
+    names = safe_names(spark.createDataFrame(list(enumerate(groups)), "ix long, term_group string"), "term_group", "ix", out="sheet")
+    return factor_tables_long(model, spark).join(F.broadcast(names.drop("ix")), "term_group")
+
+
 #: Suffixes that a row whose name is taken tries in one round.
 SUFFIXES_TRIED = 64
 

@@ -5,15 +5,18 @@ A study is a tree of immutable workspace nodes ``(node, parent)``; each step
 Spark job:
 
 * ``root_depth``  - root and depth of every node by pointer doubling: round k
-  joins the pointer table with itself so each node jumps 2^k levels; a chain of
-  depth d needs ceil(log2 d) rounds instead of d recursive steps.
+  joins the nodes still on their way with the pointer table, so each jumps 2^k
+  levels; a chain of depth d needs ceil(log2 d) rounds instead of d recursive
+  steps.  Nodes that have reached their root are set aside and joined no more.
 * ``branches``    - the root-to-leaf path of chosen leaves, by the same
-  doubling over jump tables (J_{k+1} = J_k o J_k); the output is one row per
-  (leaf, ancestor), i.e. the sum of the branch lengths.
+  doubling over jump tables (J_{k+1} = J_k o J_k), for as many rounds as the
+  chosen leaves need; the output is one row per (leaf, ancestor), i.e. the sum
+  of the branch lengths.
 
 Each round is checkpointed to the reliable checkpoint folder, which cuts the
-growing plan and makes a lost executor cost one round at most.  The depth cap
-(1000, as in the reference) turns a cycle or an over-deep log into an error.
+growing plan and makes a lost executor cost one round at most.  Both refuse a
+chain of ``MAX_DEPTH`` or more nodes (so also a cycle) and a parent pointer
+that names no node.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from expstudy.functions.ranking import row_number_within
-from expstudy.plans.fixtures import TOOL_CREATE_DATASET, TOOL_GLM, TOOL_INFERENCE, TOOL_TREE
 from expstudy.session import reliable_checkpoint
+from expstudy.tools import TOOL_CREATE_DATASET, TOOL_GLM, TOOL_INFERENCE, TOOL_TREE
 
-# Traversal depth cap and the stand-in tool name of the reference.
+# Traversal cap (a chain of this many nodes is refused), the stand-in tool
+# name and the pointer text of the reference.
 MAX_DEPTH = 1000
 UNKNOWN_TOOL = "unknown"
 POINTER_PATTERN = r'^"([A-Za-z0-9-]+)"->"([A-Za-z0-9-]+)"$'
@@ -51,63 +55,61 @@ def parse_pointers(df: DataFrame, col: str = "pointer") -> DataFrame:
         F.regexp_extract(txt, POINTER_PATTERN, 2).alias("__child"))
     bad = parsed.filter((F.col("__p") != "root") & (F.col("__child") == "")).limit(1).collect()
     if bad:
-        raise ValueError(f"Invalid workspace pointer: {bad[0]['__p']!r}")
+        raise ValueError(f"not a pointer between two nodes: {bad[0]['__p']!r}")
     return parsed.filter(F.col("__p") != "root").select(F.col("__child").alias("node"), F.col("__parent").alias("parent"))
 
 
+def _too_deep(max_depth: int) -> ValueError:
+    return ValueError(f"a lineage chain has {max_depth} or more nodes, or runs in a circle")
+
+
 def root_depth(nodes: DataFrame, node: str = "node", parent: str = "parent", max_depth: int = MAX_DEPTH) -> DataFrame:
     """Root id and depth (root = 0) of every node, by pointer doubling."""
-    cur = nodes.select(F.col(node).alias("node"),
-                       F.coalesce(F.col(parent), F.col(node)).alias("anc"),
-                       F.when(F.col(parent).isNull(), 0).otherwise(1).alias("dist"),
-                       F.col(parent).isNull().alias("done"))
-    cur = reliable_checkpoint(cur)
-    rounds = int(math.ceil(math.log2(max(max_depth, 2)))) + 1
-    pending = cur.filter(~F.col("done")).limit(1).count()
-    for _ in range(rounds + 1):
-        if not pending:
-            return cur.select("node", F.col("anc").alias("root"), F.col("dist").alias("depth"))
-        a, b = cur.alias("a"), cur.alias("b")
-        j = a.join(b, F.col("a.anc") == F.col("b.node"), "left")
-        cur = reliable_checkpoint(j.select(
-            F.col("a.node").alias("node"),
-            F.when(F.col("a.done"), F.col("a.anc")).otherwise(F.col("b.anc")).alias("anc"),
-            F.when(F.col("a.done"), F.col("a.dist")).otherwise(F.col("a.dist") + F.col("b.dist")).alias("dist"),
-            (F.col("a.done") | F.coalesce(F.col("b.done"), F.lit(False))).alias("done"),
-            (~F.col("a.done") & F.col("b.node").isNull()).alias("broken")))
-        # one job per round for all checks: dangling pointer, unfinished nodes, depth cap
-        flags = cur.agg(F.max(F.col("broken").cast("int")).alias("broken"),
-                        F.count_if(~F.col("done")).alias("pending"), F.max("dist").alias("deepest")).first()
-        if flags["broken"]:
-            raise ValueError("malformed lineage: a parent pointer names no node")
-        if flags["deepest"] is not None and flags["deepest"] > max_depth:
-            raise ValueError("Max depth reached while scanning for root")
-        pending = flags["pending"]
-        cur = cur.drop("broken")
-    raise ValueError("Max depth reached while scanning for root")
+    top = F.col(parent).isNull()
+    done = reliable_checkpoint(nodes.filter(top).select(F.col(node).alias("node"), F.col(node).alias("root"), F.lit(0).alias("depth")))
+    pending = reliable_checkpoint(nodes.filter(~top).select(F.col(node).alias("node"), F.col(parent).alias("anc"), F.lit(1).alias("dist")))
+    known = done
+    while not pending.isEmpty():
+        # where the ancestor stands now: at its root, or on its way to its own ancestor
+        state = known.select("node", F.col("root").alias("to"), F.col("depth").alias("by"), F.lit(True).alias("at_root")).unionByName(
+            pending.select("node", F.col("anc").alias("to"), F.col("dist").alias("by"), F.lit(False).alias("at_root")))
+        moved = reliable_checkpoint(
+            pending.alias("a").join(state.alias("b"), F.col("a.anc") == F.col("b.node"), "left")
+            .select(F.col("a.node").alias("node"), F.col("b.to").alias("anc"), (F.col("a.dist") + F.col("b.by")).alias("dist"), "b.at_root"))
+        flags = moved.agg(F.max(F.col("at_root").isNull().cast("int")).alias("lost"), F.max("dist").alias("deepest")).first()
+        if flags["lost"]:
+            raise ValueError("a parent pointer names a node that is not in the log")
+        if flags["deepest"] + 1 >= max_depth:
+            raise _too_deep(max_depth)
+        known = known.unionByName(moved.filter("at_root").select("node", F.col("anc").alias("root"), F.col("dist").alias("depth")))
+        pending = moved.filter(~F.col("at_root")).drop("at_root")
+    return known
 
 
 def branches(nodes: DataFrame, leaves: DataFrame, node: str = "node", parent: str = "parent",
              max_depth: int = MAX_DEPTH) -> DataFrame:
     """LIN-4: ``(leaf, node, pos)`` for every ancestor of each leaf (pos 0 = the leaf).
 
-    The root-to-leaf order is ``pos`` descending.
+    The root-to-leaf order is ``pos`` descending.  Only the chosen leaves' chains are checked.
     """
-    jump = reliable_checkpoint(nodes.filter(F.col(parent).isNotNull())
-                               .select(F.col(node).alias("node"), F.col(parent).alias("anc")))
-    have = reliable_checkpoint(leaves.select(F.col(node).alias("leaf"), F.col(node).alias("node"),
-                                             F.lit(0).alias("pos")))
+    jump = nodes.filter(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("anc"))
+    have = reliable_checkpoint(leaves.select(F.col(node).alias("leaf"), F.col(node).alias("node"), F.lit(0).alias("pos")))
     step = 1
-    while jump.limit(1).count():
-        if step > max_depth:
-            raise ValueError("Max depth reached while scanning for root")
-        ext = (have.join(jump, "node")
-               .select("leaf", F.col("anc").alias("node"), (F.col("pos") + F.lit(step)).alias("pos")))
-        have = reliable_checkpoint(have.unionByName(ext))
+    while True:
+        ext = reliable_checkpoint(have.join(jump, "node").select("leaf", F.col("anc").alias("node"), (F.col("pos") + F.lit(step)).alias("pos")))
+        if ext.isEmpty():
+            break
+        have = have.unionByName(ext)
+        if have.agg(F.max("pos")).first()[0] + 1 >= max_depth:
+            raise _too_deep(max_depth)
         j1, j2 = jump.alias("j1"), jump.alias("j2")
         jump = reliable_checkpoint(j1.join(j2, F.col("j1.anc") == F.col("j2.node"))
                                    .select(F.col("j1.node").alias("node"), F.col("j2.anc").alias("anc")))
         step *= 2
+    tops = have.groupBy("leaf").agg(F.max_by("node", "pos").alias("node"))
+    roots = nodes.filter(F.col(parent).isNull()).select(F.col(node).alias("node"))
+    if not tops.join(roots, "node", "left_anti").isEmpty():
+        raise ValueError("a parent pointer names a node that is not in the log")
     return have
 
 
@@ -121,7 +123,7 @@ def tree_of(nodes: DataFrame, root_id, node: str = "node", parent: str = "parent
     """LIN-5: descendants of one root with their level; error if ``root_id`` is not a root."""
     r = nodes.filter(F.col(node) == F.lit(root_id)).select(parent).limit(1).collect()
     if not r or r[0][0] is not None:
-        raise ValueError(f"{root_id} is not a root node")
+        raise ValueError(f"node {root_id} does not start a study")
     rd = root_depth(nodes, node, parent)
     return rd.filter(F.col("root") == F.lit(root_id)).select("node", F.col("depth").alias("level"))
 
@@ -236,16 +238,17 @@ class StudyLog:
         """Refuse any step under a finalised branch (before a node is created)."""
         finals = self._read("final", "node string, created double")
         if self._ancestors(parent).join(finals, "node", "left_semi").limit(1).count():
-            raise ValueError("this study branch is finalised; no further steps")
+            raise ValueError("the branch is final and takes no more steps")
 
     def check_one_model(self, parent: str, tool_name: str) -> None:
         """Refuse a second model fit on a chain."""
-        if tool_name == TOOL_GLM:
-            anc = self._ancestors(parent)
-            fits = (self.steps().filter((F.col("tool_name") == TOOL_GLM) & F.col("success"))
-                    .join(anc, "node", "left_semi"))
-            if fits.limit(1).count():
-                raise ValueError("model already exists; backtrack before the earlier fit")
+        if tool_name == TOOL_GLM and self.has_model(parent):
+            raise ValueError("this branch has its model; go back to a step before that fit")
+
+    def has_model(self, node: str) -> bool:
+        """Whether a model fit succeeded on the node's chain."""
+        fits = self.steps().filter((F.col("tool_name") == TOOL_GLM) & F.col("success"))
+        return not fits.join(self._ancestors(node), "node", "left_semi").isEmpty()
 
     def check_can_step(self, parent: str, tool_name: str) -> None:
         """Refuse steps under a finalised branch and a second model fit on a chain."""
@@ -268,14 +271,7 @@ class StudyLog:
     def step(self, parent: str, tool_name: str, args: list, result: dict | None = None,
              success: bool = True) -> str:
         """LIN-1 + SNK-8: a new child node with its log entry (also on failure)."""
-        finals = self._read("final", "node string, created double")
-        anc = self._ancestors(parent)
-        if anc.join(finals, "node", "left_semi").limit(1).count():
-            raise ValueError("this study branch is finalised; no further steps")
-        if tool_name == TOOL_GLM:
-            fits = self.steps().filter(F.col("tool_name") == TOOL_GLM).join(anc, "node", "left_semi")
-            if fits.limit(1).count():
-                raise ValueError("model already exists; backtrack before the earlier fit")
+        self.check_can_step(parent, tool_name)
         node = uuid.uuid4().hex
         self._append("steps", [(node, parent, time.time(), tool_name, json.dumps(args),
                                 json.dumps(result or {}), success)], self.STEP_SCHEMA)
@@ -287,8 +283,6 @@ class StudyLog:
 
     def finalize(self, node: str) -> None:
         """LIN-11: mark the chosen branch; it needs a fitted model on it."""
-        anc = self._ancestors(node)
-        fits = self.steps().filter(F.col("tool_name") == TOOL_GLM).join(anc, "node", "left_semi")
-        if not fits.limit(1).count():
+        if not self.has_model(node):
             raise ValueError("finalize needs a fitted model on the branch")
         self._append("final", [(node, time.time())], "node string, created double")

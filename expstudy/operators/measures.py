@@ -70,30 +70,6 @@ def levels(df: DataFrame, col: str) -> DataFrame:
     return df.select(c).distinct()
 
 
-def levels_many(df: DataFrame, cols: Sequence[str], cap: int | None = None) -> dict[str, list]:
-    """Distinct non-NULL values of several string columns in one job, sorted.
-
-    Aggregates with ``collect_set`` per column (partial on the map side).  With
-    ``cap`` the job also returns ``size`` so callers can fail above the cap
-    without materialising a huge set on the driver: the sets are first capped
-    with ``slice`` on the executors.
-    """
-    names = resolve_cols(df, cols)
-    if not names:
-        return {}
-    aggs = []
-    for i, c in enumerate(names):
-        s = F.collect_set(c)
-        aggs.append(F.size(s).alias(f"n{i}"))
-        aggs.append((F.slice(F.array_sort(s), 1, cap + 1) if cap else F.array_sort(s)).alias(f"v{i}"))
-        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"z{i}"))
-    r = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(names):
-        out[c] = {"values": list(r[f"v{i}"]), "n": int(r[f"n{i}"]), "has_null": bool(r[f"z{i}"])}
-    return out
-
-
 def ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG-6: min and max of every column in one aggregate (NULL skipped)."""
     names = resolve_cols(df, cols)

@@ -101,7 +101,7 @@ def assert_positive_exposure(cells: DataFrame, offset: str) -> None:
     """PRJ-9: fail when any cell has a NULL or non-positive offset."""
     n = count_non_positive(cells, offset)
     if n > 0:
-        raise ValueError(f"detected {n} model data rows with zero exposure")
+        raise ValueError(f"{n} rows of the model data have zero exposure")
 
 
 def clip(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
@@ -156,11 +156,6 @@ def drop_constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*drop)
 
 
-def add_prediction(df: DataFrame, pred, name: str = "MODEL_PRED") -> DataFrame:
-    """PRJ-13: append the prediction column."""
-    return df.withColumn(name, pred)
-
-
 def rename_measures(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """PRJ-14: restore user names (e.g. ``offset -> Expected``)."""
     out = df

@@ -23,6 +23,10 @@ from expstudy.schema import resolve_col
 AE_GATE = 1.03
 
 
+#: What a job fails with at a row whose factor level was not in the training data.
+UNSEEN = "a row has a factor level unseen in training"
+
+
 @dataclass
 class GlmModel:
     design: Design
@@ -47,7 +51,8 @@ class GlmModel:
 
         response with offset: ``offset * exp(eta)`` (never ``exp(eta + ln offset)``,
         which breaks at offset 0); without offset the rate ``exp(eta)``.  link:
-        ``eta (+ ln offset)``.  Rows with an unseen factor level give NULL.
+        ``eta (+ ln offset)``.  Rows with an unseen factor level give NULL, or fail
+        the job with ``on_unseen='error'``.
         """
         eta = self.eta(df)
         if type == "response":
@@ -64,16 +69,14 @@ class GlmModel:
             raise ValueError("type must be 'response' or 'link'")
         if on_unseen not in ("null", "error"):
             raise ValueError("on_unseen must be 'null' or 'error'")
-        return F.when(self.design.known(df), out).cast("double")
+        other = F.raise_error(F.lit(UNSEEN)).cast("double") if on_unseen == "error" else F.lit(None).cast("double")
+        return F.when(self.design.known(df), out.cast("double")).otherwise(other)
 
     def score(self, df: DataFrame, use_offset: bool = True, type: str = "response",
               on_unseen: str = "error", name: str = "MODEL_PRED") -> DataFrame:
-        """Append the prediction column; ``on_unseen='error'`` first checks levels (one job)."""
-        if on_unseen == "error":
-            n_bad = df.agg(F.count_if(~self.design.known(df)).alias("n")).first()["n"]
-            if n_bad:
-                raise ValueError(f"{n_bad} rows have factor levels unseen in training")
-        return df.withColumn(name, self.predict(df, use_offset, type))
+        """Append the prediction column, in one pass: with ``on_unseen='error'`` the job that
+        reads the predictions fails at a row with a factor level unseen in training."""
+        return df.withColumn(name, self.predict(df, use_offset, type, on_unseen))
 
     # --- persistence (MOD-23) --------------------------------------------
     def to_dict(self) -> dict:
@@ -152,4 +155,4 @@ def training_ae(scored: DataFrame, y: str, pred: str = "MODEL_PRED") -> float:
 def training_gate(ae: float | None, tolerance: float = AE_GATE) -> None:
     """MOD-13: accept only ``|ln(A/E)| < ln(1.03)``."""
     if ae is None or not (ae > 0) or abs(math.log(ae)) >= math.log(tolerance):
-        raise ValueError("Model training sanity check failed (A/E > 100% +- 3%)")
+        raise ValueError("actual to expected of the training data is off 1 by more than the gate allows")

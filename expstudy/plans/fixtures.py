@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from expstudy.tools import TOOL_CREATE_DATASET, TOOL_GLM, TOOL_INFERENCE, TOOL_TREE
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -31,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SPLIT_START = "1999-01-01 00:00:00"
 
 
-def experience(spark: SparkSession, sf_dir: str, dirty: bool = False, split: str | None = None) -> DataFrame:
+def experience(spark: SparkSession, sf_dir: str, dirty: bool = False, split: str | None = None,
+               until: str | None = None) -> DataFrame:
     """One row per lineitem: predictors, ``expected`` (offset), ``actual`` (claims).
 
     The join order is chosen for scale: ``orders`` is joined to ``customer``
@@ -47,10 +50,12 @@ def experience(spark: SparkSession, sf_dir: str, dirty: bool = False, split: str
     ``split='TRAIN'|'TEST'`` keeps one split with a plain range predicate on the
     lineitem scan, which Parquet can push down (the real experience table is
     written partitioned by observation year, where the same filter prunes
-    partitions).
+    partitions).  ``until`` keeps the rows shipped before a time, in the same way.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+    if until is not None:
+        li = li.filter(F.col("l_shipdate") < F.lit(until))
     if split == "TRAIN":
         li = li.filter(F.col("l_shipdate") < F.lit(SPLIT_START))
     elif split == "TEST":
@@ -162,12 +167,6 @@ FROM (SELECT l_suppkey AS portfolio_id, CAST(year(l_shipdate) AS INTEGER) AS yea
 # S3 lineage log
 # ---------------------------------------------------------------------------
 
-# Tool names of the modelling steps, as logged by the reference.
-TOOL_CREATE_DATASET = "cmd_create_dataset"
-TOOL_TREE = "cmd_rpart"
-TOOL_GLM = "cmd_glmnet"
-TOOL_INFERENCE = "cmd_run_inference"
-
 
 def _tool_name(role, turn):
     return (F.when(role == "system", F.lit(None).cast("string"))

@@ -388,7 +388,9 @@ SELECT obs_year, CAST(count(*) AS BIGINT) AS n_rows, round(sum(actual), 6) AS ac
 FROM experience WHERE obs_year <= 1997 GROUP BY 1
 """, experience=X.EXPERIENCE_SQL))
 def q_split_by_year(spark, sf_dir):
-    t = P.take_split_by_year(X.experience(spark, sf_dir), "obs_year", 1997, train=True)
+    # the year bound as a range on the scan column, so that it reaches the Parquet reader
+    t = X.experience(spark, sf_dir, until=f"{1997 + 1}-01-01 00:00:00")
+    t = P.take_split_by_year(t, "obs_year", 1997, train=True)
     return t.groupBy("obs_year").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), r6(F.sum("actual")).alias("actual"))
 
 

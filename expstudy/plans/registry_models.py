@@ -13,7 +13,6 @@ from expstudy.operators.design import learn_recipe
 from expstudy.plans import fixtures as X
 from expstudy.plans import models as MD
 from expstudy.plans.registry import register, r6
-from expstudy.sources import io as IO
 
 
 # ---------------------------------------------------------------------------
@@ -453,17 +452,6 @@ def q_bounded_query(spark, sf_dir):
                                    order=["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
 
 
-@register("export_capped", X.with_views("""
-SELECT dataset, CAST(count(*) AS BIGINT) AS n_rows, round(sum(actual), 6) AS actual, false AS truncated
-FROM experience GROUP BY 1
-""", experience=X.EXPERIENCE_SQL))
-def q_export_capped(spark, sf_dir):
-    head, flag = IO.capped(X.experience(spark, sf_dir), IO.SHEET_ROW_CAP)
-    t = flag.first()["truncated"]
-    return (head.groupBy("dataset").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), r6(F.sum("actual")).alias("actual"))
-            .withColumn("truncated", F.lit(bool(t))))
-
-
 def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, cp: float = 0.001,
                      source: str = "experience", offset: str = "expected", route_rows: bool = False,
                      node_stats: bool = False) -> str:

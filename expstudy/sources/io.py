@@ -49,7 +49,8 @@ def ingest_experience(spark: SparkSession, src: str, dest: str, partition_by: st
 
     obs = Observation("ingest")
     df = read_experience(spark, src).observe(obs, F.count(F.lit(1)).alias("n"))
-    df.write.mode("errorifexists").partitionBy(partition_by).parquet(dest)
+    # AQE evens the pieces out by year: a task writes few years, a large year gets several files
+    df.hint("rebalance", partition_by).write.mode("errorifexists").partitionBy(partition_by).parquet(dest)
     return int(obs.get["n"])
 
 
@@ -75,6 +76,11 @@ def try_read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _grouped(df: DataFrame):
+    """A Parquet writer that bounds the rows of a row group; a file holds many groups."""
+    return df.write.mode("errorifexists").option("parquet.block.row.count.limit", str(ROWS_PER_GROUP))
+
+
 def _refuse_existing(write, path: str, what: str) -> None:
     """Run a writer in ``errorifexists`` mode; an existing target becomes FileExistsError.
 
@@ -101,22 +107,21 @@ def create_dataset(spark: SparkSession, root: str, name: str, sql: str) -> int:
     """SNK-1: run a query, write it as Parquet, refuse to overwrite; return the row count.
 
     The count comes from an ``Observation`` on the written frame, so the query
-    runs once.  ``maxRecordsPerFile`` keeps files near the reference's row-group size.
+    runs once.
     """
     from pyspark.sql import Observation
 
     if not is_select(sql):
-        raise ValueError("sql must be a valid select statement.")
+        raise ValueError("a dataset is made from one SELECT statement")
     obs = Observation(f"create_{name}")
     df = spark.sql(strip_semicolons(sql)).observe(obs, F.count(F.lit(1)).alias("n"))
-    _refuse_existing(df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_GROUP).parquet,
-                     dataset_path(root, name), f"dataset {name}")
+    _refuse_existing(_grouped(df).parquet, dataset_path(root, name), f"dataset {name}")
     return int(obs.get["n"])
 
 
 def export_parquet(df: DataFrame, path: str) -> str:
     """SNK-2: write a result as Parquet."""
-    df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_GROUP).parquet(path)
+    _grouped(df).parquet(path)
     return path
 
 
@@ -128,35 +133,34 @@ def export_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def capped(df: DataFrame, cap: int = SHEET_ROW_CAP) -> tuple[DataFrame, DataFrame]:
-    """SNK-4 core: at most ``cap`` rows plus a one-row frame telling whether rows were cut.
+def export_capped(df: DataFrame, path: str, cap: int = SHEET_ROW_CAP, fmt: str = "csv", order=None) -> tuple[bool, str]:
+    """SNK-4: export at most ``cap`` rows, the first in ``order`` (default: all columns);
+    return (truncated, path).
 
-    ``limit(cap + 1)`` stops the scan early; the flag is "the extra row exists".
+    ``cap + 1`` ordered rows are taken once and kept in the checkpoint folder, so the rows and
+    the flag (is there an extra row?) come from one evaluation.
     """
-    plus = df.limit(cap + 1)
-    flag = plus.agg((F.count(F.lit(1)) > cap).alias("truncated"))
-    return df.limit(cap), flag
+    from expstudy.session import reliable_checkpoint
 
-
-def export_capped(df: DataFrame, path: str, cap: int = SHEET_ROW_CAP, fmt: str = "csv") -> tuple[bool, str]:
-    """SNK-4: export at most ``cap`` rows; return (truncated, path)."""
-    head, flag = capped(df, cap)
-    truncated = bool(flag.first()["truncated"])
-    (export_csv if fmt == "csv" else export_parquet)(head, path)
+    keys = list(order or df.columns)
+    plus = reliable_checkpoint(df.orderBy(*keys).limit(cap + 1))
+    truncated = plus.count() > cap
+    (export_csv if fmt == "csv" else export_parquet)(plus.orderBy(*keys).limit(cap), path)
     return truncated, path
 
 
-def write_factor_tables(long_tables: DataFrame, path: str) -> str:
-    """SNK-5: one output folder per term group (``partitionBy``)."""
-    long_tables.write.mode("errorifexists").partitionBy("term_group").parquet(path)
+def write_factor_tables(long_tables: DataFrame, path: str, overview: DataFrame | None = None) -> str:
+    """SNK-5: one output folder per term group (``partitionBy``), named by ``sheet``, and the overview."""
+    long_tables.write.mode("errorifexists").partitionBy("sheet").parquet(f"{path}/tables")
+    if overview is not None:
+        overview.coalesce(1).write.mode("errorifexists").parquet(f"{path}/overview")
     return path
 
 
 def write_scored(df: DataFrame, root: str, name: str) -> str:
     """SNK-6: refuse if the output exists, then write the scored frame."""
     path = dataset_path(root, name)
-    _refuse_existing(df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_GROUP).parquet,
-                     path, f"dataset {name}")
+    _refuse_existing(_grouped(df).parquet, path, f"dataset {name}")
     return path
 
 
@@ -165,19 +169,40 @@ def write_run_scores(scores: DataFrame, path: str) -> str:
     return export_csv(scores, path)
 
 
-def read_prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test")) -> DataFrame:
-    """SRC-8: recursive scan for Parquet data whose name holds every marker.
+def prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test")) -> dict[str, list[str]]:
+    """SRC-8, the scan: Parquet files below ``root`` by name, for names that hold every marker.
 
-    Adds ``filename`` (file name), ``source_name`` (the file name, or for Spark's
-    ``part-*`` files the name of their dataset folder) and ``path`` from the
-    file metadata column; the markers are matched on ``source_name``.
+    A ``part-*`` file counts under the name of its dataset folder.  A name found in several
+    places stands for the first of them in path order.  Only paths are read (one per file).
     """
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    base = F.element_at(parts, -1)
-    dataset = F.when(base.startswith("part-"), F.element_at(parts, -2)).otherwise(base)
-    df = df.select("*", F.col("_metadata.file_name").alias("filename"), dataset.alias("source_name"),
-                   F.col("_metadata.file_path").alias("path"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.parquet").load(root).select("path"))
+    parts = F.split("path", "/")
+    in_folder = F.element_at(parts, -1).startswith("part-")
+    files = files.select("path", F.when(in_folder, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1)).alias("name"),
+                         F.when(in_folder, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("place"))
     for m in must_contain:
-        df = df.filter(F.col("source_name").contains(m))
-    return df
+        files = files.filter(F.col("name").contains(m))
+    first = files.groupBy("name").agg(F.min("place").alias("place"))
+    out: dict[str, list[str]] = {}
+    for r in files.join(first, ["name", "place"]).orderBy("name", "path").collect():
+        out.setdefault(r["name"], []).append(r["path"])
+    return out
+
+
+def read_prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test")) -> DataFrame | None:
+    """SRC-8: the matching prediction files, one place per name, with ``filename`` (file or
+    dataset folder) and ``path``; None when no file matches.
+
+    Names are selected before any schema is read, so files of other kinds below ``root``
+    do not matter.
+    """
+    chosen = prediction_files(spark, root, must_contain)
+    frames = [spark.read.parquet(*paths).select("*", F.lit(name).alias("filename"), F.col("_metadata.file_path").alias("path"))
+              for name, paths in chosen.items()]
+    if not frames:
+        return None
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -19,8 +19,8 @@ from expstudy.operators import tree as TR
 from expstudy.operators.lasso import fit_glm
 from expstudy.operators.lineage import StudyLog
 from expstudy.operators.score import load_model, save_model
-from expstudy.plans.fixtures import TOOL_CREATE_DATASET, TOOL_GLM, TOOL_INFERENCE, TOOL_TREE
 from expstudy.sources import io as IO
+from expstudy.tools import TOOL_CREATE_DATASET, TOOL_GLM, TOOL_INFERENCE, TOOL_TREE
 
 
 class Study:
@@ -64,6 +64,12 @@ class Study:
                 out.append((name, r["node"]))
         return out
 
+    def check_new_dataset(self, node: str, name: str) -> None:
+        """SNK-1 / SNK-6: refuse a dataset name that the chain already holds."""
+        for ds, creator in self.visible_datasets(node):
+            if ds == name:
+                raise FileExistsError(f"dataset {name} is on this branch already, from step {creator}")
+
     def resolve(self, node: str, name: str) -> DataFrame:
         """SRC-3 from a node: the nearest ancestor's dataset, else a catalog table/view."""
         for ds, creator in self.visible_datasets(node):
@@ -120,6 +126,7 @@ class Study:
     def create_dataset(self, parent: str, name: str, sql: str):
         """SNK-1 as a step: returns (node, row count)."""
         def fn(node):
+            self.check_new_dataset(parent, name)
             return {"n_rows": IO.create_dataset(self.spark, f"{self._node_dir(node)}/datasets", name, sql)}
         node, res = self._run(parent, TOOL_CREATE_DATASET, [name, sql], fn)
         return node, res["n_rows"]
@@ -156,6 +163,7 @@ class Study:
     def run_inference(self, parent: str, in_dataset: str, out_dataset: str):
         """SNK-6: score a dataset with the chain's model and write it; returns node."""
         def fn(node):
+            self.check_new_dataset(parent, out_dataset)
             model = self.model_of(parent)
             scored = model.score(self.resolve(parent, in_dataset))
             IO.write_scored(scored, f"{self._node_dir(node)}/datasets", out_dataset)
@@ -167,4 +175,5 @@ class Study:
         """LIN-11 + SNK-5: mark the branch final and write its factor tables."""
         model = self.model_of(node)
         self.log.finalize(node)
-        return IO.write_factor_tables(FT.factor_tables_long(model, self.spark), f"{self._node_dir(node)}/factors")
+        return IO.write_factor_tables(FT.sheets(model, self.spark), f"{self._node_dir(node)}/factors",
+                                      FT.overview(model, self.spark, self._model_path(node)))

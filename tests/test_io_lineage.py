@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from expstudy.functions.expr import log_factorial, poisson_logpmf
+from expstudy.operators import factors as FT
 from expstudy.operators import limits as LM
 from expstudy.operators import lineage as LN
 from expstudy.operators import measures as M
@@ -94,14 +95,93 @@ def test_export_capped(tmp_path, spark):
 
 def test_prediction_files(tmp_path, spark):
     pred = X.predictions(spark, SF001)
-    for name in ("model_data_test_preds", "model_data_train_preds", "other_test"):
-        pred.filter(F.col("file") == name).write.parquet(str(tmp_path / "runs" / "r1" / f"{name}.parquet"))
-    df = IO.read_prediction_files(spark, str(tmp_path / "runs"))
-    names = {r["source_name"] for r in df.select("source_name").distinct().collect()}
-    assert names == {"model_data_test_preds.parquet"}
-    ll = M.poisson_loglik(df, "actual", "MODEL_PRED", by=["source_name"]).first()
+    runs = tmp_path / "runs"
+    X.table(spark, SF001, "nation").write.parquet(str(runs / "a0" / "a_train.parquet"))  # another schema, read first by name
+    for node in ("r1", "r2"):  # the same file below two nodes counts once
+        for name in ("model_data_test_preds", "model_data_train_preds", "other_test"):
+            pred.filter(F.col("file") == name).write.parquet(str(runs / node / f"{name}.parquet"))
+    assert list(IO.prediction_files(spark, str(runs))) == ["model_data_test_preds.parquet"]
+    df = IO.read_prediction_files(spark, str(runs))
+    assert {("/r1/" in r["path"]) for r in df.select("path").distinct().collect()} == {True}
+    ll = M.poisson_loglik(df, "actual", "MODEL_PRED", by=["filename"]).first()
     want = M.poisson_loglik(pred.filter(F.col("file") == "model_data_test_preds"), "actual", "MODEL_PRED").first()
     assert ll["n_rows"] == want["n_rows"] and math.isclose(ll["ll"], want["ll"], rel_tol=1e-9)
+    assert IO.read_prediction_files(spark, str(runs), ("nothing",)) is None
+
+
+def test_row_groups_are_bounded_not_files(tmp_path, spark):
+    import pyarrow.parquet as pq
+
+    path = IO.export_parquet(spark.range(0, 250_000, 1, 1), str(tmp_path / "big"))
+    files = glob.glob(os.path.join(path, "part-*.parquet"))
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert len(files) == 1
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= IO.ROWS_PER_GROUP + 10_000
+
+
+def _chain(n: int, name: str = "c") -> list:
+    return [(f"{name}{i}", f"{name}{i - 1}" if i else None) for i in range(n)]
+
+
+@pytest.mark.parametrize("n,fits", [(999, True), (1000, False), (1011, False)])
+def test_lineage_depth_cap(spark, n, fits):
+    nodes = spark.createDataFrame(_chain(n), "node string, parent string")
+    leaf = nodes.filter(F.col("node") == f"c{n - 1}")
+    if fits:
+        assert LN.root_depth(nodes).agg(F.max("depth")).first()[0] == n - 1
+        assert LN.branches(nodes, leaf).count() == n
+    else:
+        for call in (lambda: LN.root_depth(nodes), lambda: LN.branches(nodes, leaf)):
+            with pytest.raises(ValueError, match="nodes"):
+                call()
+
+
+def test_lineage_dangling_cycle_and_unrelated_chain(spark):
+    rows = [("a", None), ("b", "a"), ("x", "gone"), ("y", "x"), ("p", "q"), ("q", "p"), *_chain(1005, "deep")]
+    nodes = spark.createDataFrame(rows, "node string, parent string")
+    assert {tuple(r) for r in LN.branches(nodes, nodes.filter("node = 'b'")).collect()} == {("b", "b", 0), ("b", "a", 1)}
+    with pytest.raises(ValueError, match="not in the log"):
+        LN.branches(nodes, nodes.filter("node = 'y'"))
+    with pytest.raises(ValueError, match="circle"):
+        LN.branches(nodes, nodes.filter("node = 'p'"))
+    with pytest.raises(ValueError, match="not in the log"):
+        LN.root_depth(nodes.filter("node IN ('a', 'b', 'x', 'y')"))
+
+
+def test_names_like_naming_row_by_row(spark):
+    names = [f"A_{i}" for i in range(1, 56)] + ["A", "A", "B", "B_1", "B", "B_1", "B" * 40, "B" * 35, "x/y", "x_y"]
+    got = FT.safe_names(spark.createDataFrame(list(enumerate(names)), "ix long, raw string"), "raw", "ix").orderBy("ix").collect()
+    seen: list[str] = []
+    for n in names:  # one row after another, the first free suffix
+        base = n.replace("/", "_")[:31]
+        k, name = 0, base
+        while name in seen:
+            k += 1
+            name = base[:31 - len(f"_{k}")] + f"_{k}"
+        seen.append(name)
+    assert [r["safe_name"] for r in got] == seen and seen[56] == "A_56"
+
+
+def test_study_refuses_a_name_on_the_chain(tmp_path, spark):
+    from expstudy.study import Study
+
+    st = Study(spark, str(tmp_path / "study"))
+    root = st.start()
+    n1, _ = st.create_dataset(root, "train", "SELECT 1 AS x")
+    with pytest.raises(FileExistsError, match="branch"):
+        st.create_dataset(n1, "train", "SELECT 2 AS x")
+    n2, _ = st.create_dataset(root, "train", "SELECT 3 AS x")  # another branch may use the name
+    assert st.resolve(n2, "train").first()[0] == 3 and st.resolve(n1, "train").first()[0] == 1
+
+
+def test_failed_fit_is_no_model(tmp_path, spark):
+    log = LN.StudyLog(spark, str(tmp_path / "log"))
+    root = log.start()
+    bad = log.step(root, X.TOOL_GLM, ["train"], success=False)
+    with pytest.raises(ValueError, match="fitted model"):
+        log.finalize(bad)
+    good = log.step(bad, X.TOOL_GLM, ["train"])
+    log.finalize(good)
 
 
 def test_catalog(spark):
@@ -245,14 +325,14 @@ def test_streaming_scoring_matches_batch(tmp_path, spark):
 
 def test_model_outputs_written(tmp_path, spark):
     from expstudy.operators.design import validate_model_view
-    from expstudy.operators.factors import coefficient_table, factor_tables_long, overview, term_map_df
+    from expstudy.operators.factors import coefficient_table, overview, sheets, term_map_df
 
     model = MD.fixed_model(spark, SF001)
-    long = factor_tables_long(model, spark)
-    out = IO.write_factor_tables(long, str(tmp_path / "factors"))
-    back = spark.read.parquet(out)
-    assert {r[0] for r in back.select("term_group").distinct().collect()} == \
-           {g for _, g, _ in model.design.term_map()}
+    out = IO.write_factor_tables(sheets(model, spark), str(tmp_path / "factors"), overview(model, spark))
+    back = spark.read.parquet(f"{out}/tables")
+    assert {tuple(r) for r in back.select("term_group", "sheet").distinct().collect()} == \
+           {(g, g[:31].replace(":", "_")) for _, g, _ in model.design.term_map()}
+    assert spark.read.parquet(f"{out}/overview").count() == 3
     scored = model.score(X.experience(spark, SF001))
     IO.write_scored(scored, str(tmp_path), "scored")
     with pytest.raises(FileExistsError):
@@ -360,7 +440,7 @@ def test_study_workflow(tmp_path, spark):
     with pytest.raises(Exception):
         st.resolve(n1, "scored").count()          # a sibling/ancestor does not see later datasets
     out = st.finalize(n4)
-    assert spark.read.parquet(out).count() > 0
+    assert spark.read.parquet(f"{out}/tables").count() > 0 and spark.read.parquet(f"{out}/overview").count() == 3
     with pytest.raises(ValueError):
         st.create_dataset(n4, "more", "SELECT 1 AS a")
     failed = st.log.steps().filter("NOT success").select("tool_name").collect()

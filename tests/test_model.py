@@ -96,8 +96,9 @@ def test_score_response_link_and_unseen(spark):
     assert r[1]["p"] == 0.0 and r[1]["l"] == float("-inf")
     assert math.isclose(r[1]["rate"], math.exp(-3.0 + 0.2 + 0.01 * 90.0))
     assert r[2]["p"] is None
-    with pytest.raises(ValueError):
-        model.score(df)
+    with pytest.raises(Exception, match="unseen in training"):
+        model.score(df).collect()
+    assert model.score(df.filter("g <> 'X'")).count() == 2
 
 
 # ---------------------------------------------------------------- tree

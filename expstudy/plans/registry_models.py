@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from expstudy.operators import factors as FT
@@ -233,7 +234,37 @@ def q_residual_tree(spark, sf_dir):
 # Spline basis and the lasso fit (MOD-6, MOD-9 .. MOD-14, MOD-19 .. MOD-24)
 # ---------------------------------------------------------------------------
 
-@register("spline_basis", None)
+def _spline_sql() -> str:
+    """Cox-de Boor recursion, linear beyond the boundary knots, times the constant projection."""
+    sp = MD.SPLINE.spline
+    lo, hi = sp.boundary
+    t = [lo] * 4 + sorted(sp.knots) + [hi] * 4
+
+    def basis(i: int, order: int) -> str:
+        if order == 1:
+            last = f" OR x = {hi}" if t[i] < t[i + 1] == hi else ""
+            return f"(CASE WHEN x >= {t[i]} AND x < {t[i + 1]}{last} THEN 1.0 ELSE 0.0 END)" if t[i] < t[i + 1] else "0.0"
+        up, down = t[i + order - 1] - t[i], t[i + order] - t[i + 1]
+        parts = [f"(x - {t[i]}) / {up} * {basis(i, order - 1)}"] * (up > 0) + [f"({t[i + order]} - x) / {down} * {basis(i + 1, order - 1)}"] * (down > 0)
+        return f"({' + '.join(parts)})" if parts else "0.0"
+
+    def slope(i: int) -> str:
+        up, down = t[i + 3] - t[i], t[i + 4] - t[i + 1]
+        parts = [f"3 * {basis(i, 3)} / {up}"] * (up > 0) + [f"(-3) * {basis(i + 1, 3)} / {down}"] * (down > 0)
+        return f"({' + '.join(parts)})"
+
+    proj = sp._projection()
+    n = len(t) - 4
+    cols = ", ".join(f"{basis(i, 4)} AS b{i}, {slope(i)} AS d{i}" for i in range(1, n))
+    out = ", ".join("round(" + " + ".join(f"CAST({proj[i - 1][j]!r} AS DOUBLE) * (b{i} + (quantity - x) * d{i})".replace("np.float64(", "").replace(") AS DOUBLE", " AS DOUBLE")
+                                          for i in range(1, n)) + f", 6) AS ns{j + 1}" for j in range(sp.n_columns))
+    return X.with_views(f"""
+SELECT quantity, {out} FROM (SELECT quantity, x, {cols} FROM (
+  SELECT quantity, least(greatest(quantity, {lo}), {hi}) AS x FROM (SELECT DISTINCT CAST(quantity AS DOUBLE) AS quantity FROM experience) q) c) b
+""", experience=X.EXPERIENCE_SQL)
+
+
+@register("spline_basis", _spline_sql())
 def q_spline_basis(spark, sf_dir):
     e = X.experience(spark, sf_dir)
     q = e.select(F.col("quantity").cast("double").alias("quantity")).distinct()
@@ -251,13 +282,19 @@ def q_lambda_path(spark, sf_dir):
     return MD.fitted(spark, sf_dir).path.path_df(spark)
 
 
-@register("train_ae", "SELECT CAST(1.0 AS DOUBLE) AS ae")
+@register("train_ae", X.with_views("""
+SELECT c_mktsegment, round(sum(actual), 6) AS actual, CAST(count(*) AS BIGINT) AS n_rows,
+       round(sum(sum(actual)) OVER () / 100, 1) AS fitted_total
+FROM experience WHERE dataset = 'TRAIN' GROUP BY 1
+""", experience=X.EXPERIENCE_SQL))
 def q_train_ae(spark, sf_dir):
-    """MOD-13 property: with an unpenalised intercept the training A/E is 1 (3 digits)."""
+    """MOD-13 property: with an unpenalised intercept the fitted total of the training rows is
+    their actual total (here in hundreds, one digit); actual counts by segment."""
     fit = MD.fitted(spark, sf_dir)
-    train = MD.train_rows(spark, sf_dir)
-    scored = fit.model.score(train)
-    return scored.agg(F.round(F.sum("actual") / F.sum("MODEL_PRED"), 3).alias("ae"))
+    scored = fit.model.score(MD.train_rows(spark, sf_dir))
+    by = scored.groupBy("c_mktsegment").agg(F.sum("actual").alias("actual"), F.count(F.lit(1)).alias("n_rows"), F.sum("MODEL_PRED").alias("p"))
+    total = F.sum("p").over(Window.partitionBy(F.lit(1)))  # one row for each segment
+    return by.select("c_mktsegment", r6("actual"), "n_rows", F.round(total / 100, 1).alias("fitted_total"))
 
 
 @register("glm_residual_tree", None)
@@ -607,6 +644,27 @@ def q_lasso_lambda_max(spark, sf_dir):
     return spark.createDataFrame([(n, round(g, 6)) for n, g in rows], "term string, grad double")
 
 
+GRID = 5
+
+
+@register("lambda_grid", "WITH RECURSIVE " + _lambda_max_sql().removeprefix("WITH ").replace("tot AS (SELECT", "tot AS (SELECT", 1).replace(
+    "\nSELECT 'c_mktsegmentBUILDING'", "\n, grads AS (SELECT 'c_mktsegmentBUILDING'", 1) + f""")
+SELECT CAST(k + 1 AS INTEGER) AS lambda_ix, round(lm * power(CASE WHEN n > p THEN 1e-4 ELSE 1e-2 END, k / {GRID - 1}.0), 6) AS lambda, round(nulldev, 3) AS nulldev
+FROM (SELECT max(grad) AS lm, count(*) AS p FROM grads), tot,
+  (SELECT 2 * sum(CASE WHEN y > 0 THEN y * ln(y / (t * r)) ELSE 0 END - y + t * r) AS nulldev FROM cells, tot), range({GRID}) g(k)
+""")
+def q_lambda_grid(spark, sf_dir):
+    """MOD-9: the penalties of a short path and the null deviance."""
+    from expstudy.operators import lasso as L
+
+    model = MD.fixed_model(spark, sf_dir)
+    cells = M.cells(MD.train_rows(spark, sf_dir), MD.X_VARS, "expected", "actual")
+    path = L.fit_lasso_path(L.design_cells(cells, MD.X_VARS, "expected", "actual", model.design, is_cells=True).persist(),
+                            model.design.names, nlambda=GRID)
+    return spark.createDataFrame([(i + 1, round(float(x), 6), round(float(path.nulldev), 3)) for i, x in enumerate(path.lambdas)],
+                                 "lambda_ix int, lambda double, nulldev double")
+
+
 @register("tree_node_stats", _tree_oracle_sql(node_stats=True))
 def q_tree_node_stats(spark, sf_dir):
     """MOD-17 numbers of every node of the depth-3 training tree: cells, events, exposure,

@@ -208,7 +208,7 @@ def test_bounded_query(spark):
     bad = LM.bounded_query(spark, "SELECT nope FROM nums LIMIT 3")
     assert not bad.success and bad.message
     p = LM.preview(spark, "SELECT id FROM nums", limit=-1)
-    assert len(p.rows) == 2000 and not p.truncated
+    assert len(list(p.rows)) == 2000 and not p.truncated
     assert LM.last_index_where(spark.range(10), "id", F.col("id") % 4 == 1) == 9
 
 

@@ -19,6 +19,7 @@ from expstudy.plans import models as MD
 from expstudy.plans.registry import LL_SQL, REGISTRY, r6, register
 from expstudy.schema import EXPERIENCE
 from expstudy.session import ensure_checkpoint_dir
+from expstudy.sources import catalog as CAT
 from expstudy.sources import io as IO
 
 
@@ -153,6 +154,16 @@ def q_select_columns(spark, sf_dir):
     return P.select_columns(X.table(spark, sf_dir, "customer"), ["C_MKTSEGMENT", "c_custkey", "C_NationKey"])
 
 
+@register("view_over_files", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1")
+def q_view_over_files(spark, sf_dir):
+    """SRC-4: a named view of SQL text over Parquet files."""
+    name = f"lines_{uuid.uuid4().hex}"
+    df = CAT.register_view(spark, name, f"SELECT l_returnflag, l_quantity FROM parquet.`{sf_dir.rstrip('/')}/lineitem.parquet`")
+    out = df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").cast("double").alias("quantity"))
+    spark.catalog.dropTempView(name)
+    return out
+
+
 @register("order_and_head", "SELECT c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_name LIMIT 25")
 def q_order_and_head(spark, sf_dir):
     """LIM-3, LIM-4, LIM-5: an explicit order, the first rows, some columns."""

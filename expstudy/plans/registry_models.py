@@ -386,6 +386,39 @@ def q_steps_by_time(spark, sf_dir):
                     F.col("step_ix").cast("int").alias("step_ix"))
 
 
+@register("steps_of_roots", WALK_SQL.replace("WITH RECURSIVE", "WITH RECURSIVE " + _log_views() + ",") + """
+SELECT w.root, w.node, CAST(row_number() OVER (PARTITION BY w.root ORDER BY l.created, w.node) AS INTEGER) AS step_ix
+FROM walk w JOIN log l ON l.node = w.node WHERE (w.root // 100) % 2 = 0
+""")
+def q_steps_of_roots(spark, sf_dir):
+    """JN-5 + LIN-6: only the steps reached from chosen roots."""
+    log = X.lineage_log(spark, sf_dir)
+    roots = log.filter(F.col("parent").isNull() & (F.col("conv_id") % 2 == 0))
+    return LN.steps_by_time(log, roots).select("root", "node", F.col("step_ix").cast("int").alias("step_ix"))
+
+
+@register("pointer_parse", X.with_views(
+    "SELECT 'n-' || CAST(node AS VARCHAR) AS node, 'n-' || CAST(parent AS VARCHAR) AS parent FROM log WHERE parent IS NOT NULL", log=X.LINEAGE_SQL))
+def q_pointer_parse(spark, sf_dir):
+    """STR-4: node and parent out of pointer text."""
+    quoted = lambda c: F.concat(F.lit('"n-'), F.col(c).cast("string"), F.lit('"'))
+    pointer = F.when(F.col("parent").isNull(), F.lit("root")).otherwise(F.concat(quoted("parent"), F.lit("->"), quoted("node")))
+    return LN.parse_pointers(X.lineage_log(spark, sf_dir).select(pointer.alias("pointer")))
+
+
+@register("log_json", """
+SELECT CAST(conv_id * 100 + turn AS BIGINT) AS node, CAST(conv_id * 100 + turn AS VARCHAR) AS first_arg, CAST(2 AS INTEGER) AS n_args,
+       CAST(length(text) AS BIGINT) AS text_chars
+FROM conversations WHERE turn > 0
+""")
+def q_log_json(spark, sf_dir):
+    """JSN-1: JSON lists written into the log and parsed back."""
+    args = F.from_json("args", "array<string>")
+    return (X.lineage_log(spark, sf_dir).filter(F.col("parent").isNotNull()).select("node", args.alias("a"))
+            .select("node", F.col("a")[0].alias("first_arg"), F.size("a").cast("int").alias("n_args"),
+                    F.length(F.col("a")[1]).cast("bigint").alias("text_chars")))
+
+
 def _branch_steps(spark, sf_dir):
     log = X.lineage_log(spark, sf_dir)
     br = LN.branches(log, _final_leaves(log))

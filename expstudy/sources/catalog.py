@@ -1,7 +1,7 @@
 """Catalog helpers: views, definitions and schemas (SRC-4 .. SRC-7, MOD-25 helpers).
 
-Spark keeps no text for temporary views created from DataFrames, so views
-registered through ``register_view`` remember their SQL text here.
+Spark keeps the text of catalog views, but none for temporary views; those registered
+through ``register_view`` remember theirs here, by session.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
-_VIEW_TEXT: dict[str, str] = {}
+_VIEW_TEXT: dict[tuple[str, str], str] = {}
+
+
+def _key(spark: SparkSession, name: str) -> tuple[str, str]:
+    return spark._jsparkSession.sessionUUID(), name.lower()
 
 
 def register_view(spark: SparkSession, name: str, sql_or_df) -> DataFrame:
@@ -21,10 +25,10 @@ def register_view(spark: SparkSession, name: str, sql_or_df) -> DataFrame:
         raise ValueError(f"invalid view name {name!r}")
     if isinstance(sql_or_df, str):
         df = spark.sql(sql_or_df)
-        _VIEW_TEXT[name.lower()] = sql_or_df
+        _VIEW_TEXT[_key(spark, name)] = sql_or_df
     else:
         df = sql_or_df
-        _VIEW_TEXT.pop(name.lower(), None)
+        _VIEW_TEXT.pop(_key(spark, name), None)
     df.createOrReplaceTempView(name)
     return df
 
@@ -39,9 +43,12 @@ def view_definition(spark: SparkSession, name: str) -> str:
     hits = [v for v in list_views(spark) if v.lower() == name.lower()]
     if len(hits) != 1:
         raise ValueError(f"expected one view named {name}, found {len(hits)}")
-    text = _VIEW_TEXT.get(name.lower())
+    text = _VIEW_TEXT.get(_key(spark, name))
+    if text is None:
+        told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED `{hits[0]}`").collect()}
+        text = told.get("View Text")
     if text is None:
-        raise ValueError(f"view {name} has no SQL text (created from a DataFrame)")
+        raise ValueError(f"view {name} was made from a DataFrame and has no SQL text")
     return text
 
 

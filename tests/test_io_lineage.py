@@ -93,6 +93,14 @@ def test_export_capped(tmp_path, spark):
     assert not t2
 
 
+def test_catalog_view_text(spark):
+    spark.sql("CREATE OR REPLACE VIEW cat_kept AS SELECT 2 AS z")
+    try:
+        assert CAT.view_definition(spark, "cat_kept") == "SELECT 2 AS z"
+    finally:
+        spark.sql("DROP VIEW cat_kept")
+
+
 def test_prediction_files(tmp_path, spark):
     pred = X.predictions(spark, SF001)
     runs = tmp_path / "runs"
@@ -189,6 +197,8 @@ def test_catalog(spark):
     CAT.register_view(spark, "cat_v2", spark.range(3))
     assert {"cat_v1", "cat_v2"} <= set(CAT.list_views(spark))
     assert CAT.view_definition(spark, "CAT_V1") == "SELECT 1 AS a, 'x' AS b"
+    with pytest.raises(ValueError, match="no SQL text"):
+        CAT.view_definition(spark, "cat_v2")
     rows = CAT.table_schema(spark, "cat_v1").collect()
     assert [(r[0], r[1]) for r in rows] == [("a", "INT"), ("b", "STRING")]
     with pytest.raises(ValueError):

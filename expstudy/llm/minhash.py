@@ -10,12 +10,16 @@ shingle sets, counted exactly from the whole texts, is at least 0.8.  (At 0.8 a
 bucket with a probability of 7e-6; sets and weighted sets differ little at these weights.)
 
 Equal texts are one node from the start.  Buckets never emit all pairs.  First every member is
-compared with the bucket's hub (its least node).  Members that then are in another component
-than the hub are compared with all members of other components, ``STRAYS`` of them a bucket and
-round, until none is left: so every two members of a bucket either end in one component or have
-been compared.  Components come from alternating large-star and small-star steps.  Hubs, sizes
-and least labels are aggregates with map-side partials, and the joins are shuffle joins that
-AQE splits at hot buckets and hubs; nothing is collected.
+compared with the bucket's hub, the member with most company in all its buckets (of near copies
+of one text it is the text itself, or the copy nearest to it), and components are formed.
+Members that then are in another component than their hub are strays.  For strays an exact
+prefix filter takes over: among the members of the strays' buckets, two sets with similarity of
+at least 0.8 share a shingle among the fifth of each that is rarest there, so strays are
+compared with the members of other components that share such a shingle.  So every two members
+of a bucket either end in one component, have been compared, or cannot be similar; no bucket is
+cut.  Components come from alternating large-star and small-star steps.  Degrees, hubs, counts
+and least labels are aggregates with map-side partials, and the joins are shuffle joins that AQE
+splits at hot buckets and hubs; nothing is collected.
 
 Cases: a null text, or one without words, is a class of its own, whatever its repeats; equal
 texts share a class even under equal or null doc_ids; the class id is the least doc_id of the
@@ -32,15 +36,16 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from expstudy.llm.common import batched, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 5
-#: Members of one bucket that are compared with all others of it in one round.
-STRAYS = 64
+#: Most row numbers that are broadcast to pick texts out (16 bytes each); beyond, a shuffle join.
+MOST_KEYS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -99,20 +104,21 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc (a struct with a field ``text``) and same; adds row, size and bands."""
     row = TaskContext.get().partitionId() << 40
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        text, shingle, count = shingles(b.column(1))
+        text, shingle, count = shingles(b.column(0).field("text"))
         size = np.bincount(text, minlength=n)
         sign = signatures(text, shingle, 1 + np.log(count), n).reshape(n, BANDS, ROWS)
         keys = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
             keys = _mix(keys * _ODD[0] + sign[:, :, r])
         bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(row + np.arange(n)), pa.array(size), bands],
-                                         names=["doc", "text", "same", "row", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(row + np.arange(n)), pa.array(size), bands],
+                                         names=["doc", "same", "row", "size", "bands"])
         row += n
 
 
@@ -129,17 +135,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(both >= SIMILAR * every))
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar enough."""
+def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets are similar enough; ``rows`` has row and doc.text."""
     batched(pairs.sparkSession, 512)
+    pairs = written(pairs, "pairs")
+    keys = written(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct(), "pair-rows")
+    few = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+    texts = written(rows.select("row", F.col("doc")["text"].alias("text")).join(few, "row", "left_semi"), "pair-texts")
     side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias("text_" + c))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of ``links`` (a, b): the least node of each component."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
+    """(node, label) for the nodes of ``links`` (a, b), a <> b: the least node of each component."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -149,78 +158,99 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "small")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        if edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty():  # only stars are left
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        state = now
 
 
-def _similar_size(a: str, b: str) -> Column:
-    """No fewer shingles on either side than the similarity asks for."""
-    return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-9
-
-
-def classes(docs: DataFrame, doc: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc, row, size, same), (node of each text: same, node, label) of ``docs``."""
+def classes(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc - a struct of ``columns`` -, same, row, size, bands), (node of each text: same, node, label)."""
     spark = docs.sparkSession
     batched(spark, 1024)
-    kind = docs.select(doc.alias("doc")).schema["doc"].dataType.simpleString()
-    rows = written(docs.select(doc.alias("doc"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
-                   .mapInArrow(_sign, f"doc {kind}, text string, same string, row long, size long, bands array<long>"), "signed")
+    base = docs.select(F.struct(*[F.col(c) for c in columns]).alias("doc"), F.md5(F.coalesce("text", F.lit(""))).alias("same"))
+    made = T.StructType([*base.schema.fields, T.StructField("row", T.LongType()), T.StructField("size", T.LongType()),
+                         T.StructField("bands", T.ArrayType(T.LongType()))])
+    rows = written(base.mapInArrow(_sign, made), "signed")
     nodes = written(rows.where("size > 0").groupBy("same").agg(F.min("row").alias("node")), "nodes")
     own = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    bands = own.select("row", "size", F.explode("bands").alias("key"))
-    hubs = (bands.groupBy("key").agg(F.min(F.struct("row", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    buckets = written(bands.join(hubs, "key").select("key", F.col("row").alias("node"), "size", F.col("hub.row").alias("hub"),
-                                                     F.col("hub.size").alias("hub_size")), "buckets")
-    pairs = buckets.where((F.col("node") != F.col("hub")) & _similar_size("size", "hub_size")).select(
-        F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(linked(pairs, own.select("row", "text")), "links")
-    done = spark.createDataFrame([], "key long, low double")
-    draw = (F.xxhash64("node") / F.lit(2.0 ** 64)) + 0.5  # in [0, 1], the same in every round
-    while True:
-        labels = written(components(links), "labels")
-        at = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("draw", draw)
-        home = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        at = at.join(home, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-        at = at.join(done, "key", "left").withColumn("low", F.coalesce("low", F.lit(-1.0)))
-        stray = (F.col("label") != F.col("hub_label")) & (F.col("draw") > F.col("low"))
-        open_ = (at.groupBy("key").agg(F.sum(stray.cast("long")).alias("strays"), F.max("low").alias("low")).where("strays > 0")
-                 .withColumn("high", F.when(F.col("strays") <= STRAYS, F.lit(2.0)).otherwise(
-                     F.greatest("low", F.lit(0.0)) + (1 - F.greatest("low", F.lit(0.0))) * STRAYS / F.col("strays"))))
-        open_ = written(open_.select("key", "high"), "open")
-        if open_.isEmpty():
-            return rows, nodes.join(labels, "node", "left").select("same", "node", F.coalesce("label", "node").alias("label"))
-        at = written(at.join(open_, "key").select("key", "node", "size", "label", (stray & (F.col("draw") <= F.col("high"))).alias("now")), "at")
-        mine = at.where("now").select("key", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"))
-        pairs = (at.join(mine, "key").where((F.col("label") != F.col("x_label")) & _similar_size("size", "x_size"))
-                 .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
-        new = linked(pairs, own.select("row", "text"))
-        links = written(links.unionAll(new), "links")
-        low = F.max("low").alias("low")
-        done = written(done.unionAll(open_.withColumnRenamed("high", "low")).groupBy("key").agg(low), "done")
-
-
-def _classed(docs: DataFrame, doc: Column, doc_id: Column) -> DataFrame:
-    """doc, row, class_id and whether the row is the one of its class to keep."""
-    rows, nodes = classes(docs, doc)
+    bands = own.select(F.col("row").alias("node"), "size", F.explode("bands").alias("key"))
+    shared = written(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    members = written(shared.join(company, "node"), "members")
+    most = F.struct("company", (-F.col("node")).alias("less"), "size")  # most company, then the least row
+    hubs = members.groupBy("key").agg(F.max(most).alias("hub")).select(
+        "key", (-F.col("hub")["less"]).alias("hub"), F.col("hub")["size"].alias("hub_size"))
+    met = written(members.join(hubs, "key").groupBy("node", "size", "hub", "hub_size").agg(F.max("n").alias("n")), "met")
+    pairs = met.where((F.col("node") != F.col("hub")) & (F.col("size") * SIMILAR <= F.col("hub_size") + 1e-9)
+                      & (F.col("hub_size") * SIMILAR <= F.col("size") + 1e-9)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = written(linked(pairs, rows), "links")
+    labels = written(components(links), "labels")
+    new = written(stray_links(met.where("n > 2"), labels, rows), "stray-links")
+    if not new.isEmpty():  # joined to the stars of the components so far
+        stars = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = written(components(stars.unionAll(new)), "labels")
+    return rows, nodes.join(labels, "node", "left").select("same", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct shingle of each text."""
+    for b in batches:
+        if b.num_rows:
+            text, run, _ = shingles(b.column(4))
+            place = pa.array(text)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(place) for i in range(4)), pa.array(run.view(np.int64))],
+                                             names=["node", "size", "label", "stray", "shingle"])
+
+
+def stray_links(met: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one hub's buckets that are in different components.
+
+    Prefix and positional filter: with the shingles of every set in one order, rarest first, the
+    first shingle that two sets share is at places i and j with at most 1 + min(n - i, m - j)
+    shared in all; similarity s asks for s / (1 + s) * (n + m) shared.
+    """
+    home = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    at = (met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+          .join(home, "hub", "left").withColumn("stray", F.col("label") != F.coalesce("hub_label", "hub")))
+    at = written(at.select("node", "size", "label", "hub", "stray"), "at")
+    unsettled = at.where("stray").select("hub").distinct()
+    among = written(at.join(unsettled, "hub", "left_semi").groupBy("node", "size", "label").agg(F.max("stray").alias("stray")), "among")
+    few = F.broadcast(among) if among.count() <= MOST_KEYS else among
+    texts = rows.select(F.col("row").alias("node"), F.col("doc")["text"].alias("text")).join(few, "node")
+    sets = written(texts.select("node", "size", "label", "stray", "text").mapInArrow(
+        _sets, "node long, size long, label long, stray boolean, shingle long"), "sets")
+    rare = sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    text = Window.partitionBy("node")  # the shingles of one text; those of no other set come first
+    place = F.col("size") - F.count("*").over(text) + F.row_number().over(text.orderBy("n", "shingle"))
+    front = sets.join(rare, "shingle").withColumn("place", place).where(
+        F.col("place") <= F.col("size") - F.ceil(F.col("size") * SIMILAR - 1e-9) + 1)
+    front = written(front.select("node", "size", "label", "stray", "shingle", "place"), "front")
+    x, y = front.where("stray").alias("x"), front.alias("y")
+    asked = SIMILAR / (1 + SIMILAR) * (F.col("x.size") + F.col("y.size")) - 1e-9
+    most = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & (most >= asked))
+    return linked(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), rows)
+
+
+def _classed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """doc, class_id and whether the row is the one of its class to keep."""
+    rows, nodes = classes(docs, columns)
+    doc_id = F.col("doc")["doc_id"]
     own = rows.where("size > 0").groupBy("same").agg(F.min(F.struct(doc_id.alias("id"), F.col("row"))).alias("first"))
     nodes = nodes.join(own, "same")
     first = nodes.groupBy("label").agg(F.min("first").alias("first"))
     nodes = written(nodes.select("same", "label").join(first, "label").select("same", "first"), "first")
     alone = F.col("size") == 0
     return (rows.select("doc", "row", "size", "same").join(nodes, "same", "left")
-            .select("doc", "row", F.when(alone, doc_id).otherwise(F.col("first.id")).alias("class_id"),
+            .select("doc", F.when(alone, doc_id).otherwise(F.col("first.id")).alias("class_id"),
                     (alone | (F.col("first.row") == F.col("row"))).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and kept (one row of each class)."""
-    return _classed(docs, F.col("doc_id"), F.col("doc")).select(F.col("doc").alias("doc_id"), "class_id", "kept")
+    return _classed(docs, ["doc_id", "text"]).select(F.col("doc")["doc_id"].alias("doc_id"), "class_id", "kept")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of their class, all columns as they came."""
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    return _classed(docs, whole, F.col("doc.doc_id")).where("kept").select("doc.*")
+    return _classed(docs, docs.columns).where("kept").select("doc.*")

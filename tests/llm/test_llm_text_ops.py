@@ -63,12 +63,12 @@ def check_pieces(rows, texts):
         at += r.length
     docs, i = [], 0
     while i < len(rows):  # the pieces of a document follow each other
-        n, crcs = 0, []
-        while n < rows[i].doc_tokens:
-            assert rows[i].start == n
+        n, crcs, total = 0, [], rows[i].doc_tokens
+        while n < total:
+            assert (rows[i].start, rows[i].doc_tokens) == (n, total)
             n += rows[i].length
             crcs.append((rows[i].start, rows[i].length, rows[i].ids_crc32))
-            total, i = rows[i].doc_tokens, i + 1
+            i += 1
         docs.append((total, crcs))
     assert sorted(n for n, _ in docs) == [n for n, _, _ in want]
     by_size = {}

@@ -77,7 +77,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         seen = seen.join(F.broadcast(runs) if small else runs, "run", "left_semi").select("__row", F.lit(k).alias("k"))
         found = seen if found is None else found.unionAll(seen)
     if found is None:
-        return spark.createDataFrame([], "__row long, n_hit long, items array<string>")
+        return spark.createDataFrame([], "__row long, n_hit long, items array<string>, n_items long")
     few = written(found.distinct(), "anchors")
     grams = None
     for k in lengths:

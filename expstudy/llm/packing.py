@@ -102,11 +102,11 @@ def sequences(docs: DataFrame, sequence: int = SEQUENCE, pad: int = 0, path: str
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
                                              names=["sequence_id", "offset", "ids"])
 
-    def joined(key, table: pa.Table) -> pa.Table:
+    def joined(key, table):  # without hints: Spark reads the kind of function from them
         t = table.sort_by("offset")
         ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), "<u4").astype(np.int64)
         full = np.concatenate((ids, np.full(sequence - len(ids), pad)))
-        return pa.table({"sequence_id": [key[0]], "ids": pa.array([full.tolist()], pa.list_(pa.int64())), "length": pa.array([len(ids)], pa.int64())})
+        return pa.table({"sequence_id": [key[0].as_py()], "ids": pa.array([full.tolist()], pa.list_(pa.int64())), "length": pa.array([len(ids)], pa.int64())})
 
     pieces = encoded.mapInArrow(windows, "sequence_id long, offset long, ids binary")
     return pieces.groupBy("sequence_id").applyInArrow(joined, "sequence_id long, ids array<long>, length long")

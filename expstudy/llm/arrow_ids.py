@@ -2,7 +2,8 @@
 
 Documents are range-partitioned and sorted by doc_id.  Each partition writes two files into the
 shared folder: ``part-N.arrow`` holds its tokens as rows of ``ROW`` ids with a mask (true: a
-token, false: padding of the file's last row), ``BATCH`` rows a record batch, so that row r is
+token, false: padding of the file's last row), unsigned 16-bit ids where the vocabulary
+allows, ``BATCH`` rows a record batch, so that row r is
 row ``r mod BATCH`` of batch ``r // BATCH`` and its ids are a slice of the mapped file;
 ``part-N.docs.arrow`` has the documents' ids, starts (in the file) and lengths.  The files of
 a partition are written under the task attempt's own name and then moved, so a lost executor or
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 from expstudy.llm.common import batched, work_dir, written
 from expstudy.llm.tokens import encoder, tokenizer_path
 
-#: Tokens in a row, and rows in a record batch (4 MB of ids).
+#: Tokens in a row, and rows in a record batch (2 MB of 16-bit ids).
 ROW, BATCH = 2048, 512
 _FILES = "part int, tokens long, docs long, path string"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _rows_schema(row: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), row)), ("mask", pa.list_(pa.bool_(), row))])
+def _rows_schema(row: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, row)), ("mask", pa.list_(pa.bool_(), row))])
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -47,11 +48,12 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 def _fixed(ids: np.ndarray, row: int) -> pa.RecordBatch:
     """``ids`` as rows; the last is padded."""
+    kind = pa.from_numpy_dtype(ids.dtype)
     full = -(-len(ids) // row) * row
     mask = np.arange(full) < len(ids)
-    ids = np.concatenate((ids, np.zeros(full - len(ids), np.uint32)))
-    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint32()), row),
-                                       pa.FixedSizeListArray.from_arrays(pa.array(mask), row)], schema=_rows_schema(row))
+    ids = np.concatenate((ids, np.zeros(full - len(ids), ids.dtype)))
+    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids, kind), row),
+                                       pa.FixedSizeListArray.from_arrays(pa.array(mask), row)], schema=_rows_schema(row, kind))
 
 
 def _writer(folder: str, path: str, row: int):
@@ -61,16 +63,17 @@ def _writer(folder: str, path: str, row: int):
         mine = f"{top}/_attempt-{task.taskAttemptId()}-{name}"
         store.create_dir(top, recursive=True)
         tokens = docs = 0
-        rest = np.zeros(0, np.uint32)
+        small = np.uint16 if enc.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        rest = np.zeros(0, small)
         rows = docs_out = None
         for b in batches:
             if rows is None:
                 ids_file, docs_file = store.open_output_stream(mine + ".arrow"), store.open_output_stream(mine + ".docs.arrow")
-                rows, docs_out = ipc.new_file(ids_file, _rows_schema(row)), ipc.new_file(docs_file, _DOCS)
+                rows, docs_out = ipc.new_file(ids_file, _rows_schema(row, pa.from_numpy_dtype(small))), ipc.new_file(docs_file, _DOCS)
             ids, sizes = enc.encode(b.column(1))
             starts = tokens + np.cumsum(sizes) - sizes
             docs_out.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), pa.array(sizes)], schema=_DOCS))
-            tokens, docs, rest = tokens + int(sizes.sum()), docs + len(sizes), np.concatenate((rest, ids))
+            tokens, docs, rest = tokens + int(sizes.sum()), docs + len(sizes), np.concatenate((rest, ids.astype(small)))
             whole = len(rest) // (row * BATCH) * row * BATCH
             for at in range(0, whole, row * BATCH):
                 rows.write_batch(_fixed(rest[at:at + row * BATCH], row))
@@ -109,7 +112,7 @@ class TokenFile:
         opened = lambda p: ipc.open_file(pa.memory_map(p) if local else store.open_input_file(p))
         self.rows, self.docs = opened(at + ".arrow"), opened(at + ".docs.arrow")
         self.row = self.rows.schema.field("ids").type.list_size
-        self._at, self._ids = -1, np.zeros(0, np.uint32)
+        self._at, self._ids = -1, None
 
     def batch(self, i: int) -> np.ndarray:
         """The ids of record batch i, a view of the file."""
@@ -143,7 +146,7 @@ def _reader(base: dict[int, int]):
                     for start, n in zip(d.column(1).to_pylist(), d.column(2).to_pylist(), strict=True):
                         crc = 0
                         for ids in file.tokens(start, n):
-                            crc = zlib.crc32(ids, crc)
+                            crc = zlib.crc32(ids.astype("<u4"), crc)
                         crcs.append(crc)
                     yield pa.RecordBatch.from_arrays(
                         [d.column(0), pa.array(d.column(1).to_numpy() + base[part]), d.column(2), pa.array(crcs, pa.int64())],

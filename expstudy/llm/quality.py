@@ -24,6 +24,8 @@ from expstudy.llm.common import SPACES, let, words, written
 WINDOW = 5
 #: Bins of the sketch: [GAMMA ** i, GAMMA ** (i + 1)); fences reach REACH inter-quartile ranges out.
 GAMMA, REACH, LEAST = 1.02, 3.0, 100
+#: Least inter-quartile range in bins (20 % of the value): groups of almost equal values keep some room.
+MIN_SPREAD = 10
 #: Rules of the method: (name, measure over the base columns, is there a lower fence, is there an upper one).
 RULES = (
     ("word_length", "(word_chars + 0.0) / n_words", True, True),
@@ -102,10 +104,6 @@ def fences(rows: DataFrame) -> DataFrame:
     return q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *cols)
 
 
-#: Least inter-quartile range in bins (20 % of the value): groups of almost equal values keep some room.
-MIN_SPREAD = 10
-
-
 def judged(rows: DataFrame) -> DataFrame:
     """``rows`` of ``measured`` with ``base_failed`` and ``kept``; needs lang and source."""
     f = fences(rows)

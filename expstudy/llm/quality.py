@@ -26,6 +26,8 @@ WINDOW = 5
 GAMMA, REACH, LEAST = 1.02, 3.0, 100
 #: Least inter-quartile range in bins (20 % of the value): groups of almost equal values keep some room.
 MIN_SPREAD = 10
+#: Most groups whose fences are broadcast (under 200 bytes each); beyond, a join that AQE splits.
+MOST_GROUPS = 100_000
 #: Rules of the method: (name, measure over the base columns, is there a lower fence, is there an upper one).
 RULES = (
     ("word_length", "(word_chars + 0.0) / n_words", True, True),
@@ -118,6 +120,8 @@ def judged(rows: DataFrame) -> DataFrame:
               .join(lang, F.col("lang").eqNullSafe(F.col("l1")), "left").withColumn("one", F.lit(True))
               .join(every, F.col("one") == F.col("l2"), "left")
               .select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[pick(c).alias(c) for c in ends]))
+    limits = written(limits, "limits")
+    limits = F.broadcast(limits) if limits.count() <= MOST_GROUPS else limits
     inside = F.lit(True)
     for n, e, low, high in RULES:
         value = F.floor(F.ln(F.expr(e)) / F.ln(F.lit(GAMMA)))

@@ -1,22 +1,26 @@
 """Language-model scoring by Katz backoff with Good-Turing discounts.
 
-The unigram model is over all words of the training texts, the end sign and one unknown word.
-The bigram model is over classes: the end sign, the ``CLASSES - 2`` most frequent words, each
-its own class, and one class of all other words; within that class a word has its share of the
-unigram probability.  Counts r <= ``K`` are discounted by Katz's Good-Turing ratios, and what
-the seen bigrams of a history leave is spread over its unseen classes in proportion to their
-unigram probabilities, so every distribution sums to one exactly:
-
-    P(w | h) = d(C(h w)) C(h w) / C(h)                     where C(h w) > 0
+The unigram model is over all words of the training texts, the end sign and one unknown word;
+the bigram model is over all pairs of them that occur.  Counts r <= K are discounted by Katz's
+Good-Turing ratios, and what the seen bigrams of a history leave is spread over its unseen words
+in proportion to their unigram probabilities, so every distribution sums to one exactly:
+
+    P(w | h) = d(C(h w)) C(h w) / T(h)                     where C(h w) > 0
              = alpha(h) P(w)                               otherwise
     P(w)     = d(c(w)) c(w) / N, and 1 - sum for the unknown word
 
-The counts are tables partitioned by order in the shared folder (``order=1``: word, n;
-``order=2``: cell, n).  Only what has a bound goes to the tasks: the ``FREQUENT`` most frequent
-words of at most ``LONGEST`` bytes with their counts, and the CLASSES x CLASSES matrix that the
-recursion above gives.  Other words are looked up in the unigram table by a shuffle join; by
-construction they are rare, and none of them is a hot key unless it is longer than LONGEST,
-where AQE splits the join.
+T(h) is C(h), or a little more where the discounts leave nothing.  The counts are tables in the
+shared folder that grow with the input: ``order=1`` (word, n), ``order=2`` (k, pair, n) and
+``histories`` (id, word, n, g, lam) with g = log10 T(h) and lam = log10 alpha(h) T(h).  A pair is
+written as k = id(h) * side + id(w), with the ids of the ``FREQUENT`` most frequent words of at
+most ``LONGEST`` bytes, and ``pair`` holds the words that have none; so the key is exact and mostly
+a number.  Only what has a bound goes to the tasks: the frequent words with their counts, g and
+lam, and at most CLASSES ** 2 of the most frequent pairs.  A text's score is
+
+    sum of -g(h)  +  sum over seen pairs of log10 d n  +  sum over unseen pairs of lam(h) + log10 P(w)
+
+and each text's pairs that were not sent are joined with ``order=2``, each other word with
+``histories``; hot pairs are among those sent, and AQE splits what is left.
 
 Cases: a null or empty text is the end sign alone; a null doc_id counts as the empty string in
 the split; repeated rows are counted and scored each; without training texts every word is
@@ -36,9 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from expstudy.llm.common import batched, work_dir
+from expstudy.llm.common import batched, work_dir, written
 
-#: Classes of the bigram model; frequent words that are sent to the tasks, and their longest.
+#: Side of the square that bounds the pairs sent to the tasks; frequent words sent, and their longest.
 CLASSES, FREQUENT, LONGEST = 2048, 65_536, 64
 #: Counts above K are not discounted.
 K = 5
@@ -66,7 +70,7 @@ def kept(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The unigram table's path and the bounded parts of the model."""
+    """The path of the tables and the bounded parts of the model."""
 
     path: str
     words: list[str]           # the frequent words, most frequent first
@@ -77,9 +81,16 @@ class Model:
     d: np.ndarray              # unigram discounts
     total: float               # denominator of the unigram probabilities
     unknown: float             # probability of the unknown word
-    classes: int = CLASSES
-    log_p: np.ndarray | None = None  # log10 P(class | class before)
-    log_rest: float = 0.0      # log10 of the last class's unigram probability
+    pair_d: np.ndarray | None = None  # bigram discounts
+    pair_keys: np.ndarray | None = None  # the most frequent pairs of frequent words, sorted
+    pair_logs: np.ndarray | None = None  # log10 of their discounted counts
+    g: np.ndarray | None = None    # log10 T(h) by id; 0 for other words
+    lam: np.ndarray | None = None  # log10 alpha(h) T(h) by id; 0 for other words
+
+    @property
+    def side(self) -> int:
+        """Ids: 0 is the end sign, frequent words from 1, ``side - 1`` any other word."""
+        return len(self.words) + 2
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, kept(counts, self.d) / self.total, self.unknown)
@@ -107,40 +118,41 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([words.filter(some), pa.array(n[n > 0].astype(np.int64))], names=["word", "n"])
 
 
-def _coded(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Ids with the end sign (0) after each text, frequent words from 1, others -1; where each
-    text begins; the distinct words and the place of each other word among them."""
+def _coded(texts: pa.Array, vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words with the end sign as "" at the end, their ids, each token's place among them
+    with the end sign after each text, the place of the one before, and where each text begins."""
     words, places, ends = _tokens(texts)
-    known = pc.index_in(words, value_set=vocabulary).fill_null(-2).to_numpy() + 1
-    ids = np.insert(known[places], ends, 0)
-    return ids, np.concatenate(([0], ends + np.arange(1, len(ends) + 1))), words, places[known[places] < 0]
+    ids = pc.index_in(words, value_set=vocabulary).fill_null(len(vocabulary)).to_numpy().astype(np.int64) + 1
+    own, begins = np.insert(places, ends, len(words)), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
+    before = np.concatenate(([len(words)], own[:-1]))  # a text begins after an end sign
+    return pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), np.append(ids, 0), own, before, begins
 
 
-def _classes(ids: np.ndarray, begins: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token and of the one before; a text begins after an end sign."""
-    own = np.where((ids < 0) | (ids > classes - 2), classes - 1, ids)
-    before = np.concatenate(([0], own[:-1]))
-    before[begins[:-1]] = 0
-    return own, before
+def _pairs(words: pa.Array, ids: np.ndarray, before: np.ndarray, own: np.ndarray, side: int) -> tuple[np.ndarray, pa.Array]:
+    """k and pair of pairs of places."""
+    h, w = ids[before], ids[own]
+    rare_h, rare_w = h == side - 1, w == side - 1
+    last = len(words) - 1  # the empty string
+    return h * side + w, pc.binary_join_element_wise(
+        words.take(pa.array(np.where(rare_h, before, last))), words.take(pa.array(np.where(rare_w, own, last))),
+        pc.if_else(pa.array(rare_h & rare_w), " ", ""))
 
 
-def _count_cells(words, classes: int):
+def _count_pairs(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cells = pa.array(words.value, pa.string()), np.zeros(classes * classes, np.int64)
+        vocabulary = pa.array(words.value, pa.string())
         for b in batches:
             if b.num_rows:
-                ids, begins, _, _ = _coded(b.column(0), vocabulary)
-                own, before = _classes(ids, begins, classes)
-                cells += np.bincount(before * classes + own, minlength=len(cells))
-        some = np.flatnonzero(cells)
-        for at in range(0, len(some), 100_000):
-            part = some[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["cell", "n"])
+                distinct, ids, own, before, _ = _coded(b.column(0), vocabulary)
+                seen, n = np.unique(before * len(distinct) + own, return_counts=True)
+                k, pair = _pairs(distinct, ids, *np.divmod(seen, len(distinct)), len(vocabulary) + 2)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pair, pa.array(n.astype(np.int64))], names=["k", "pair", "n"])
     return run
 
 
 def bigram_matrix(cells: np.ndarray, unigram: np.ndarray, k: int = K) -> np.ndarray:
-    """log10 P(class | class before) for a square matrix of counts and the classes' P."""
+    """log10 P(column | row) for a square matrix of all pairs' counts and the columns' P: the
+    model that the tables hold, for inputs small enough to be one matrix (tests compare them)."""
     count_of = dict(zip(*(x.tolist() for x in np.unique(cells[(cells > 0) & (cells <= k + 1)], return_counts=True)), strict=True))
     d, out = discounts(count_of, k), np.empty(cells.shape)
     for h, row in enumerate(cells):
@@ -174,56 +186,119 @@ def train(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT, k:
     tokens, types = (stats.tokens or 0) + n_texts, stats.types + (n_texts > 0)
     count_of = {r: (stats[f"n{r}"] or 0) + (n_texts == r) for r in range(1, k + 2)}
     d = discounts(count_of, k)
-    left = sum((1 - d[r]) * r * count_of[r] for r in range(1, k + 1))
+    left = sum((1 - d[r]) * r * count_of[r] for r in range(1, len(d)))
     total = float(tokens) if left >= 0.5 else tokens - left + 0.5
     top = (table.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).toArrow())
     counts = np.array(top.column("n").to_pylist(), np.int64)
-    m = Model(path, top.column("word").to_pylist(), counts, n_texts, tokens, types, d, total, 1 - (tokens - left) / total, classes)
+    m = Model(path, top.column("word").to_pylist(), counts, n_texts, tokens, types, d, total, 1 - (tokens - left) / total)
     if n_texts:
-        words = spark.sparkContext.broadcast(m.words)
-        (texts.mapInArrow(_count_cells(words, classes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-         .write.parquet(f"{path}/order=2"))
-        cells = np.zeros(classes * classes, np.int64)
-        made = spark.read.schema("cell long, n long").parquet(f"{path}/order=2").toArrow()  # at most classes ** 2 rows
-        cells[made.column("cell").to_numpy()] = made.column("n").to_numpy()
-        p = np.zeros(classes)
-        own = np.concatenate(([n_texts], counts[:classes - 2]))
-        p[:len(own)] = m.unigram(own)
-        p[-1] = max(1 - p[:-1].sum(), m.unknown)
-        m.log_p, m.log_rest = bigram_matrix(cells.reshape(classes, classes), p, k), float(np.log10(p[-1]))
+        _train_pairs(texts, m, classes ** 2, k)
     return m
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string"
+_PAIR, _HISTORY = "k long, pair string, n long", "id long, word string, n long, g double, lam double"
 
 
-def _score(words, parts):
-    """A row for each text with what the bounded parts give, and one for each other word."""
+def _halves(side: int) -> tuple[Column, Column, Column, Column]:
+    """Ids and words of the history and of the word of a pair; a frequent word's string is of no use."""
+    return (F.floor(F.col("k") / side), F.col("k") % side, F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1))
+
+
+def _kept(n: Column, d: np.ndarray) -> Column:
+    """``kept`` of a column."""
+    out = n.cast("double")
+    for r in range(1, len(d)):
+        out = F.when(n == r, F.lit(float(r * d[r]))).otherwise(out)
+    return out
+
+
+def _unigram(n: Column, m: Model) -> Column:
+    return F.when(n > 0, _kept(n, m.d) / F.lit(m.total)).otherwise(F.lit(m.unknown))
+
+
+def _train_pairs(texts: DataFrame, m: Model, most: int, k: int) -> None:
+    """Writes order=2 and histories, and puts the bounded parts of them into ``m``."""
+    spark, other = texts.sparkSession, m.side - 1
+    words = spark.sparkContext.broadcast(m.words)
+    (texts.mapInArrow(_count_pairs(words), _PAIR).groupBy("k", "pair").agg(F.sum("n").alias("n"))
+     .write.option("compression", "zstd").parquet(f"{m.path}/order=2"))
+    pairs = spark.read.schema(_PAIR).parquet(f"{m.path}/order=2")
+    h, w, h_word, w_word = _halves(m.side)
+    # counts of counts, exact up to k + 1; of pairs of frequent words by powers of 1.05 for the cut
+    step = F.when(F.col("n") <= k + 1, F.col("n")).otherwise(F.floor(F.ln("n") / F.lit(np.log(1.05))) + 1000)
+    bins = pairs.groupBy(step.alias("step"), ((h < other) & (w < other)).alias("sent")).agg(
+        F.count("*").alias("n"), F.min("n").alias("least")).collect()
+    count_of = {r: sum(b.n for b in bins if b.step == r) for r in range(1, k + 2)}
+    m.pair_d, cut, room = discounts(count_of, k), None, most
+    for b in sorted((b for b in bins if b.sent), key=lambda b: -b.least):
+        if (room := room - b.n) < 0:
+            break
+        cut = b.least
+    top = pairs.where((h < other) & (w < other) & (F.col("n") >= (cut if cut is not None else m.tokens + 1))).select("k", "n").toArrow()
+    keys, n = top.column("k").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(keys)
+    m.pair_keys, m.pair_logs = keys[order], np.log10(kept(n[order], m.pair_d)).astype(np.float64)
+
+    counts = np.concatenate(([m.texts], m.counts))
+    ids = spark.createDataFrame(pa.table({"w_id": np.arange(len(counts)), "p": m.unigram(counts)}))
+    table = spark.read.schema("word string, n long").parquet(f"{m.path}/order=1")
+    half = pairs.select(h.alias("id"), F.when(h == other, h_word).otherwise("").alias("word"), w.alias("w_id"), w_word.alias("w_word"), "n")
+    own = ["id", "word", "n", "p"]
+    seen = half.where(F.col("w_id") < other).join(F.broadcast(ids), "w_id").select(*own).unionAll(
+        half.where(F.col("w_id") == other).join(table.select(F.col("word").alias("w_word"), _unigram(F.col("n"), m).alias("p")), "w_word")
+        .select(*own))
+    sums = seen.groupBy("id", "word").agg(F.sum("n").alias("n"), F.sum(_kept(F.col("n"), m.pair_d)).alias("own"), F.sum("p").alias("p"))
+    full = F.when(F.col("n") - F.col("own") >= 0.5, F.col("n")).otherwise(F.col("own") + 0.5)
+    free = F.greatest(1 - F.col("p"), F.lit(m.unknown))
+    (sums.select("id", "word", "n", F.log10(full).alias("g"), (F.log10(full - F.col("own")) - F.log10(free)).alias("lam"))
+     .write.parquet(f"{m.path}/histories"))
+    some = spark.read.schema(_HISTORY).parquet(f"{m.path}/histories").where(F.col("id") < other).toArrow()
+    m.g, m.lam = np.zeros(m.side), np.zeros(m.side)
+    m.g[some.column("id").to_numpy()], m.lam[some.column("id").to_numpy()] = some.column("g").to_numpy(), some.column("lam").to_numpy()
+
+
+_SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+           "k long, pair string, m long")
+
+
+def _score(parts):
+    """A row for each text with what the bounded parts give, one (k, pair, m) for each of its other
+    pairs, and one (pair, m) for each of its other words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, m, row = pa.array(words.value, pa.string()), parts.value, TaskContext.get().partitionId() << 40
+        m, row = parts.value, TaskContext.get().partitionId() << 40
+        vocabulary, schema = pa.array(m.words, pa.string()), pa.schema([
+            (x.split()[0], {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]])
+            for x in _SCORED.split(", ")])
         counts = np.concatenate(([m.texts], m.counts, [0]))  # the end sign, frequent words, others
         base = np.log10((counts + 1) / (m.tokens + m.types + 1))
-        within = np.log10(m.unigram(counts)) - m.log_rest  # used in the last class only
-        base[-1] = within[-1] = 0.0  # added later, with the word's count
+        base[-1] = 0.0  # added later, with the word's count
+
+        def made(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema],
+                                              schema=schema)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, begins, distinct, rare = _coded(b.column(2), vocabulary)
-            own, before = _classes(ids, begins, m.classes)
-            score = m.log_p[before, own] + np.where(own == m.classes - 1, within[ids], 0.0)
-            first, texts = begins[:-1], np.arange(b.num_rows, dtype=np.int64)
-            add = lambda x: pa.array(np.add.reduceat(x, first))  # noqa: B023, E731
-            size = pa.array(np.diff(begins))
-            none = lambda kind, n: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + texts), b.column(0), b.column(1), size, add((counts[ids] > 0).astype(np.int64)), add(base[ids]),
-                 add(score), none(pa.string(), b.num_rows)], names=[x.split()[0] for x in _SCORED.split(", ")])
-            at = np.repeat(texts, np.add.reduceat((ids < 0).astype(np.int64), first))
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + at), none(pa.int64(), n), none(pa.bool_(), n), none(pa.int64(), n), none(pa.int64(), n),
-                 none(pa.float64(), n), none(pa.float64(), n), distinct.take(pa.array(rare))],
-                names=[x.split()[0] for x in _SCORED.split(", ")])
+            words, ids, own, before, begins = _coded(b.column(2), vocabulary)
+            n, size = len(words), np.diff(begins)
+            texts = np.arange(b.num_rows, dtype=np.int64)
+            add = lambda x: np.add.reduceat(x, begins[:-1])  # noqa: B023, E731
+            at, times = np.unique((np.repeat(texts, size) * n + before) * n + own, return_counts=True)
+            at, own_u = np.divmod(at, n)
+            at, before_u = np.divmod(at, n)
+            k = ids[before_u] * m.side + ids[own_u]
+            place = np.minimum(np.searchsorted(m.pair_keys, k), max(0, len(m.pair_keys) - 1))
+            hit = (m.pair_keys[place] == k) if len(m.pair_keys) else np.zeros(len(k), bool)
+            score = np.bincount(at[hit], times[hit] * m.pair_logs[place[hit]], b.num_rows) - add(m.g[ids[before]])
+            yield made(b.num_rows, row=pa.array(row + texts), doc_id=b.column(0), held_out=b.column(1), n_tokens=pa.array(size),
+                       n_known=pa.array(add((counts[ids[own]] > 0).astype(np.int64))), base=pa.array(add(base[ids[own]])),
+                       score=pa.array(score))
+            k, pair = _pairs(words, ids, before_u[~hit], own_u[~hit], m.side)
+            yield made(len(k), row=pa.array(row + at[~hit]), k=pa.array(k), pair=pair, m=pa.array(times[~hit]))
+            rare = ids[own] == m.side - 1
+            at, times = np.unique(np.repeat(texts, size)[rare] * n + own[rare], return_counts=True)
+            yield made(len(at), row=pa.array(row + at // n), pair=words.take(pa.array(at % n)), m=pa.array(times))
             row += b.num_rows
     return run
 
@@ -238,21 +313,39 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
         size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
         return rows.select("doc_id", "held_out", size.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), n,
                            F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    sc, path = spark.sparkContext, f"{m.path}/scored-{work_dir(spark, 'x')[-32:]}"
-    rows.mapInArrow(_score(sc.broadcast(m.words), sc.broadcast(m)), _SCORED).write.option("compression", "zstd").parquet(path)
+    path, other = f"{m.path}/scored-{work_dir(spark, 'x')[-32:]}", m.side - 1
+    rows.mapInArrow(_score(spark.sparkContext.broadcast(m)), _SCORED).write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(_SCORED).parquet(path)
-    table = spark.read.schema("word string, n long").parquet(f"{m.path}/order=1")
+    # pairs that were not sent: a text's seen ones become one row, unseen ones stay
+    pairs = spark.read.schema(_PAIR).parquet(f"{m.path}/order=2")
+    unseen = F.col("n").isNull()
+    met = (made.where("k IS NOT NULL").select("row", "k", "pair", "m").join(pairs, ["k", "pair"], "left")
+           .groupBy("row", F.when(unseen, F.col("k")).alias("k"), F.when(unseen, F.col("pair")).alias("pair"))
+           .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.log10(_kept(F.col("n"), m.pair_d))).alias("score")))
+    met = written(met, "katz-met")
+    h, w, h_word, w_word = _halves(m.side)
+    new = met.where("k IS NOT NULL").select("row", "m", h.alias("h"), w.alias("w"), h_word.alias("h_word"), w_word.alias("w_word"))
+    table = spark.read.schema(_HISTORY).parquet(f"{m.path}/histories").where(F.col("id") == other).drop("id")
+    ids = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(other), "lam": m.lam[:-1], "log_p": np.log10(
+        m.unigram(np.concatenate(([m.texts], m.counts))))})))
+    log_p = F.log10(_unigram(F.coalesce("n", F.lit(0)), m))
     c = F.coalesce("n", F.lit(0))
-    d = F.lit(1.0)
-    for r in range(1, len(m.d)):
-        d = F.when(c == r, F.lit(float(m.d[r]))).otherwise(d)
-    p = F.when(c > 0, c * d / F.lit(m.total)).otherwise(F.lit(m.unknown))
-    rare = (made.where("word IS NOT NULL").select("row", "word").join(table, "word", "left")
-            .groupBy("row").agg(F.sum((c > 0).cast("long")).alias("r_known"),
-                                F.sum(F.log10((c + 1) / F.lit(float(m.tokens + m.types + 1)))).alias("r_base"),
-                                F.sum(F.log10(p) - F.lit(m.log_rest)).alias("r_score")))
+    part = lambda df, value, base=F.lit(0.0), known=F.lit(0): df.select(
+        "row", value.alias("score"), base.alias("base"), known.cast("long").alias("known"))
+    parts = [part(met.where("k IS NULL"), F.col("score")),
+             part(new.join(ids, F.col("w") == F.col("id")), F.col("m") * F.col("log_p")),
+             part(new.where(F.col("w") == other).join(table, F.col("w_word") == F.col("word"), "left"), F.col("m") * log_p),
+             part(new.join(ids, F.col("h") == F.col("id")), F.col("m") * F.col("lam")),
+             part(new.where(F.col("h") == other).join(table, F.col("h_word") == F.col("word")), F.col("m") * F.col("lam")),
+             part(made.where("k IS NULL AND pair IS NOT NULL").select("row", "pair", "m").join(table, F.col("pair") == F.col("word"), "left"),
+                  -F.col("m") * F.coalesce("g", F.lit(0.0)), F.col("m") * F.log10((c + 1) / F.lit(float(m.tokens + m.types + 1))),
+                  F.col("m") * (c > 0).cast("long"))]
+    more = parts[0]
+    for p in parts[1:]:
+        more = more.unionAll(p)
+    more = more.groupBy("row").agg(F.sum("score").alias("r_score"), F.sum("base").alias("r_base"), F.sum("known").alias("r_known"))
     zero = F.lit(0)
-    return (made.where("word IS NULL").drop("word").join(rare, "row", "left")
+    return (made.where("n_tokens IS NOT NULL").drop("k", "pair", "m").join(more, "row", "left")
             .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("r_known", zero)).alias("n_known"), n,
                     (F.col("base") + F.coalesce("r_base", zero)).alias("base_score"),
                     (F.col("score") + F.coalesce("r_score", zero)).alias("score")))

@@ -104,6 +104,27 @@ def test_scoring_awkward_rows(spark, awkward, nothing):
     assert {(r.score, r.n_known, r.train_tokens) for r in katz.score(awkward, empty).collect()} == {(0.0, 0, 0)}
 
 
+def test_scores_are_those_of_the_model_over_all_words(spark, documents):
+    """Few words and pairs are sent to the tasks; the tables give what one matrix of all words gives."""
+    texts = [t for _, t in documents[:60]] + [None, "", "never met words never met"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    split = lambda t: brute.words((t or "").translate(brute.ASCII_LOWER))
+    words = [split(t) for t in texts[:50]]
+    names = ["", *sorted({w for x in words for w in x})]
+    place = {w: i for i, w in enumerate(names)}  # one more row and column: the unknown word
+    cells = np.zeros((len(names) + 1,) * 2, np.int64)
+    for x in words:
+        np.add.at(cells, ([0, *(place[w] for w in x)], [*(place[w] for w in x), 0]), 1)
+    trained = rows.where("doc_id < 50")
+    for classes, frequent in ((1, 3), (30, 400)):
+        m = katz.train(trained, classes=classes, frequent=frequent)
+        log_p = katz.bigram_matrix(cells, m.unigram(cells.sum(axis=0)))
+        for r in katz.score(rows, m).collect():
+            x = [place.get(w, len(names)) for w in split(texts[r.doc_id])]
+            assert math.isclose(r.score, log_p[[0, *x], [*x, 0]].sum(), rel_tol=1e-9)
+            assert r.n_known == sum(i < len(names) for i in x) + 1
+
+
 def test_bigram_rows_sum_to_one():
     rng = np.random.default_rng(5)
     cells = rng.poisson(0.4, (40, 40)) * rng.integers(1, 9, (40, 40))

@@ -44,7 +44,7 @@ from expstudy.llm.common import batched, work_dir, written
 
 #: Side of the square that bounds the pairs sent to the tasks; frequent words sent, and their longest.
 CLASSES, FREQUENT, LONGEST = 2048, 65_536, 64
-#: Counts above K are not discounted.
+#: Counts above K are not discounted (nor above a smaller K that ``discounts`` settles for).
 K = 5
 
 
@@ -53,14 +53,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def discounts(count_of: dict[int, int], k: int = K) -> np.ndarray:
-    """Katz's ratios d[r] for r = 0 .. k; absolute discounting by a half where they fail."""
+    """Katz's ratios d[r] for r = 0 .. K, with the largest K <= k whose ratios all lie in (0, 1).
+
+    A K of one gives no ratio above zero, so where none from two to k does (counts of counts
+    that are missing or do not fall), it is absolute discounting by a half for r <= k.
+    """
     n = [count_of.get(r, 0) for r in range(k + 2)]
-    d = np.array([1.0] + [(r - 0.5) / r for r in range(1, k + 1)])
-    if all(n[1:]) and (rest := (k + 1) * n[k + 1] / n[1]) < 1:
-        katz = np.array([((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) for r in range(1, k + 1)])
-        if (katz > 0).all() and (katz < 1).all():
-            d[1:] = katz
-    return d
+    for most in range(k, 1, -1):
+        if all(n[1:most + 2]) and (rest := (most + 1) * n[most + 1] / n[1]) < 1:
+            katz = np.array([((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) for r in range(1, most + 1)])
+            if (katz > 0).all() and (katz < 1).all():
+                return np.concatenate(([1.0], katz))
+    return np.array([1.0] + [(r - 0.5) / r for r in range(1, k + 1)])
 
 
 def kept(counts: np.ndarray, d: np.ndarray) -> np.ndarray:

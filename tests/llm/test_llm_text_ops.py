@@ -4,9 +4,11 @@ import math
 import os
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
@@ -147,6 +149,20 @@ def test_good_turing_discounts_are_katz_ratios():
     assert katz.discounts({1: 3})[2] == 0.75  # counts of counts are missing: absolute discounting
 
 
+def test_good_turing_is_in_force_on_the_tables(spark):
+    for sf in (SF001, SF01, SF01.replace("sf0.01", "sf0.1")):
+        docs = common.table(spark, sf, "documents").where(~katz.held_out(F.col("doc_id"))).select("text").toPandas()["text"]
+        tokens = [[*brute.words((t or "").translate(brute.ASCII_LOWER)), ""] for t in docs]
+        for counts in (Counter(w for x in tokens for w in x), Counter(p for x in tokens for p in zip(["", *x], x))):  # noqa: B905
+            n = Counter(counts.values())
+            d = katz.discounts(n)
+            most = len(d) - 1
+            rest = (most + 1) * n[most + 1] / n[1]
+            assert most >= 2 and ((d[1:] > 0) & (d[1:] < 1)).all()
+            for r in range(1, most + 1):
+                assert math.isclose(d[r], ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest))
+
+
 def test_shards(spark, documents):
     rows = registry.op2_weighted_hash_tree(spark, SF01).collect()
     text = dict(documents)

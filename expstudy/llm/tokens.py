@@ -25,10 +25,11 @@ class Encoder:
     """Ids of texts as unsigned 32-bit integers.
 
     The tokenizer drops white space, treats each white-space separated word on its own, and
-    cuts a word between its letters and the marks after them; ASCII capitals have the ids of
-    their lower-case forms.  So the ids of a text are those of its words' parts in order, and a
-    worker remembers the ids of parts that it has seen.  (tests/llm compares whole texts with
-    the tokenizer itself.)
+    cuts a word between its ASCII letters and the ASCII marks after them; ASCII capitals have the
+    ids of their lower-case forms.  Other letters can end in a combining mark once they are
+    normalised, which then goes with the marks after them, so words with such letters stay whole.
+    So the ids of a text are those of its words' parts in order, and a worker remembers the ids
+    of parts that it has seen.  (tests/llm compares whole texts with the tokenizer itself.)
     """
 
     def __init__(self, path: str):
@@ -44,8 +45,8 @@ class Encoder:
         cut = []
         for w in words:
             letters = w.rstrip(MARKS)
-            if letters.isalpha():
-                cut.append((letters.lower() if letters.isascii() else letters, w[len(letters):]))
+            if letters.isascii() and letters.isalpha():
+                cut.append((letters.lower(), w[len(letters):]))
             else:
                 cut.append((w, ""))
         parts = self.parts

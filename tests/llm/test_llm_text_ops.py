@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute
 from conftest import SF001, SF01
 
-from expstudy.llm import arrow_ids, common, decontaminate, katz, minhash, packing, quality, registry, sharding
+from expstudy.llm import arrow_ids, common, decontaminate, katz, minhash, packing, quality, registry, sharding, tokens
 
 LONG = "lorem ipsum dolor sit amet " * 8000
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, row string, label int, kept string, part int"
@@ -222,6 +222,16 @@ def test_packing_awkward_rows_and_sequences(awkward, nothing):
         assert zlib.crc32(ids.tobytes()) == r.ids_crc32
 
 
+def test_words_that_end_in_a_combining_mark_once_normalised():
+    import pyarrow as pa
+
+    words = ["AL\u0130.", "\u0924\u0930\u095e,", "\u05d0\ufb1d,", "\ufb1d!?", "Stra\u00dfe;", "\u00e9t\u00e9...", "End."]
+    texts = [*words, " ".join(words)]
+    ids, sizes = tokens.encoder(tokens.tokenizer_path()).encode(pa.array(texts))
+    want = encoded(texts)
+    assert sizes.tolist() == [len(x) for x in want] and (ids == np.concatenate(want)).all()
+
+
 def test_arrow_files(spark, documents):
     rows = {r.doc_id: r for r in registry.op5_arrow_fixed_lists(spark, SF01).collect()}
     docs, start = sorted(documents), 0

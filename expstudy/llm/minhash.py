@@ -6,8 +6,11 @@ process of its weight's rate, each arrival at a random register; a register keep
 that arrives first, and a shingle's process ends early once it is later than every register.
 Two registers agree with the probability Jaccard similarity of the weighted sets.  BANDS bands
 of ROWS registers give the buckets, and a pair is linked if the Jaccard similarity of the
-shingle sets, counted exactly from the whole texts, is at least 0.8.  (At 0.8 a pair shares no
-bucket with a probability of 7e-6; sets and weighted sets differ little at these weights.)
+shingle sets, counted exactly from the whole texts, is at least 0.8.  Where one copy repeats a
+passage the weighted sets can be far less alike than the sets, so a text with repeated shingles
+gets the bands of equal weights, the same arrivals at rate 1, besides; without repeats the two
+are the same.  So at a set similarity of 0.8 a pair shares no bucket with a probability of 7e-6,
+whatever its repeats.
 
 Equal texts are one node from the start.  Buckets never emit all pairs.  First every member is
 compared with the bucket's hub, the member with most company in all its buckets (of near copies
@@ -103,6 +106,15 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     return winner.reshape(texts, m)
 
 
+def band_keys(sign: np.ndarray) -> np.ndarray:
+    """For each text the BANDS bucket keys of its signature."""
+    sign = sign.reshape(len(sign), BANDS, ROWS)
+    keys = np.zeros(sign.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = _mix(keys * _ODD[0] + sign[:, :, r])
+    return keys
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc (a struct with a field ``text``) and same; adds row, size and bands."""
     row = TaskContext.get().partitionId() << 40
@@ -112,11 +124,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         text, shingle, count = shingles(b.column(0).field("text"))
         size = np.bincount(text, minlength=n)
-        sign = signatures(text, shingle, 1 + np.log(count), n).reshape(n, BANDS, ROWS)
-        keys = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            keys = _mix(keys * _ODD[0] + sign[:, :, r])
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+        keys = band_keys(signatures(text, shingle, 1 + np.log(count), n))
+        repeats = np.bincount(text[count > 1], minlength=n) > 0
+        own, place = repeats[text], np.cumsum(repeats) - 1
+        plain = keys.copy()
+        if repeats.any():
+            plain[repeats] = band_keys(signatures(place[text[own]], shingle[own], np.ones(own.sum()), int(repeats.sum())))
+        both = np.concatenate((keys, plain), axis=1)
+        new = np.concatenate((np.ones(keys.shape, bool), plain != keys), axis=1)
+        ends = np.concatenate(([0], np.cumsum(new.sum(axis=1)))).astype(np.int32)
+        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(both[new].view(np.int64)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(row + np.arange(n)), pa.array(size), bands],
                                          names=["doc", "same", "row", "size", "bands"])
         row += n

@@ -318,6 +318,17 @@ def test_near_duplicates_hub_that_is_not_alike(spark):
     assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(brute.similar_classes(texts)))
 
 
+def test_near_duplicates_with_unequal_repeats(spark):
+    """Equal shingle sets, a tenth of them many times in one text: the weighted sets are far less alike."""
+    texts = []
+    for c in range(200):
+        cycle, rest = " ".join(f"c{c}_{i}" for i in range(10)), " ".join(f"r{c}_{i}" for i in range(86))
+        texts += [f"{cycle} {cycle} {rest}", f"{cycle} " * 500 + rest]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = minhash.near_duplicates(docs).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     n, weights = 60, {}

@@ -6,8 +6,12 @@ smoothed by a Gaussian over neighbouring lines and split by two-means clustering
 upper cluster that are not page furniture are seeds.  The content region is the article (or
 main) element that holds most seed text, or else the deepest element that holds nearly all of
 it, and the text is every line of the region but furniture: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments, by tag, class, id or role.  Where
-the page marks no article, lists of links in the region's lower cluster go too.
+notices, adverts, forms, scripts, styles, reader comments, by tag, class, id or role.  A class,
+id or role marks furniture if it is a known name as a whole, or begins or ends with one; where
+that leaves a doubt (``DOUBTFUL`` names, and ids inside the marked article) the element goes only
+if most of its text is in links or its own ratio is in the lower cluster.  Headings are not
+judged by their ids, which are often made from their text.  Where the page marks no article,
+lists of links in the region's lower cluster go too.
 
 Each page is read once, front to back, in time and memory proportional to its length; pages
 are rows of a mapInArrow, so a lost task repeats its pages only.
@@ -44,6 +48,10 @@ NAMES = frozenset(("ad ads adv advert adverts advertisement advertising sponsor
                    "notice notices cookie cookies consent gdpr alert alertdialog popup modal overlay dialog paywall "
                    "comment comments commentlist reply replies respond responses disqus discussion share sharing social "
                    "newsletter subscribe subscription signup login search form").split())
+#: Those of NAMES that article text is also about: alone they mark furniture, as a part they leave a doubt.
+DOUBTFUL = frozenset(("legal related recommended social search share sharing notice notices alert reply replies respond responses "
+                      "discussion header form banner promotion navigation copyright login signup subscription dialog complementary").split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body main article".split())
 COMMENTS = frozenset("comment comments reply replies".split())
 MAIN_ROLES = frozenset(("main", "article"))
@@ -62,6 +70,7 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.furniture, self.article, self.holder = [-1], [False], [0], [True]  # element 0: the page
+        self.doubt = [0]  # the outermost doubtful element around each, 0 without one
         self.stack: list[tuple[str, int]] = []
         self.open: Counter[str] = Counter()
         self.mute = self.links = 0
@@ -86,13 +95,16 @@ class _Page(HTMLParser):
                 self.close_to("p")
         if tag in VOID:
             return
-        up, names, role, hidden = self.here(), set(), "", False
+        up, names, doubts, role, hidden = self.here(), set(), set(), "", False
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                for word in _NAME.findall(_CAMEL.sub("-", v).lower().replace("_", "-")):
-                    parts = word.split("-")
-                    if parts[0] not in NEGATED:
-                        names.update(parts)
+                for word in _NAME.findall(_CAMEL.sub("-", v).lower().replace("_", "-")) if k != "id" or tag not in HEADINGS else ():
+                    parts, inner = word.split("-"), k == "id" and self.article[up] > 0
+                    if len(parts) == 1:
+                        (doubts if inner and word in DOUBTFUL else names).add(word)
+                    elif parts[0] not in NEGATED:
+                        for part in (parts[0], parts[-1]):
+                            (doubts if inner or part in DOUBTFUL else names).add(part)
                 role = v.lower() if k == "role" else role
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v):
                 hidden = True
@@ -100,11 +112,13 @@ class _Page(HTMLParser):
                 role = "main"
         own = tag in FURNITURE or hidden or bool(names & (COMMENTS if tag in WHOLE or role in MAIN_ROLES else NAMES))
         own |= tag == "header" and not self.article[up]
-        if own and not self.furniture[up]:
+        doubt = not own and not self.doubt[up] and bool(doubts & NAMES) and tag not in WHOLE and role not in MAIN_ROLES
+        if own and not self.furniture[up] or doubt:
             self.flush()
         n = len(self.parent)
         self.parent.append(up)
         self.furniture.append(own or self.furniture[up])
+        self.doubt.append(n if doubt else self.doubt[up])
         inner = 2 if tag == "article" or role == "article" else 1 if tag == "main" or role == "main" else 0
         self.article.append(max(inner, self.article[up]))
         self.holder.append(tag in HOLDERS)
@@ -126,7 +140,7 @@ class _Page(HTMLParser):
     def close_to(self, tag: str) -> None:
         while True:
             name, n = self.stack[-1]
-            if self.furniture[n] and not self.furniture[self.parent[n]]:
+            if self.furniture[n] and not self.furniture[self.parent[n]] or self.doubt[n] == n:
                 self.flush()
             self.stack.pop()
             self.open[name] -= 1
@@ -161,6 +175,20 @@ def _threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _settle(page: _Page, cut: float) -> None:
+    """Makes the doubtful elements furniture whose text is mostly links or whose ratio is below ``cut``."""
+    sums: dict[int, list[int]] = {}
+    for text, tags, links, element in page.lines:
+        if (d := page.doubt[element]) and not page.furniture[element]:
+            own = sums.setdefault(d, [0, 0, 0])
+            own[0] += len(text)
+            own[1] += tags
+            own[2] += links
+    gone = {d for d, (size, tags, links) in sums.items() if links > 0.5 * size or size < cut * max(1, tags)}
+    if gone:
+        page.furniture = [f or d in gone for f, d in zip(page.furniture, page.doubt, strict=True)]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by single spaces."""
     html = html or ""
@@ -176,7 +204,9 @@ def main_text(html: str | None) -> str:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
     ratio = _smooth(size / np.maximum(1, [x[1] for x in lines]))
-    upper = ratio >= _threshold(ratio)
+    cut = _threshold(ratio)
+    upper = ratio >= cut
+    _settle(page, cut)
     useful = np.array([not page.furniture[x[3]] for x in lines])
     if not useful.any():
         return ""

@@ -56,6 +56,21 @@ def test_page_furniture_goes(holder):
     assert html_text.main_text(page) == " ".join(TEXT)
 
 
+LONG_TEXT = "A paragraph of the article that has more than enough words in it to count as content for sure."
+
+
+@pytest.mark.parametrize("holder", ["<article>{}</article>", "<main>{}</main>", "<div><div id=post>{}</div></div>"])
+def test_article_text_under_generated_ids_stays(holder):
+    body = (f'<h1 id="search">Searching</h1><p>{LONG_TEXT}</p><h2 id="Legal_status">Legal status</h2><p>{LONG_TEXT}</p>'
+            f'<h2 id="related-work">Related work</h2><p>{LONG_TEXT}</p>'
+            f'<section id="social-history"><h3>Social history</h3><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></section>'
+            f'<section id="art-form-studies"><p>{LONG_TEXT}</p></section><div class="early-search-engines"><p>{LONG_TEXT}</p></div>'
+            '<div class="share-tools"><a href="/f">Send this to a friend</a> <a href="/p">Print it on paper</a></div>'
+            '<div class="post-related"><ul><li>One</li><li>Two</li><li>Three</li></ul></div>')
+    want = ["Searching", LONG_TEXT, "Legal status", LONG_TEXT, "Related work", LONG_TEXT, "Social history", *[LONG_TEXT] * 4]
+    assert html_text.main_text("<body>" + PARTS["menu"] + PARTS["notice"] + holder.format(body) + PARTS["comments"]) == " ".join(want)
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "<p>deep words</p>" + "</div>" * 2000
     rows = [(1, "u", None), (1, "u", None), (None, None, ""), (2, "u", "no markup at all"), (3, "u", "<p>cut &copy off<p>and <b"),

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,16 @@ def let(value: Column, body) -> Column:
 def batched(spark: SparkSession, rows: int = 512) -> None:
     """Small Arrow batches, so that a batch of long texts stays within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def slices(batch: pa.RecordBatch, most: int = 1 << 24) -> Iterator[list[pa.Array]]:
+    """The columns of a batch in pieces of at most ``most`` bytes of its last column, or of one row."""
+    if not batch.num_rows:
+        return
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield batch.slice(at, end - at).columns
+        at = end

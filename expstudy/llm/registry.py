@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expstudy.llm import arrow_ids, chat, decontaminate, html_text, katz, minhash, packing, quality, sharding, url_filter
+from expstudy.llm import (arrow_ids, chat, decontaminate, html_text, katz, minhash, packing, quality, runs, sharding, simhash, url_filter,
+                          whitening)
 from expstudy.llm import oracles as sql
 from expstudy.llm.common import table
 
@@ -59,6 +60,19 @@ def op10_ngram_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
+def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(table(spark, sf_dir, "documents"), runs.repeat_tails)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,10 +81,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_katz_backoff, op2_weighted_hash_tree, op3_concat_and_cut, op4_url_language_model, op5_arrow_fixed_lists,
-                                    op6_probminhash, op7_chat_machine, op8_adaptive_quantiles, op9_html_ratio, op10_ngram_set, pipeline)}
+                                    op6_probminhash, op7_chat_machine, op8_adaptive_quantiles, op9_html_ratio, op10_ngram_set,
+                                    op11_chebyshev_whitening, op12_simhash_trie, op13_periodic_runs, pipeline)}
 
 
 def oracles() -> dict[str, str]:
-    """SQL cannot express the tokenizer, the page parser and the language model."""
+    """SQL cannot express the tokenizer, the page parser, the language model, eigenvectors, XXH64 with a seed and runs of any period."""
     return {"op2_weighted_hash_tree": sql.OP2, "op4_url_language_model": sql.OP4, "op6_probminhash": sql.OP6,
             "op7_chat_machine": sql.OP7, "op8_adaptive_quantiles": sql.OP8, "op10_ngram_set": sql.OP10}

@@ -673,7 +673,7 @@ def q_lasso_lambda_max(spark, sf_dir):
     model = MD.fixed_model(spark, sf_dir)
     cells = M.cells(MD.train_rows(spark, sf_dir), MD.X_VARS, "expected", "actual")
     dcells = L.design_cells(cells, MD.X_VARS, "expected", "actual", model.design, is_cells=True)
-    rows = L.null_gradients(dcells, model.design.names)
+    rows = L.null_gradients(dcells, model.design)
     return spark.createDataFrame([(n, round(g, 6)) for n, g in rows], "term string, grad double")
 
 
@@ -693,7 +693,7 @@ def q_lambda_grid(spark, sf_dir):
     model = MD.fixed_model(spark, sf_dir)
     cells = M.cells(MD.train_rows(spark, sf_dir), MD.X_VARS, "expected", "actual")
     path = L.fit_lasso_path(L.design_cells(cells, MD.X_VARS, "expected", "actual", model.design, is_cells=True).persist(),
-                            model.design.names, nlambda=GRID)
+                            model.design, nlambda=GRID)
     return spark.createDataFrame([(i + 1, round(float(x), 6), round(float(path.nulldev), 3)) for i, x in enumerate(path.lambdas)],
                                  "lambda_ix int, lambda double, nulldev double")
 

@@ -1,7 +1,7 @@
 """Whitening of embeddings by Chebyshev-filtered subspace iteration.
 
 Vectors become integers, floor(256 * c).  The covariance V is over the distinct vectors, which are
-written once, each as the bytes of its integers.  V is never formed for wide vectors: every
+written once, each as the bytes of its integers in the least width.  V is never formed for wide vectors: every
 step is one pass over that table that sends each task's part of the centred product X'XQ / n (a
 block of a few columns) to a sum by cell.
 
@@ -65,21 +65,33 @@ def _integers(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d and x (64-bit integers, little-endian) of the sound rows."""
+    """d and x (little-endian integers of the least width that holds the vector) of the sound rows."""
     for b in batches:
         for _, x in _integers(b.column(0)):
-            d, step = x.shape[1], max(1, (1 << 27) // x.shape[1])
-            for at in range(0, len(x), step):
-                part = np.ascontiguousarray(x[at:at + step], "<i8")
-                offsets = np.arange(len(part) + 1, dtype=np.int32) * np.int32(8 * d)
-                data = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(part.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d, np.int32)), data], names=["d", "x"])
+            d, most = x.shape[1], np.abs(x).max(axis=1)
+            width = np.where(most < 1 << 15, 2, np.where(most < 1 << 31, 4, 8))
+            for w in np.unique(width).tolist():
+                own, step = x[width == w], max(1, (1 << 30) // (w * d))
+                for at in range(0, len(own), step):
+                    part = own[at:at + step].astype(f"<i{w}")
+                    offsets = np.arange(len(part) + 1, dtype=np.int32) * np.int32(w * d)
+                    data = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(part.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d, np.int32)), data], names=["d", "x"])
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
+    """The vectors of packed rows as matrices of 64-bit integers, in pieces of up to 4,096."""
     for b in batches:
-        if b.num_rows:
-            yield np.frombuffer(b"".join(x.as_buffer() for x in b.column(0)), "<i8").reshape(-1, d)
+        if not b.num_rows:
+            continue
+        x = b.column(0)
+        sizes = np.diff(np.frombuffer(x.buffers()[1], np.int32)[x.offset:x.offset + len(x) + 1])
+        for size in np.unique(sizes).tolist():
+            own = x if (sizes == size).all() else x.filter(pa.array(sizes == size))
+            start = np.frombuffer(own.buffers()[1], np.int32)[own.offset]
+            whole = np.frombuffer(own.buffers()[2], f"<i{size // d}", len(own) * d, start).reshape(-1, d)
+            for at in range(0, len(whole), 4096):
+                yield whole[at:at + 4096].astype(np.int64)
 
 
 def _cells(fit: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], kind: str) -> dict[int, object]:

@@ -9,7 +9,7 @@ the last window of all is padded.
 
 Cases: a null or empty text is the end id alone; repeated rows and equal or null doc_ids are
 documents of their own; a document longer than a window is cut into as many pieces as it
-spans; an empty table gives an empty result; other columns are ignored.
+spans, and one whose ids take 2 GB raises an error (a text takes less); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from expstudy.llm.common import batched, written
+from expstudy.llm.common import batched, slices, written
 from expstudy.llm.tokens import encoder, tokenizer_path
 
 SEQUENCE = 2048
@@ -35,12 +35,14 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        for b in batches:
-            ids, sizes = enc.encode(b.column(1))
+        for doc_ids, texts in (part for b in batches for part in slices(b)):
+            ids, sizes = enc.encode(texts)
             ends = np.cumsum(sizes)
             offsets = np.concatenate(([0], ends)) * 4
+            if offsets[-1] >= 1 << 31:
+                raise OverflowError("the ids of one text take 2 GB or more")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends - sizes),
+                [doc_ids, pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends - sizes),
                  pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids.tobytes())])],
                 names=["doc_id", "part", "start", "ids"])
             start += int(sizes.sum())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from array import array
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -21,15 +23,24 @@ MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _encoders: dict[str, "Encoder"] = {}
 
 
+@cache
+def _cuts(c: str) -> bool:
+    """Whether the tokenizer always cuts between ``c`` and a mark: it is a letter or digit, in
+    early Unicode as today, and still ends in one when normalised and lower-cased."""
+    end = unicodedata.normalize("NFC", c).lower()[-1]
+    return all(unicode.category(x)[0] in "LN" for x in (c, end) for unicode in (unicodedata, unicodedata.ucd_3_2_0))
+
+
 class Encoder:
     """Ids of texts as unsigned 32-bit integers.
 
     The tokenizer drops white space, treats each white-space separated word on its own, and
-    cuts a word between its ASCII letters and the ASCII marks after them; ASCII capitals have the
-    ids of their lower-case forms.  Other letters can end in a combining mark once they are
-    normalised, which then goes with the marks after them, so words with such letters stay whole.
-    So the ids of a text are those of its words' parts in order, and a worker remembers the ids
-    of parts that it has seen.  (tests/llm compares whole texts with the tokenizer itself.)
+    cuts a word between a letter or digit and the ASCII marks after it.  A character can end in
+    a combining mark once it is normalised and lower-cased, which then goes with the marks after it;
+    words with such a character before their marks stay whole (``_cuts``).  ASCII capitals have
+    the ids of their lower-case forms.  So the ids of a text are those of its words' parts in
+    order, and a worker remembers the ids of parts that it has seen.  (tests/llm compares whole
+    texts, and every letter and digit before a mark, with the tokenizer itself.)
     """
 
     def __init__(self, path: str):
@@ -45,10 +56,10 @@ class Encoder:
         cut = []
         for w in words:
             letters = w.rstrip(MARKS)
-            if letters.isascii() and letters.isalpha():
-                cut.append((letters.lower(), w[len(letters):]))
-            else:
+            if not letters or not _cuts(letters[-1]):
                 cut.append((w, ""))
+            else:
+                cut.append((letters.lower() if letters.isascii() and letters.isalpha() else letters, w[len(letters):]))
         parts = self.parts
         new = list(set().union(*cut) - parts.keys())
         made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)

@@ -6,7 +6,7 @@ import os
 import unicodedata
 from array import array
 from functools import cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Most words and word parts whose ids a worker remembers between batches.
 REMEMBERED, PARTS = 700_000, 700_000
+#: Words whose ids are asked for in one text.
+TOGETHER = 256
 #: ASCII marks that can follow a word's letters, without those of contractions and special tokens.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
@@ -31,13 +33,19 @@ def _cuts(c: str) -> bool:
     return all(unicode.category(x)[0] in "LN" for x in (c, end) for unicode in (unicodedata, unicodedata.ucd_3_2_0))
 
 
+def _latin(w: str) -> bool:
+    """Whether ``w`` is letters of the Latin blocks alone, which are one word whatever stands around
+    it and whose lower-case forms are letters of their own (so not the capital I with a dot)."""
+    return w.isalpha() and max(w) < "\u0250" and "\u0130" not in w
+
+
 class Encoder:
     """Ids of texts as unsigned 32-bit integers.
 
     The tokenizer drops white space, treats each white-space separated word on its own, and
     cuts a word between a letter or digit and the ASCII marks after it.  A character can end in
     a combining mark once it is normalised and lower-cased, which then goes with the marks after it;
-    words with such a character before their marks stay whole (``_cuts``).  ASCII capitals have
+    words with such a character before their marks stay whole (``_cuts``).  Latin capitals have
     the ids of their lower-case forms.  So the ids of a text are those of its words' parts in
     order, and a worker remembers the ids of parts that it has seen.  (tests/llm compares whole
     texts, and every letter and digit before a mark, with the tokenizer itself.)
@@ -48,6 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -59,13 +70,30 @@ class Encoder:
             if not letters or not _cuts(letters[-1]):
                 cut.append((w, ""))
             else:
-                cut.append((letters.lower() if letters.isascii() and letters.isalpha() else letters, w[len(letters):]))
+                cut.append((letters.lower() if _latin(letters) else letters, w[len(letters):]))
+        new = list(set().union(*cut) - self.parts.keys())
+        plain = [p for p in new if _latin(p)]
+        self.parts.update(zip(plain, self._ids_of_words(plain), strict=True))
+        self._one_by_one([p for p in new if p not in self.parts])
         parts = self.parts
-        new = list(set().union(*cut) - parts.keys())
-        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        parts.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, made, strict=True))
         self.words.update((w, parts[a] + parts[b]) for w, (a, b) in zip(words, cut, strict=True))
 
+    def _one_by_one(self, parts: list[str]) -> None:
+        made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        self.parts.update((p, array("I", e.ids).tobytes()) for p, e in zip(parts, made, strict=True))
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, many in one text: each ends with the first id that ends a word."""
+        if not words:
+            return []
+        texts = [" ".join(words[i:i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))), "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not end each word with an id of its own kind")
+        data, stops = ids.tobytes(), (4 * ends).tolist()
+        return [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another with the end id after each, and how many each has."""
         if not len(texts):

@@ -28,6 +28,12 @@ and the winners (at most 2^depth x features rows) reach the driver.  The
 running sums are range-partitioned at every size
 (``functions.ranking.running_sums_within``), so no task holds all values of
 one feature.
+
+The sides of a string split stay a table ``(node, level, left)`` in the checkpoint
+folder: cells meet their level by a join, which is a broadcast only where the
+table has at most ``MOST_LEVELS`` rows.  The driver holds the names of a left side
+of at most ``NAMED`` levels, for rule texts and the CASE of ``leaf_column``; larger
+sides are counted, and ``assign_leaves`` applies them by the same join.
 """
 
 from __future__ import annotations
@@ -50,6 +56,10 @@ MIN_CP = 0.0001
 DEFAULT_MIN_SPLIT = 20
 PRIOR_CV = 1.0
 
+# rows of a level's side table that are broadcast; levels of a side that are named on the driver
+MOST_LEVELS = 1_000_000
+NAMED = 1000
+
 _EPS = 1e-12
 
 
@@ -81,7 +91,8 @@ class Split:
     kind: str  # "num" or "str"
     cut: float | None = None
     left_lt: bool = True  # numeric: left child is x < cut (else x >= cut)
-    left_levels: list = field(default_factory=list)
+    left_levels: list | None = field(default_factory=list)  # None: more than NAMED, see PoissonTree.sides
+    n_left_levels: int = 0
     null_left: bool = True
     improve: float = 0.0
 
@@ -90,10 +101,13 @@ class Split:
             lt = self.left_lt if left else not self.left_lt
             return f"{self.feature} {'<' if lt else '>='} {_fmt(self.cut)}"
         op = "in" if left else "not in"
-        return f"{self.feature} {op} ({', '.join(str(v) for v in sorted(self.left_levels))})"
+        names = f"{self.n_left_levels} levels" if self.left_levels is None else ", ".join(str(v) for v in sorted(self.left_levels))
+        return f"{self.feature} {op} ({names})"
 
     def goes_left(self, col):
-        """Column condition for the left child (NULL follows the majority side)."""
+        """Column condition for the left child (NULL follows the majority side); needs named levels."""
+        if self.left_levels is None:
+            raise ValueError(f"the split on {self.feature} has {self.n_left_levels} levels on its left; use assign_leaves")
         if self.kind == "num":
             cond = col < F.lit(self.cut) if self.left_lt else col >= F.lit(self.cut)
         else:
@@ -118,6 +132,7 @@ class PoissonTree:
     cp: float
     max_depth: int
     complexity: dict = field(default_factory=dict)
+    sides: DataFrame | None = None  # (node, level, left) of the string splits
 
     # --- structure -------------------------------------------------------
     def is_leaf(self, k: int) -> bool:
@@ -179,11 +194,22 @@ class PoissonTree:
             return F.when(sp.goes_left(col), build(2 * k)).otherwise(build(2 * k + 1))
         return build(1)
 
+    def assign_leaves(self, df: DataFrame, out: str = "leaf") -> DataFrame:
+        """``df`` with the leaf id of each row: one join with the level sides for each depth of the tree
+        that has a string split.  A level that training had not at a node goes right."""
+        names = {k: resolve_col(df, s.feature) for k, s in self.splits.items()}
+        df = df.withColumn(out, F.lit(1).cast("long"))
+        for depth in range(self.max_depth):
+            own = {k: s for k, s in self.splits.items() if _depth(k) == depth}
+            if own:
+                df = _moved(df, own, names, out, self.sides)
+        return df
+
     def snip(self, depth: int = 3) -> "PoissonTree":
         """MOD-18: a copy with splits at or below ``depth`` removed (for display)."""
         keep = {k: s for k, s in self.splits.items() if _depth(k) < depth}
         return PoissonTree(self.x_vars, self.nodes, keep, self.root_rate, self.cp, self.max_depth,
-                           self.complexity)
+                           self.complexity, self.sides)
 
     def to_dict(self) -> dict:
         return {
@@ -270,19 +296,31 @@ def level_split_candidates(stats: DataFrame, min_bucket: int) -> DataFrame:
             .withColumn("cut", (F.col("nv") + F.col("next_nv")) / 2.0))
 
 
-def _left_level_sets(run: DataFrame, winners: DataFrame, key: str) -> DataFrame:
-    """Per winner: the prefix levels (positions <= the winning position) and all levels."""
-    j = run.filter(F.col("sv").isNotNull()).join(F.broadcast(winners), [key, "f"] if key == "node" else ["f"])
-    return j.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos") <= F.col("wpos"), F.col("sv")))).alias("low"),
-        F.array_sort(F.collect_list("sv")).alias("all"))
+def _moved(df: DataFrame, splits: dict, names: dict, node: str, sides: DataFrame | None) -> DataFrame:
+    """``df`` with rows at the nodes of ``splits`` moved on to their children; ``names`` are the splits' columns."""
+    texts = {k: s for k, s in splits.items() if s.kind == "str"}
+    columns, at, left = df.columns, F.col(node), None
+    if texts:
+        level = None
+        for k in texts:
+            level = F.when(at == k, F.col(names[k]).cast("string")) if level is None else level.when(at == k, F.col(names[k]).cast("string"))
+        own = sides.filter(F.col("node").isin(list(texts))).select(F.col("node").alias("__node"), F.col("level").alias("__level"), "left")
+        if own.count() <= MOST_LEVELS:
+            own = F.broadcast(own)
+        df = (df.withColumn("__of", level).join(own.withColumnRenamed("left", "__left"), (at == F.col("__node")) & (F.col("__of") == F.col("__level")), "left"))
+    for k, s in splits.items():
+        col = F.col(names[k])
+        goes = s.goes_left(col) if s.kind == "num" else F.when(col.isNull(), F.lit(s.null_left)).otherwise(F.coalesce("__left", F.lit(False)))
+        to = F.when(goes, F.lit(2 * k)).otherwise(F.lit(2 * k + 1)).cast("long")
+        left = F.when(at == k, to) if left is None else left.when(at == k, to)
+    return df.withColumn(node, left.otherwise(at)).select(*columns)
 
 
 def root_split_table(df: DataFrame, x_vars, offset: str, y: str, min_bucket: int = 7) -> DataFrame:
     """Best root split per predictor as a lazy DataFrame (one row per feature).
 
     ``cut`` for numeric predictors, ``left_levels`` (the lower-rate levels,
-    comma-joined in sorted order) for string predictors.
+    comma-joined in sorted order, or their number beyond ``NAMED``) for string predictors.
     """
     xs = resolve_cols(df, x_vars)
     numeric = {v: isinstance(df.schema[v].dataType, T.NumericType) for v in xs}
@@ -296,8 +334,12 @@ def root_split_table(df: DataFrame, x_vars, offset: str, y: str, min_bucket: int
                                                  "ln", "rn")).alias("w"))
             .select("f", "w.*"))
     # ``best`` has one row per predictor: a bounded broadcast
-    levels = (_left_level_sets(run, best.select("f", F.col("pos").alias("wpos")), "f")
-              .select("f", F.array_join("low", ",").alias("left_levels")))
+    prefix = (run.filter(F.col("sv").isNotNull()).join(F.broadcast(best.select("f", F.col("pos").alias("wpos"))), "f")
+              .filter(F.col("pos") <= F.col("wpos")))
+    named = prefix.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(
+        F.when(F.col("wpos") <= NAMED, F.col("sv")))), ",").alias("left_levels"))
+    levels = named.select("f", F.when(F.col("n") <= NAMED, F.col("left_levels")).otherwise(
+        F.concat(F.col("n").cast("string"), F.lit(" levels"))).alias("left_levels"))
     name = F.element_at(F.array(*[F.lit(v) for v in xs]), F.col("f") + 1)
     return (best.join(levels, "f", "left")
             .select(name.alias("feature"), "cut", "left_levels", "improve",
@@ -340,8 +382,7 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
     alpha_abs = cp * root.deviance
 
     frontier = [1]
-    current = cells
-    level_frames = [cells]
+    current, before, sides = cells, None, None
     for depth in range(max_depth):
         active = [k for k in frontier if nodes[k].n >= min_split and nodes[k].deviance > alpha_abs]
         if not active:
@@ -350,6 +391,9 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
         run = level_split_candidates(stats, min_bucket)
         run = run.persist() if run is not None else None
         winners = best_splits(run)
+        if before is not None:  # the statistics have read ``current``, which is whole by now
+            before.unpersist()
+            before = None
         if not winners:
             stats.unpersist()
             if run is not None:
@@ -390,28 +434,20 @@ def poisson_tree(df: DataFrame, x_vars, offset: str, y: str, max_depth: int = 3,
                 _node_rate_dev(s_, root_rate)
                 nodes[s_.node] = s_
         if str_winners:
-            _fill_left_levels(run, grown, str_winners)
+            own = _level_sides(run, grown, str_winners)
+            sides = own if sides is None else sides.unionByName(own)
         stats.unpersist()
         run.unpersist()
-        # assign children: one generated CASE over the winners of this level
-        expr = F.col("node")
-        case = None
-        for k in sorted(w["node"] for w in winners):
-            sp = grown[int(k)]
-            cond_node = F.col("node") == F.lit(int(k))
-            to = F.when(sp.goes_left(F.col(sp.feature)), F.lit(2 * int(k))).otherwise(F.lit(2 * int(k) + 1))
-            case = F.when(cond_node, to) if case is None else case.when(cond_node, to)
-        nxt = current.withColumn("node", case.otherwise(expr).cast("long")).persist()
-        level_frames.append(nxt)
-        current = nxt
+        level = {int(w["node"]): grown[int(w["node"])] for w in winners}
+        before, current = current, _moved(current, level, {k: sp.feature for k, sp in level.items()}, "node", sides).persist()
         frontier = new_frontier
 
-    for fr in level_frames[1:]:
-        fr.unpersist()
-    cells.unpersist()
+    for frame in (before, current, cells):
+        if frame is not None:
+            frame.unpersist()
 
     splits, complexity = _prune(nodes, grown, alpha_abs, root.deviance)
-    return PoissonTree(xs, nodes, splits, root_rate, cp, max_depth, complexity)
+    return PoissonTree(xs, nodes, splits, root_rate, cp, max_depth, complexity, sides)
 
 
 def _add_missing(cells: DataFrame, pending: dict) -> None:
@@ -436,19 +472,21 @@ def _add_missing(cells: DataFrame, pending: dict) -> None:
         child.s_ylnt += float(r["b"] or 0)
 
 
-def _fill_left_levels(run: DataFrame, grown, str_winners) -> None:
-    """Left-level sets of string splits from the same persisted candidate frame.
-
-    Bounded by the number of levels of the winning features.
-    """
+def _level_sides(run: DataFrame, grown, str_winners) -> DataFrame:
+    """(node, level, left) of the string splits, written once; small left sides are named in ``grown``."""
     spark = run.sparkSession
     # the winner table has at most 2^depth rows: a bounded broadcast
-    win = spark.createDataFrame([(k, f, p) for k, f, _, p in str_winners], "node long, f int, wpos int")
-    for r in _left_level_sets(run, win, "node").collect():
-        k = int(r["node"])
-        sp = grown[k]
-        low = set(r["low"])
-        sp.left_levels = sorted(low) if sp.left_lt else sorted(set(r["all"]) - low)
+    win = spark.createDataFrame([(k, f, p, grown[k].left_lt) for k, f, _, p in str_winners], "node long, f int, wpos int, lower boolean")
+    sides = reliable_checkpoint(run.filter(F.col("sv").isNotNull()).join(F.broadcast(win), ["node", "f"]).select(
+        "node", F.col("sv").alias("level"), ((F.col("pos") <= F.col("wpos")) == F.col("lower")).alias("left")))
+    left = sides.filter("left")
+    sizes = {r["node"]: r["n"] for r in left.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2^depth rows
+    small = [k for k, n in sizes.items() if n <= NAMED]
+    names = left.filter(F.col("node").isin(small)).select("node", "level").collect() if small else []  # at most NAMED each
+    for k, *_ in str_winners:
+        grown[k].n_left_levels = sizes.get(k, 0)
+        grown[k].left_levels = sorted(r["level"] for r in names if r["node"] == k) if grown[k].n_left_levels <= NAMED else None
+    return sides
 
 
 def _prune(nodes: dict, grown: dict, alpha_abs: float, root_dev: float):

@@ -34,7 +34,7 @@ SPLIT_START = "1999-01-01 00:00:00"
 
 
 def experience(spark: SparkSession, sf_dir: str, dirty: bool = False, split: str | None = None,
-               until: str | None = None) -> DataFrame:
+               until: str | None = None, with_order: bool = False) -> DataFrame:
     """One row per lineitem: predictors, ``expected`` (offset), ``actual`` (claims).
 
     The join order is chosen for scale: ``orders`` is joined to ``customer``
@@ -50,7 +50,8 @@ def experience(spark: SparkSession, sf_dir: str, dirty: bool = False, split: str
     ``split='TRAIN'|'TEST'`` keeps one split with a plain range predicate on the
     lineitem scan, which Parquet can push down (the real experience table is
     written partitioned by observation year, where the same filter prunes
-    partitions).  ``until`` keeps the rows shipped before a time, in the same way.
+    partitions).  ``until`` keeps the rows shipped before a time, in the same way;
+    ``with_order`` adds the order key.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
@@ -92,6 +93,8 @@ def experience(spark: SparkSession, sf_dir: str, dirty: bool = False, split: str
     ]
     if dirty:
         cols.append(F.col("l_linenumber"))
+    if with_order:
+        cols.append(F.col("l_orderkey"))
     return j.select(*cols)
 
 

@@ -14,6 +14,7 @@ from expstudy.operators.design import learn_recipe
 from expstudy.plans import fixtures as X
 from expstudy.plans import models as MD
 from expstudy.plans.registry import register, r6
+from expstudy.session import reliable_checkpoint
 
 
 # ---------------------------------------------------------------------------
@@ -208,9 +209,8 @@ def _train_tree(spark, sf_dir):
     return TR.poisson_tree(MD.train_rows(spark, sf_dir), TREE_VARS, "expected", "actual", max_depth=3, cp=0.001)
 
 
-@register("tree_leaves", None)
-def q_tree_leaves(spark, sf_dir):
-    return _train_tree(spark, sf_dir).leaves_df(spark)
+def _ruled(leaves):
+    return leaves.select("leaf", "rule", "n", r6("events"), r6("exposure"), r6("rate"), r6("ae"))
 
 
 @register("tree_nodes", None)
@@ -225,11 +225,6 @@ def _residual_tree(spark, sf_dir):
     return TR.poisson_tree(pred, TREE_VARS, "MODEL_PRED", "actual", max_depth=3, cp=0.001)
 
 
-@register("residual_tree", None)
-def q_residual_tree(spark, sf_dir):
-    return _residual_tree(spark, sf_dir).leaves_df(spark)
-
-
 # ---------------------------------------------------------------------------
 # Spline basis and the lasso fit (MOD-6, MOD-9 .. MOD-14, MOD-19 .. MOD-24)
 # ---------------------------------------------------------------------------
@@ -367,6 +362,15 @@ def q_lineage_branch(spark, sf_dir):
     return LN.branches(log, _final_leaves(log)).select("leaf", "node", F.col("pos").cast("int").alias("pos"))
 
 
+@register("lineage_paths", UP_SQL.replace("WITH RECURSIVE", "WITH RECURSIVE " + _log_views() + ",") +
+          "SELECT leaf, node, CAST(pos AS INTEGER) AS pos FROM up")
+def q_lineage_paths(spark, sf_dir):
+    """LIN-4 from materialised ancestor paths: a branch is one row, exploded."""
+    log = X.lineage_log(spark, sf_dir)
+    paths = reliable_checkpoint(LN.with_paths(log))
+    return LN.path_branches(paths.join(_final_leaves(log), "node", "left_semi")).select("leaf", "node", F.col("pos").cast("int").alias("pos"))
+
+
 @register("lineage_tree", WALK_SQL.replace("WITH RECURSIVE", "WITH RECURSIVE " + _log_views(True) + ",") +
           "SELECT root, CAST(depth AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n_nodes FROM walk GROUP BY 1, 2")
 def q_lineage_tree(spark, sf_dir):
@@ -524,18 +528,20 @@ def q_bounded_query(spark, sf_dir):
 
 def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, cp: float = 0.001,
                      source: str = "experience", offset: str = "expected", route_rows: bool = False,
-                     node_stats: bool = False) -> str:
+                     node_stats: bool = False, feats: list | None = None, rules: str | None = None) -> str:
     """Greedy Poisson-tree growth unrolled level by level in SQL (no pruning step).
 
     Independent of the Spark code path: per level it ranks candidate cuts per
     (node, feature) with window running sums and routes every cell to its child.
     """
-    feats = [("c_mktsegment", False), ("l_returnflag", False), ("quantity", True), ("discount_pct", True)]
+    feats = feats or [("c_mktsegment", False), ("l_returnflag", False), ("quantity", True), ("discount_pct", True)]
+    names = [n for n, _ in feats]
+    plain, of_a = ", ".join(names), ", ".join("a." + n for n in names)
     ctes = {
         "experience": X.EXPERIENCE_SQL,
         "predictions": X.PREDICTIONS_SQL,
-        "cells": f"""SELECT c_mktsegment, l_returnflag, quantity, discount_pct, sum({offset}) AS t, sum(actual) AS y
-                    FROM {source} WHERE dataset = 'TRAIN' GROUP BY 1, 2, 3, 4""",
+        "cells": f"""SELECT {plain}, sum({offset}) AS t, sum(actual) AS y
+                    FROM {source} WHERE dataset = 'TRAIN' GROUP BY {plain}""",
         "a0": "SELECT *, CAST(1 AS BIGINT) AS node FROM cells",
         "root": "SELECT sum(y) / sum(t) AS rate FROM cells",
     }
@@ -591,7 +597,7 @@ def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, c
                           f"WHERE r.pos <= b.pos AND r.sv IS NOT NULL")
         in_prefix = (f"(CASE WHEN {nval} IS NOT NULL THEN {nval} < b.cut "
                      f"ELSE EXISTS (SELECT 1 FROM lv{k} l WHERE l.node = a.node AND l.sv = {val}) END)")
-        ctes[nxt] = (f"SELECT a.c_mktsegment, a.l_returnflag, a.quantity, a.discount_pct, a.t, a.y, "
+        ctes[nxt] = (f"SELECT {of_a}, a.t, a.y, "
                      f"CASE WHEN b.node IS NULL THEN a.node "
                      f"WHEN {in_prefix} = b.lower_first THEN 2 * a.node ELSE 2 * a.node + 1 END AS node "
                      f"FROM {a} a LEFT JOIN best{k} b ON a.node = b.node")
@@ -609,14 +615,40 @@ def _tree_oracle_sql(depth: int = 3, min_split: int = 20, min_bucket: int = 7, c
                          round(Y, 6) AS events, round(T, 6) AS exposure, round(lam, 6) AS rate,
                          round(dev, 4) AS deviance
                   FROM all_nodes"""
+    if rules:
+        name = "CASE b.f " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(feats)) + " END"
+        number = " OR ".join(f"b.f = {i}" for i, (_, num) in enumerate(feats) if num) or "false"
+        ctes["path0"] = "SELECT CAST(1 AS BIGINT) AS node, '' AS rule"
+        for k in range(depth):
+            # both sides of each winner in words, the left one named by its lower rate
+            ctes[f"say{k}"] = f"""SELECT b.node, b.imp, {name} AS split_var, ({number}) AS number, b.lower_first, printf('%.10g', b.cut) AS cut,
+                     (SELECT string_agg(r.sv, ', ' ORDER BY r.sv) FROM run{k} r WHERE r.node = b.node AND r.f = b.f AND (r.pos <= b.pos) = b.lower_first) AS lv
+                     FROM best{k} b"""
+            ctes[f"side{k}"] = " UNION ALL ".join(
+                f"SELECT 2 * node + {right} AS node, node AS up, CASE WHEN number THEN split_var || CASE WHEN lower_first = {not right} THEN ' < ' ELSE ' >= ' END || cut "
+                f"ELSE split_var || ' {'not ' * right}in (' || lv || ')' END AS say FROM say{k}" for right in (0, 1))
+            ctes[f"path{k + 1}"] = (f"SELECT s.node, CASE WHEN p.rule = '' THEN s.say ELSE p.rule || ' & ' || s.say END AS rule "
+                                    f"FROM side{k} s JOIN path{k} p ON s.up = p.node")
+        every = " UNION ALL ".join(f"SELECT * FROM path{k}" for k in range(depth + 1))
+        body = f"""SELECT CAST(l.node AS BIGINT) AS leaf, p.rule, CAST(n AS BIGINT) AS n, round(Y, 6) AS events, round(T, 6) AS exposure,
+                          round(lam, 6) AS rate, round(Y / T, 6) AS ae
+                   FROM leaves l JOIN ({every}) p ON l.node = p.node"""
+        if rules == "nodes":  # those above the last level, as a tree cut there
+            shown = depth - 1
+            levels = [f"SELECT node, {k} AS depth, n, Y, T, lam, dev FROM nd{k} WHERE node >= {2 ** k}" for k in range(depth)]
+            says = " UNION ALL ".join(f"SELECT y.node, y.imp, y.split_var, s.say FROM say{k} y JOIN side{k} s ON s.node = 2 * y.node" for k in range(shown))
+            body = f"""SELECT CAST(a.node AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth, CAST(CASE WHEN a.node > 1 THEN a.node // 2 END AS BIGINT) AS parent,
+                              split_var, say AS split, CAST(n AS BIGINT) AS n, round(Y, 6) AS events, round(T, 6) AS exposure, round(lam, 6) AS rate,
+                              round(dev, 4) AS deviance, say IS NULL AS is_leaf, round(imp, 4) AS improve
+                       FROM ({" UNION ALL ".join(levels)}) a LEFT JOIN ({says}) s ON a.node = s.node"""
     if route_rows:
         # send every row of the source (both splits) down the same winners
-        ctes["r0"] = f"SELECT dataset, c_mktsegment, l_returnflag, quantity, discount_pct, {offset} AS t, actual AS y, " \
+        ctes["r0"] = f"SELECT dataset, {plain}, {offset} AS t, actual AS y, " \
                      f"CAST(1 AS BIGINT) AS node FROM {source}"
         for k in range(depth):
             in_prefix = (f"(CASE WHEN {nval} IS NOT NULL THEN {nval} < b.cut "
                          f"ELSE EXISTS (SELECT 1 FROM lv{k} l WHERE l.node = a.node AND l.sv = {val}) END)")
-            ctes[f"r{k + 1}"] = (f"SELECT a.dataset, a.c_mktsegment, a.l_returnflag, a.quantity, a.discount_pct, a.t, a.y, "
+            ctes[f"r{k + 1}"] = (f"SELECT a.dataset, {of_a}, a.t, a.y, "
                                  f"CASE WHEN b.node IS NULL THEN a.node "
                                  f"WHEN {in_prefix} = b.lower_first THEN 2 * a.node ELSE 2 * a.node + 1 END AS node "
                                  f"FROM r{k} a LEFT JOIN best{k} b ON a.node = b.node")
@@ -704,3 +736,36 @@ def q_tree_node_stats(spark, sf_dir):
     shrunk rate and deviance."""
     nodes = _train_tree(spark, sf_dir).nodes_df(spark)
     return nodes.select("node", "depth", "n", r6("events"), r6("exposure"), r6("rate"), r6("deviance", 4))
+
+
+@register("tree_leaves", _tree_oracle_sql(rules="leaves"))
+def q_tree_leaves(spark, sf_dir):
+    """MOD-17: leaves of the training tree with their rule paths."""
+    return _ruled(_train_tree(spark, sf_dir).leaves_df(spark))
+
+
+@register("residual_tree", _tree_oracle_sql(source="predictions", offset="MODEL_PRED", rules="leaves"))
+def q_residual_tree(spark, sf_dir):
+    """MOD-14, MOD-17: leaves of the tree on scored rows with their rule paths."""
+    return _ruled(_residual_tree(spark, sf_dir).leaves_df(spark))
+
+
+@register("tree_snipped", _tree_oracle_sql(rules="nodes"))
+def q_tree_snipped(spark, sf_dir):
+    """MOD-18: the training tree cut below its second level, splits in words."""
+    nodes = _train_tree(spark, sf_dir).snip(2).nodes_df(spark)
+    return nodes.select("node", "depth", "parent", "split_var", "split", "n", r6("events"), r6("exposure"), r6("rate"), r6("deviance", 4),
+                        "is_leaf", r6("improve", 4))
+
+
+MANY_SQL = f"(SELECT *, 'order ' || CAST(l_orderkey AS VARCHAR) AS order_name FROM ({X.EXPERIENCE_SQL.replace('SELECT CAST(year', 'SELECT l_orderkey, CAST(year', 1)}) e)"
+
+
+@register("tree_many_levels", _tree_oracle_sql(depth=2, source=MANY_SQL, feats=[("order_name", False), ("quantity", True)], route_rows=True))
+def q_tree_many_levels(spark, sf_dir):
+    """MOD-15 on a string predictor with a level for each order: splits by join, applied to all rows, A/E by leaf."""
+    e = X.experience(spark, sf_dir, with_order=True)
+    e = e.withColumn("order_name", F.concat(F.lit("order "), F.col("l_orderkey").cast("string")))
+    tree = TR.poisson_tree(e.filter(F.col("dataset") == "TRAIN"), ["order_name", "quantity"], "expected", "actual", max_depth=2, cp=0.001)
+    a = M.ae(tree.assign_leaves(e), "actual", "expected", by=["dataset", "leaf"])
+    return a.select("dataset", "leaf", r6("actual"), r6("expected"), r6("ae"))

@@ -362,3 +362,33 @@ def test_fit_guards(spark):
     dirty = X.experience(spark, SF001, dirty=True).filter(F.col("dataset") == "TRAIN")
     with pytest.raises(ValueError, match="zero exposure"):
         L.fit_glm(dirty, ["quantity", "l_linenumber"], [Main("quantity")], "expected", "actual", nlambda=5)
+
+
+def test_tree_on_many_levels_joins(spark):
+    """100,000 levels: sides stay a table, no plan holds their names, rows meet them by a join."""
+    n = 100_000
+    rows = spark.range(4 * n).select(
+        F.concat(F.lit("v"), F.col("id") % n).alias("name"), (F.col("id") % 5).cast("int").alias("k"), F.lit(1.0).alias("e"),
+        F.when((F.col("id") % n) % 10 < 3, 1.0).otherwise(0.0).alias("a"))
+    tree = TR.poisson_tree(rows, ["name", "k"], "e", "a", max_depth=2, cp=0.0001)
+    split = tree.splits[1]
+    assert split.feature == "name" and split.left_levels is None and split.n_left_levels == 0.7 * n
+    assert split.describe(True) == "name in (70000 levels)"
+    leaves = tree.assign_leaves(rows)
+    got = {r["leaf"]: (r["n"], r["a"]) for r in leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a")).collect()}
+    assert sum(x for x, _ in got.values()) == 4 * n and sum(a for _, a in got.values()) == 1.2 * n
+    assert all(a in (0.0, x) for x, a in got.values())
+    plan = leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "collect_list" not in plan and " IN (v" not in plan and "INSET" not in plan
+    with pytest.raises(ValueError, match="assign_leaves"):
+        tree.leaf_column(rows)
+    odd = spark.createDataFrame([("never met", 1), (None, 1)], "name string, k int")
+    first = {r["name"]: r["leaf"] for r in tree.snip(1).assign_leaves(odd).collect()}
+    assert first["never met"] == 3 and first[None] == (2 if split.null_left else 3)
+
+
+def test_assigned_leaves_are_the_case(spark):
+    train = MD.train_rows(spark, SF001)
+    tree = TR.poisson_tree(train, MD.X_VARS, "expected", "actual", max_depth=3, cp=0.0001, min_split=10)
+    both = tree.assign_leaves(train).withColumn("by_case", tree.leaf_column(train))
+    assert both.where("leaf <> by_case").count() == 0 and both.count() == train.count()

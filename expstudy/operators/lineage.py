@@ -12,6 +12,11 @@ Spark job:
   doubling over jump tables (J_{k+1} = J_k o J_k), for as many rounds as the
   chosen leaves need; the output is one row per (leaf, ancestor), i.e. the sum
   of the branch lengths.
+* ``with_paths``  - each node with its root and the array of its ancestors, by the
+  same rounds as ``root_depth``.  A log that keeps these columns needs no
+  traversal: a branch is one row (``path_branches`` explodes it, without a join),
+  and what a node sees is a test on one array.  ``StudyLog`` writes them with every
+  step from the parent's row, so ``branches`` is for logs of other origin.
 
 Each round is checkpointed to the reliable checkpoint folder, which cuts the
 growing plan and makes a lost executor cost one round at most.  Both refuse a
@@ -86,6 +91,44 @@ def root_depth(nodes: DataFrame, node: str = "node", parent: str = "parent", max
     return known
 
 
+def with_paths(nodes: DataFrame, node: str = "node", parent: str = "parent", max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``(node, root, depth, path)`` of every node; ``path`` holds its ancestors, root first (at most ``max_depth`` - 1).
+
+    Pointer doubling on arrays: a node on its way joins the state of the ancestor it has reached and
+    puts that ancestor's piece of path before its own.
+    """
+    top = F.col(parent).isNull()
+    none = F.array().cast(nodes.select(F.array(node).alias("a")).schema["a"].dataType)
+    done = reliable_checkpoint(nodes.filter(top).select(F.col(node).alias("node"), F.col(node).alias("anc"), none.alias("path")))
+    pending = reliable_checkpoint(nodes.filter(~top).select(F.col(node).alias("node"), F.col(parent).alias("anc"), F.array(parent).alias("path")))
+    known = done
+    while not pending.isEmpty():
+        state = known.select("node", "anc", "path", F.lit(True).alias("whole")).unionByName(pending.withColumn("whole", F.lit(False)))
+        moved = reliable_checkpoint(
+            pending.alias("a").join(state.alias("b"), F.col("a.anc") == F.col("b.node"), "left")
+            .select(F.col("a.node").alias("node"), F.col("b.anc").alias("anc"), F.concat("b.path", "a.path").alias("path"), "b.whole"))
+        flags = moved.agg(F.max(F.col("whole").isNull().cast("int")).alias("lost"), F.max(F.size("path")).alias("deepest")).first()
+        if flags["lost"]:
+            raise ValueError("a parent pointer names a node that is not in the log")
+        if flags["deepest"] + 1 >= max_depth:
+            raise _too_deep(max_depth)
+        known = known.unionByName(moved.filter("whole").drop("whole"))
+        pending = moved.filter(~F.col("whole")).drop("whole")
+    return known.select("node", F.coalesce(F.get("path", F.lit(0)), F.col("node")).alias("root"), F.size("path").alias("depth"), "path")
+
+
+def path_branches(paths: DataFrame) -> DataFrame:
+    """LIN-4 from materialised paths: ``(leaf, node, pos)`` of each row's ancestors and itself (pos 0), one pass, no join."""
+    chain = F.concat(F.array("node"), F.reverse("path"))
+    return paths.select(F.col("node").alias("leaf"), F.posexplode(chain).alias("pos", "node")).select("leaf", "node", "pos")
+
+
+def seen_from(paths: DataFrame, node) -> DataFrame:
+    """The rows of ``paths`` that ``node`` sees: itself and its ancestors, by its own row's path."""
+    own = paths.filter(F.col("node") == F.lit(node)).select(F.concat("path", F.array("node")).alias("__chain"))
+    return paths.join(F.broadcast(own), F.array_contains("__chain", F.col("node"))).drop("__chain")  # ``own`` is one row
+
+
 def branches(nodes: DataFrame, leaves: DataFrame, node: str = "node", parent: str = "parent",
              max_depth: int = MAX_DEPTH) -> DataFrame:
     """LIN-4: ``(leaf, node, pos)`` for every ancestor of each leaf (pos 0 = the leaf).
@@ -145,6 +188,11 @@ def steps_by_time(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame
     return row_number_within(full, ["root"], ["created", "node"], out="step_ix")
 
 
+def in_creation_order(log: DataFrame, order=("created",)) -> DataFrame:
+    """LIN-7: log rows with their ``position`` (from 1) in creation order, numbered over range pieces."""
+    return row_number_within(log.withColumn("__all", F.lit(1)), ["__all"], list(order), out="position").drop("__all")
+
+
 def classify_steps(branch_steps: DataFrame) -> DataFrame:
     """LIN-9 + WIN-3: phase of each step along its branch.
 
@@ -192,13 +240,16 @@ def finished_studies(final_marks: DataFrame, nodes: DataFrame) -> DataFrame:
 class StudyLog:
     """Append-only step, query and final-mark logs under one folder.
 
-    Nodes never change; a step names its parent; a finalised branch refuses
-    further steps; a chain holds one model fit.
+    Nodes never change; a step names its parent and carries its root and the path of its
+    ancestors, so what a node sees needs its own row and no traversal.  A study with a
+    final mark refuses any further step and any further mark; a chain holds one model fit.
+    What may exist once is claimed by creating a file that must not exist (``claim``).
     """
 
     STEP_SCHEMA = ("node string, parent string, created double, tool_name string, args string, "
-                   "result string, success boolean")
+                   "result string, success boolean, root string, path array<string>")
     QUERY_SCHEMA = "created double, description string, sql string, success boolean"
+    FINAL_SCHEMA = "node string, created double"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -225,20 +276,54 @@ class StudyLog:
         """LIN-7: ad-hoc queries in creation order."""
         return self._read("queries", self.QUERY_SCHEMA).orderBy("created")
 
+    def finals(self) -> DataFrame:
+        return self._read("final", self.FINAL_SCHEMA)
+
+    # --- what may exist once ------------------------------------------------
+    def _claim_file(self, kind: str, key: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{kind}/{key}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def claimed(self, kind: str, key: str) -> bool:
+        path, store = self._claim_file(kind, key)
+        return store.exists(path)
+
+    def claim(self, kind: str, key: str) -> None:
+        """Create the marker of ``key``; whoever comes second is refused.  The file system creates it
+        only if it is not there, in one step where it can (HDFS; local disks nearly so)."""
+        path, store = self._claim_file(kind, key)
+        try:
+            store.create(path, False).close()
+        except Exception as exc:  # the gateway wraps what the file system raises
+            if store.exists(path):
+                raise ValueError(f"{kind} {key} exists already") from exc
+            raise
+
+    # --- nodes ---------------------------------------------------------------
+    def _place(self, node: str) -> tuple[str, list[str]]:
+        """Root of a node and its chain, nearest first with the node itself: one row of one scan."""
+        row = self.steps().filter(F.col("node") == node).select("parent", "root", "path").first()
+        if row is None:
+            raise ValueError(f"no step {node} in the log")
+        if row["root"] is not None:
+            return row["root"], [node, *reversed(row["path"])]
+        nodes = self.steps().select("node", "parent")  # written without paths
+        chain = [r["node"] for r in branches(nodes, nodes.filter(F.col("node") == node)).orderBy("pos").collect()]
+        return chain[-1], chain
+
     def start(self) -> str:
         node = uuid.uuid4().hex
-        self._append("steps", [(node, None, time.time(), None, None, None, True)], self.STEP_SCHEMA)
+        self._append("steps", [(node, None, time.time(), None, None, None, True, node, [])], self.STEP_SCHEMA)
         return node
 
-    def _ancestors(self, node: str) -> DataFrame:
-        nodes = self.steps().select("node", "parent")
-        return branches(nodes, nodes.filter(F.col("node") == node)).select("node")
+    def ancestors(self, node: str) -> list[str]:
+        """The node and its ancestors, nearest first."""
+        return self._place(node)[1]
 
     def check_not_final(self, parent: str) -> None:
-        """Refuse any step under a finalised branch (before a node is created)."""
-        finals = self._read("final", "node string, created double")
-        if self._ancestors(parent).join(finals, "node", "left_semi").limit(1).count():
-            raise ValueError("the branch is final and takes no more steps")
+        """Refuse any step of a study with a final mark (before a node is created)."""
+        if self.claimed("final", self._place(parent)[0]):
+            raise ValueError("the study is final and takes no more steps")
 
     def check_one_model(self, parent: str, tool_name: str) -> None:
         """Refuse a second model fit on a chain."""
@@ -246,43 +331,43 @@ class StudyLog:
             raise ValueError("this branch has its model; go back to a step before that fit")
 
     def has_model(self, node: str) -> bool:
-        """Whether a model fit succeeded on the node's chain."""
-        fits = self.steps().filter((F.col("tool_name") == TOOL_GLM) & F.col("success"))
-        return not fits.join(self._ancestors(node), "node", "left_semi").isEmpty()
+        """Whether a model fit succeeded on the node's chain (at most the depth cap of names)."""
+        chain = self.ancestors(node)
+        return not self.steps().filter((F.col("tool_name") == TOOL_GLM) & F.col("success") & F.col("node").isin(chain)).isEmpty()
 
     def check_can_step(self, parent: str, tool_name: str) -> None:
-        """Refuse steps under a finalised branch and a second model fit on a chain."""
+        """Refuse steps of a final study and a second model fit on a chain."""
         self.check_not_final(parent)
         self.check_one_model(parent, tool_name)
 
-    def ancestors(self, node: str) -> list[str]:
-        """The node and its ancestors, nearest first."""
-        nodes = self.steps().select("node", "parent")
-        rows = branches(nodes, nodes.filter(F.col("node") == node)).orderBy("pos").collect()
-        return [r["node"] for r in rows]
-
     def record(self, node: str, parent: str, tool_name: str, args: list, result: dict | None = None,
                success: bool = True) -> str:
         """Append the log entry of an already-named step."""
+        root, chain = self._place(parent)
+        if len(chain) + 1 >= MAX_DEPTH:
+            raise _too_deep(MAX_DEPTH)
         self._append("steps", [(node, parent, time.time(), tool_name, json.dumps(args),
-                                json.dumps(result or {}, default=str), success)], self.STEP_SCHEMA)
+                                json.dumps(result or {}, default=str), success, root, chain[::-1])], self.STEP_SCHEMA)
         return node
 
     def step(self, parent: str, tool_name: str, args: list, result: dict | None = None,
              success: bool = True) -> str:
         """LIN-1 + SNK-8: a new child node with its log entry (also on failure)."""
         self.check_can_step(parent, tool_name)
-        node = uuid.uuid4().hex
-        self._append("steps", [(node, parent, time.time(), tool_name, json.dumps(args),
-                                json.dumps(result or {}), success)], self.STEP_SCHEMA)
-        return node
+        return self.record(uuid.uuid4().hex, parent, tool_name, args, result, success)
 
     def log_query(self, description: str, sql: str, success: bool) -> None:
         """SNK-7: one row per ad-hoc query, also on failure."""
         self._append("queries", [(time.time(), description, sql, success)], self.QUERY_SCHEMA)
 
-    def finalize(self, node: str) -> None:
-        """LIN-11: mark the chosen branch; it needs a fitted model on it."""
+    def check_can_finalize(self, node: str) -> str:
+        """LIN-11 guards: no mark in the study yet, a fitted model on the branch; returns the root."""
+        self.check_not_final(node)
         if not self.has_model(node):
             raise ValueError("finalize needs a fitted model on the branch")
-        self._append("final", [(node, time.time())], "node string, created double")
+        return self._place(node)[0]
+
+    def finalize(self, node: str) -> None:
+        """LIN-11: mark the chosen branch; of two that try, one is refused."""
+        self.claim("final", self.check_can_finalize(node))
+        self._append("final", [(node, time.time())], self.FINAL_SCHEMA)

@@ -152,6 +152,7 @@ class Study:
             kw = {} if nlambda is None else {"nlambda": nlambda}
             fit = fit_glm(self.resolve(parent, dataset), x_vars, terms, offset, y, factor_defaults=factor_defaults,
                           clip=clip, lambda_strat=lambda_strat, **kw)
+            self.log.claim("model", node)  # before the model: of two writers of one node, one goes on
             save_model(fit.model, self._model_path(node), spark=self.spark)
             holder["fit"] = fit
             return {"ae_train": fit.ae_train, "lambda_ix": fit.path.chosen + 1}
@@ -172,8 +173,14 @@ class Study:
         return node
 
     def finalize(self, node: str) -> str:
-        """LIN-11 + SNK-5: mark the branch final and write its factor tables."""
+        """LIN-11 + SNK-5: write the factor tables of the branch's model, then mark the branch final.
+
+        The mark comes last: if the tables cannot be written the branch stays open, and the next
+        attempt writes to a folder of its own.
+        """
+        self.log.check_can_finalize(node)
         model = self.model_of(node)
+        out = IO.write_factor_tables(FT.sheets(model, self.spark), f"{self._node_dir(node)}/factors-{uuid.uuid4().hex}",
+                                     FT.overview(model, self.spark, self._model_path(node)))
         self.log.finalize(node)
-        return IO.write_factor_tables(FT.sheets(model, self.spark), f"{self._node_dir(node)}/factors",
-                                      FT.overview(model, self.spark, self._model_path(node)))
+        return out

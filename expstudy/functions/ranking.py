@@ -91,3 +91,21 @@ def running_sums_within(df: DataFrame, by: Sequence[str], order: Sequence[str],
     if next_of:
         out.append(F.coalesce(F.col("__next"), F.col("__next_piece")).alias(f"next_{next_of}"))
     return _join_pieces(local, offsets, by).select(*out)
+
+
+def running_products_within(df: DataFrame, by: Sequence[str], order: Sequence[str], factor: str, out: str,
+                            num_partitions: int | None = None) -> DataFrame:
+    """Running product ``out`` of ``factor`` within each group of ``by`` in ``order`` (unique within a group).
+
+    The product is associative, so the same scheme as for sums holds: each range piece multiplies its
+    own rows and takes the product of the group's earlier pieces as its start.  Zeros, infinities
+    and negative factors go through as in one long product.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = _pieces(df, list(by) + list(order), n)
+    w = Window.partitionBy("__piece", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumn("__own", F.product(F.col(factor)).over(w))
+    whole = tagged.groupBy("__piece", *by).agg(F.product(F.col(factor)).alias("__whole"))
+    before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.withColumn("__start", F.coalesce(F.product(F.col("__whole")).over(before), F.lit(1.0))).drop("__whole")
+    return _join_pieces(local, starts, by).select(*df.columns, (F.col("__start") * F.col("__own")).alias(out))

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from expstudy.functions.expr import poisson_logpmf, safe_div
+from expstudy.functions.ranking import row_number_within, running_products_within
 from expstudy.schema import resolve_col, resolve_cols
 
 
@@ -113,14 +114,13 @@ def discount_factors(cf: DataFrame, by: Sequence[str] = ("portfolio_id",), t: st
                      rate: str = "rate", out: str = "v") -> DataFrame:
     """WIN-2: ``v_t = prod_{s<=t} 1/(1+i_s)`` as a running product per portfolio.
 
-    ``F.product`` over a running frame, not ``exp(sum(ln))`` (that fails for
-    rates <= -1).  The window partition is one portfolio's periods: cash-flow
-    rows are pre-aggregated to one row per period, so a partition is bounded by
-    the number of periods, not by raw row counts.
+    A product scan over range pieces (``ranking.running_products_within``), so one portfolio may
+    hold any share of the periods; no ``exp(sum(ln))``, which fails for rates <= -1.  A rate
+    of -1 gives an infinite factor.  ``t`` is unique within a portfolio.
     """
-    w = (Window.partitionBy(*resolve_cols(cf, by)).orderBy(resolve_col(cf, t))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return cf.withColumn(out, F.product(1.0 / (1.0 + F.col(resolve_col(cf, rate)))).over(w))
+    growth = 1.0 + F.col(resolve_col(cf, rate))
+    factor = F.when(growth == 0, F.lit(float("inf"))).otherwise(F.lit(1.0) / F.when(growth != 0, growth))
+    return running_products_within(cf.withColumn("__factor", factor), resolve_cols(cf, by), [resolve_col(cf, t)], "__factor", out).drop("__factor")
 
 
 def present_value(cf: DataFrame, by: Sequence[str] = ("portfolio_id",), t: str = "t",
@@ -163,9 +163,23 @@ def first_per(df: DataFrame, key: Sequence[str] | str, order: Sequence[str] | st
 
 
 def run_index(scores: DataFrame, order: str, out: str = "run_ix") -> DataFrame:
-    """WIN-5: 1..n position of each run.
+    """WIN-5: 1..n position of each run in ``order`` (unique), numbered over range pieces."""
+    whole = scores.withColumn("__all", F.lit(1))
+    return row_number_within(whole, ["__all"], [resolve_col(scores, order)], out=out).drop("__all")
 
-    Applied to per-run score tables (one row per run or file), so the single
-    ordered window spans the number of runs, never raw rows.
+
+def tail_log_sd(path: DataFrame, value: str, index: str, start) -> DataFrame:
+    """AGG-12: one row with ``sd``, the sample sd of ``ln(value)``, and ``top``, the largest value, over the
+    positive values at indices from ``start`` on."""
+    v = F.when((F.col(index) >= start) & (F.col(value) > 0), F.col(value))
+    return path.agg(F.stddev_samp(F.log(v)).alias("sd"), F.max(v).alias("top"))
+
+
+def first_seen(df: DataFrame, col: str, order: Sequence[str]) -> DataFrame:
+    """SET-4: one row with ``values``, the distinct values of a column in first-seen order.
+
+    Each value's first place is an aggregate with map-side partials; only distinct values are sorted.
     """
-    return scores.withColumn(out, F.row_number().over(Window.orderBy(resolve_col(scores, order))))
+    firsts = df.groupBy(F.col(col).alias("value")).agg(F.min(F.struct(*order)).alias("first"))
+    places = F.array_sort(F.collect_list(F.struct("first", "value")))
+    return firsts.agg(F.array_distinct(F.transform(places, lambda x: x["value"])).alias("values"))

@@ -9,5 +9,6 @@ def all_queries():
     from expstudy.plans import registry_models  # noqa: F401
     from expstudy.plans import registry_io  # noqa: F401
     from expstudy.plans import registry_wide  # noqa: F401
+    from expstudy.plans import registry_checks  # noqa: F401
 
     return dict(registry.REGISTRY)

@@ -169,40 +169,51 @@ def write_run_scores(scores: DataFrame, path: str) -> str:
     return export_csv(scores, path)
 
 
-def prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test")) -> dict[str, list[str]]:
-    """SRC-8, the scan: Parquet files below ``root`` by name, for names that hold every marker.
-
-    A ``part-*`` file counts under the name of its dataset folder.  A name found in several
-    places stands for the first of them in path order.  Only paths are read (one per file).
-    """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.parquet").load(root).select("path"))
+def _named_places(files: DataFrame) -> DataFrame:
+    """``files`` (with a ``path``) with ``name``, the dataset folder of a ``part-*`` file or else the file's
+    own name, and ``place``, the path of what the name stands for."""
     parts = F.split("path", "/")
     in_folder = F.element_at(parts, -1).startswith("part-")
-    files = files.select("path", F.when(in_folder, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1)).alias("name"),
-                         F.when(in_folder, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("place"))
+    return files.select("*", F.when(in_folder, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1)).alias("name"),
+                        F.when(in_folder, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("place"))
+
+
+def _below(reader, root: str):
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet"), root
+
+
+def prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test")) -> DataFrame:
+    """SRC-8, the listing: ``(name, place, path)`` of the Parquet files below ``root`` whose name holds every marker.
+
+    A name found in several places stands for the first of them in path order.  Only paths are
+    read (one row per file); nothing is collected.
+    """
+    reader, at = _below(spark.read.format("binaryFile"), root)
+    files = _named_places(reader.load(at).select(F.col("_metadata.file_path").alias("path")))
     for m in must_contain:
         files = files.filter(F.col("name").contains(m))
     first = files.groupBy("name").agg(F.min("place").alias("place"))
-    out: dict[str, list[str]] = {}
-    for r in files.join(first, ["name", "place"]).orderBy("name", "path").collect():
-        out.setdefault(r["name"], []).append(r["path"])
-    return out
+    return files.join(first, ["name", "place"]).select("name", "place", "path")
 
 
-def read_prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test")) -> DataFrame | None:
-    """SRC-8: the matching prediction files, one place per name, with ``filename`` (file or
+def read_prediction_files(spark: SparkSession, root: str, must_contain=("preds", "test"), schema=None) -> DataFrame | None:
+    """SRC-8: the rows of the matching prediction files, one place per name, with ``filename`` (file or
     dataset folder) and ``path``; None when no file matches.
 
-    Names are selected before any schema is read, so files of other kinds below ``root``
-    do not matter.
+    One scan of everything below ``root`` whatever the number of names: each row carries its file's
+    path, files of other names are dropped by a filter on it, and the places are chosen by a join.
+    The columns are those of ``schema``, or of the first matching file; a file without one of them gives NULL.
     """
-    chosen = prediction_files(spark, root, must_contain)
-    frames = [spark.read.parquet(*paths).select("*", F.lit(name).alias("filename"), F.col("_metadata.file_path").alias("path"))
-              for name, paths in chosen.items()]
-    if not frames:
-        return None
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    if schema is None:
+        first = prediction_files(spark, root, must_contain).orderBy("name", "path").select("path").first()
+        if first is None:
+            return None
+        schema = spark.read.parquet(first["path"]).schema
+    reader, at = _below(spark.read.schema(schema), root)
+    columns = [F.col(c) for c in (schema.names if hasattr(schema, "names") else spark.createDataFrame([], schema).columns)]
+    rows = reader.parquet(at).select(F.struct(*columns).alias("__row"), F.col("_metadata.file_path").alias("path"))
+    rows = _named_places(rows)
+    for m in must_contain:
+        rows = rows.filter(F.col("name").contains(m))
+    chosen = prediction_files(spark, root, must_contain).select("name", "place").distinct()
+    return rows.join(chosen, ["name", "place"]).select("__row.*", F.col("name").alias("filename"), "path")

@@ -108,7 +108,7 @@ def test_prediction_files(tmp_path, spark):
     for node in ("r1", "r2"):  # the same file below two nodes counts once
         for name in ("model_data_test_preds", "model_data_train_preds", "other_test"):
             pred.filter(F.col("file") == name).write.parquet(str(runs / node / f"{name}.parquet"))
-    assert list(IO.prediction_files(spark, str(runs))) == ["model_data_test_preds.parquet"]
+    assert {r["name"] for r in IO.prediction_files(spark, str(runs)).collect()} == {"model_data_test_preds.parquet"}
     df = IO.read_prediction_files(spark, str(runs))
     assert {("/r1/" in r["path"]) for r in df.select("path").distinct().collect()} == {True}
     ll = M.poisson_loglik(df, "actual", "MODEL_PRED", by=["filename"]).first()
@@ -480,3 +480,154 @@ def test_safe_names_unique_after_collisions(spark):
     assert names(["A", "A", "A_1"]) == ["A", "A_1", "A_1_1"]
     assert names(["A_1", "A", "A"]) == ["A_1", "A", "A_2"]
     assert names(["a/b", "a:b", " ", "x" * 40, "x" * 40]) == ["a_b", "a_b_1", "Sheet", "x" * 31, "x" * 29 + "_1"]
+
+
+# ---------------------------------------------------------------- ancestor paths and marks
+
+def test_paths_equal_branches(spark):
+    """A forest with long chains, and with branching: root, depth and path of every node."""
+    rows = [(0, None)] + [(i, i - 1) for i in range(1, 120)] + [(1000, None)] + [(1000 + i, 1000 + (i - 1) // 3) for i in range(1, 60)]
+    nodes = spark.createDataFrame(rows, "node long, parent long")
+    up = dict(rows)
+
+    def chain(n):
+        return [] if up[n] is None else [*chain(up[n]), up[n]]
+
+    got = {r["node"]: (r["root"], r["depth"], r["path"]) for r in LN.with_paths(nodes).collect()}
+    assert got == {n: ((chain(n) or [n])[0], len(chain(n)), chain(n)) for n in up}
+    with pytest.raises(ValueError, match="1000 or more|100 or more"):
+        LN.with_paths(nodes, max_depth=100)
+    with pytest.raises(ValueError, match="not in the log"):
+        LN.with_paths(spark.createDataFrame([(1, 7)], "node long, parent long"))
+    assert LN.with_paths(nodes.where("false")).count() == 0
+
+
+def test_branch_from_paths_is_one_scan(tmp_path, spark):
+    log = LN.StudyLog(spark, str(tmp_path / "log"))
+    root = log.start()
+    chain = [root]
+    for i in range(4):
+        chain.append(log.step(chain[-1], X.TOOL_TREE, [i]))
+    side = log.step(chain[1], X.TOOL_CREATE_DATASET, ["d"])
+    leaf = chain[-1]
+    got = LN.path_branches(log.steps().where(F.col("node") == leaf))
+    assert [r["node"] for r in got.orderBy("pos").collect()] == chain[::-1] == log.ancestors(leaf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+    assert {r["node"] for r in LN.seen_from(log.steps(), side).collect()} == {root, chain[1], side}
+    own = {r["node"]: (r["root"], r["path"]) for r in log.steps().collect()}
+    same = {r["node"]: (r["root"], r["path"]) for r in LN.with_paths(log.steps()).collect()}
+    assert own == same
+
+
+def test_final_study_takes_nothing(tmp_path, spark):
+    log = LN.StudyLog(spark, str(tmp_path / "log"))
+    root = log.start()
+    fit = log.step(root, X.TOOL_GLM, ["train"])
+    other = log.step(root, X.TOOL_TREE, ["train"])
+    log.finalize(fit)
+    for again in (lambda: log.finalize(fit), lambda: log.step(other, X.TOOL_TREE, ["x"]), lambda: log.step(fit, X.TOOL_TREE, ["x"])):
+        with pytest.raises(ValueError, match="final"):
+            again()
+    assert log.finals().count() == 1
+    second = log.start()  # another study of the log stays open
+    log.finalize(log.step(second, X.TOOL_GLM, ["train"]))
+    assert log.finals().count() == 2
+
+
+def test_two_writers_one_mark(tmp_path, spark, monkeypatch):
+    """Both pass the guards before either has marked; one is refused by the marker itself."""
+    log = LN.StudyLog(spark, str(tmp_path / "log"))
+    root = log.start()
+    fit = log.step(root, X.TOOL_GLM, ["train"])
+    late = LN.StudyLog(spark, str(tmp_path / "log"))
+    monkeypatch.setattr(late, "check_can_finalize", lambda node: root)
+    log.finalize(fit)
+    with pytest.raises(ValueError, match="exists already"):
+        late.finalize(fit)
+    assert log.finals().count() == 1
+    log.claim("model", "n1")
+    with pytest.raises(ValueError, match="exists already"):
+        late.claim("model", "n1")
+    late.claim("model", "n2")
+
+
+def test_failed_factor_write_leaves_the_branch_open(tmp_path, spark, monkeypatch):
+    from expstudy.operators.design import Main
+    from expstudy.study import Study
+    from expstudy.sources import io as IO
+
+    X.experience(spark, SF001).createOrReplaceTempView("experience_w")
+    st = Study(spark, str(tmp_path / "study"))
+    n1, _ = st.create_dataset(st.start(), "train", "SELECT * FROM experience_w WHERE dataset = 'TRAIN'")
+    n2, _ = st.glm(n1, "train", ["quantity", "discount_pct"], [Main("quantity"), Main("discount_pct")], "expected", "actual", nlambda=5)
+    write = IO.write_factor_tables
+
+    def broken(tables, path, overview=None):
+        write(tables, path, overview)
+        raise OSError("the store is full")
+
+    monkeypatch.setattr(IO, "write_factor_tables", broken)
+    with pytest.raises(OSError):
+        st.finalize(n2)
+    assert st.log.finals().count() == 0
+    monkeypatch.setattr(IO, "write_factor_tables", write)
+    out = st.finalize(n2)
+    assert spark.read.parquet(f"{out}/overview").count() == 3 and st.log.finals().count() == 1
+    with pytest.raises(ValueError, match="final"):
+        st.finalize(n2)
+
+
+# ---------------------------------------------------------------- scans and scans of products
+
+def test_many_prediction_files_are_one_scan(tmp_path, spark):
+    """2,000 names, some in two places, among files of other kinds: one scan node, one place per name."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    os.makedirs(tmp_path / "b")
+    os.makedirs(tmp_path / "a")
+    for i in range(2000):
+        table = pa.table({"actual": [float(i), 1.0], "MODEL_PRED": [0.5, float(i + 1)]})
+        pq.write_table(table, tmp_path / "b" / f"run_{i:04}_test_preds.parquet")
+        if i % 500 == 0:
+            pq.write_table(table.slice(0, 1), tmp_path / "a" / f"run_{i:04}_test_preds.parquet")
+    pq.write_table(pa.table({"actual": ["text"], "n_nationkey": [1]}), tmp_path / "b" / "nation.parquet")
+    df = IO.read_prediction_files(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+    got = {r["filename"]: (r["n"], r["s"]) for r in df.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("s")).collect()}
+    assert len(got) == 2000
+    assert all(got[f"run_{i:04}_test_preds.parquet"] == ((1, float(i)) if i % 500 == 0 else (2, i + 1.0)) for i in range(2000))
+
+
+def test_product_scan_equals_window(spark):
+    """One portfolio holds a third of the periods; rates of -1 and below, and an infinite one, are among them."""
+    from pyspark.sql import Window
+
+    n = 30_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("portfolio_id"), F.col("id").alias("t"), F.lit(1.0).alias("amt"),
+        F.when(F.col("id") == 25_002, -1.0).when(F.col("id") % 997 == 0, -1.5).when(F.col("id") == 20_001, float("inf"))
+        .otherwise((F.col("id") % 7 - 3) / 1000.0).alias("rate"))
+    got = M.discount_factors(rows)
+    growth = 1.0 + F.col("rate")
+    w = Window.partitionBy("portfolio_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = got.join(rows.withColumn("want", F.product(F.when(growth == 0, float("inf")).otherwise(F.try_divide(F.lit(1.0), growth))).over(w))
+                    .select("t", "want"), "t")
+    bad = both.where(~(F.col("v").eqNullSafe(F.col("want")) | (F.abs(F.col("v") - F.col("want")) <= 1e-9 * F.abs("want"))))
+    assert both.count() == n and bad.count() == 0
+    assert both.where("v < 0").count() > 0 and both.where("v = 0").count() > 0 and both.where("isnan(v)").count() > 0
+
+
+def test_run_index_has_no_single_partition(spark):
+    runs = spark.range(5000).select(F.format_string("run %05d", (F.col("id") * 7919) % 5000).alias("file"))
+    got = M.run_index(runs, "file")
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert all(r["file"] == f"run {r['run_ix'] - 1:05d}" for r in got.collect())
+
+
+def test_first_seen_order(spark):
+    rows = spark.createDataFrame([(3, "a"), (1, "c"), (2, None), (4, "c"), (5, "b"), (1, "c")], "i int, v string")
+    assert M.first_seen(rows, "v", ["i"]).first()["values"] == ["c", None, "a", "b"]
+    assert M.first_seen(rows.where("false"), "v", ["i"]).first()["values"] == []

@@ -10,10 +10,9 @@ dropped.
 
 Spark plan: the grid is a one-row frame expanded by one ``explode`` per
 variable (a generator, not a join; its size is fixed by the model spec, not by
-data).  Basis columns are unpivoted to ``(obs_id, term_name, basis_value)``,
-left-joined to the coefficient table (JN-1, a broadcast of at most p rows,
-missing estimate -> 0), summed per grid row (AGG-14) and left-joined back to
-the grid (JN-2, missing contribution -> 0).
+data).  The coefficients are literals of one expression over the basis columns, which
+stands for the two left joins of an unpivoted table (JN-1: a missing estimate is 0;
+JN-2: a missing contribution is 0) and the sum per grid row (AGG-14).
 """
 
 from __future__ import annotations

@@ -205,8 +205,20 @@ def q_tree_root_split(spark, sf_dir):
         .select("feature", "cut", "left_levels", r6("improve", 4), "n_left", "n_right")
 
 
+_TREES: dict = {}
+
+
+def _grown(spark, sf_dir, kind, grow):
+    """A tree grown once per session and data folder for the queries that read it, as in a study session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _TREES:
+        _TREES[key] = grow()
+    return _TREES[key]
+
+
 def _train_tree(spark, sf_dir):
-    return TR.poisson_tree(MD.train_rows(spark, sf_dir), TREE_VARS, "expected", "actual", max_depth=3, cp=0.001)
+    return _grown(spark, sf_dir, "train", lambda: TR.poisson_tree(
+        MD.train_rows(spark, sf_dir), TREE_VARS, "expected", "actual", max_depth=3, cp=0.001))
 
 
 def _ruled(leaves):
@@ -221,8 +233,8 @@ def q_tree_nodes(spark, sf_dir):
 
 
 def _residual_tree(spark, sf_dir):
-    pred = X.predictions(spark, sf_dir, split="TRAIN")
-    return TR.poisson_tree(pred, TREE_VARS, "MODEL_PRED", "actual", max_depth=3, cp=0.001)
+    return _grown(spark, sf_dir, "residual", lambda: TR.poisson_tree(
+        X.predictions(spark, sf_dir, split="TRAIN"), TREE_VARS, "MODEL_PRED", "actual", max_depth=3, cp=0.001))
 
 
 # ---------------------------------------------------------------------------

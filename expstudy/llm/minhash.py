@@ -16,9 +16,11 @@ Equal texts are one node from the start.  Buckets never emit all pairs.  First e
 compared with the bucket's hub, the member with most company in all its buckets (of near copies
 of one text it is the text itself, or the copy nearest to it), and components are formed.
 Members that then are in another component than their hub are strays.  For strays an exact
-prefix filter takes over: among the members of the strays' buckets, two sets with similarity of
-at least 0.8 share a shingle among the fifth of each that is rarest there, so strays are
-compared with the members of other components that share such a shingle.  So every two members
+prefix filter takes over: among the members of the strays' buckets, of two sets with similarity of
+at least 0.8 the larger has among the fifth of its shingles that are rarest there one that is among
+the rarest ninth of the smaller, so strays are compared with the members of other components that
+they meet in this way.  Pages of one template that are not similar have more than a ninth of their
+shingles for themselves, so what the template repeats is never looked up.  So every two members
 of a bucket either end in one component, have been compared, or cannot be similar; no bucket is
 cut.  Components come from alternating large-star and small-star steps.  Degrees, hubs, counts
 and least labels are aggregates with map-side partials, and the joins are shuffle joins that AQE
@@ -219,13 +221,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["node", "size", "label", "stray", "shingle"])
 
 
-def stray_links(met: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one hub's buckets that are in different components.
+def prefixes(sets: DataFrame) -> DataFrame:
+    """The rarest shingles of each set with their places: those that a set is looked up by among sets
+    that are no larger, and of them (``index``) those that larger sets find it by."""
+    rare = sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    text = Window.partitionBy("node")  # the shingles of one text; those of no other set come first
+    place = F.col("size") - F.count("*").over(text) + F.row_number().over(text.orderBy("n", "shingle"))
+    last = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    return (sets.join(rare, "shingle").withColumn("place", place).where(F.col("place") <= last(SIMILAR))
+            .select("node", "size", "label", "stray", "shingle", "place", (F.col("place") <= last(2 * SIMILAR / (1 + SIMILAR))).alias("index")))
+
+
+def met_by_prefix(front: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components, one of them stray, that can be similar.
 
-    Prefix and positional filter: with the shingles of every set in one order, rarest first, the
-    first shingle that two sets share is at places i and j with at most 1 + min(n - i, m - j)
-    shared in all; similarity s asks for s / (1 + s) * (n + m) shared.
+    With the shingles of every set in one order, rarest first, the first shingle that two sets
+    share is at places i and j with at most 1 + min(n - i, m - j) shared in all; similarity s asks
+    for s / (1 + s) * (n + m) shared.
     """
+    x, y = F.col("x.size"), F.col("y.size")
+    asked = SIMILAR / (1 + SIMILAR) * (x + y) - 1e-9
+    most = 1 + F.least(x - F.col("x.place"), y - F.col("y.place"))
+    on = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & (y <= x) & (y >= SIMILAR * x - 1e-9)
+          & (most >= asked))
+    found, index = front.where("stray"), front.where("index")
+    pairs = found.alias("x").join(index.alias("y"), on).select("x.node", F.col("y.node").alias("other")).unionAll(
+        front.where("NOT stray").alias("x").join(index.where("stray").alias("y"), on).select("x.node", F.col("y.node").alias("other")))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def stray_links(met: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one hub's buckets that are in different components."""
     home = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     at = (met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
           .join(home, "hub", "left").withColumn("stray", F.col("label") != F.coalesce("hub_label", "hub")))
@@ -236,17 +262,7 @@ def stray_links(met: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame
     texts = rows.select(F.col("row").alias("node"), F.col("doc")["text"].alias("text")).join(few, "node")
     sets = written(texts.select("node", "size", "label", "stray", "text").mapInArrow(
         _sets, "node long, size long, label long, stray boolean, shingle long"), "sets")
-    rare = sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    text = Window.partitionBy("node")  # the shingles of one text; those of no other set come first
-    place = F.col("size") - F.count("*").over(text) + F.row_number().over(text.orderBy("n", "shingle"))
-    front = sets.join(rare, "shingle").withColumn("place", place).where(
-        F.col("place") <= F.col("size") - F.ceil(F.col("size") * SIMILAR - 1e-9) + 1)
-    front = written(front.select("node", "size", "label", "stray", "shingle", "place"), "front")
-    x, y = front.where("stray").alias("x"), front.alias("y")
-    asked = SIMILAR / (1 + SIMILAR) * (F.col("x.size") + F.col("y.size")) - 1e-9
-    most = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & (most >= asked))
-    return linked(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), rows)
+    return linked(met_by_prefix(written(prefixes(sets), "front")), rows)
 
 
 def _classed(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Most words and word parts whose ids a worker remembers between batches.
-REMEMBERED, PARTS = 700_000, 700_000
+REMEMBERED, PARTS = 500_000, 500_000
 #: Words whose ids are asked for in one text.
 TOGETHER = 256
 #: ASCII marks that can follow a word's letters, without those of contractions and special tokens.

@@ -60,7 +60,8 @@ SMALL_LAMBDAS, SMALL_RATIO, SMALL_SWEEPS = 3, 0.01, 60
 
 def _small_sql(body: str) -> str:
     """Proximal Newton steps, one coordinate each, as a recursive query over the cells: ``fit`` has a
-    row for each step, ``done`` the last of each penalty, with coefficients b0 .. b3 of the standardised columns."""
+    row for each step, ``done`` the last of each penalty, with coefficients b0 .. b3 of the standardised columns.
+    The largest penalty, which has all slopes zero, is guarded from rounding."""
     k = len(SMALL_VARS)
     z = ", ".join(f"({v} - avg({v}) OVER ()) / stddev_pop({v}) OVER () AS x{i + 1}" for i, v in enumerate(SMALL_VARS))
     scale = ", ".join(f"avg({v}) AS m{i + 1}, stddev_pop({v}) AS s{i + 1}" for i, v in enumerate(SMALL_VARS))
@@ -87,7 +88,7 @@ fit AS (
         FROM (SELECT step, j, l, {', '.join(b)}, sum(own * (y - mu)) / any_value(n) + any_value({at}) * sum(mu * own * own) / any_value(n) AS w,
                      sum(mu * own * own) / any_value(n) AS h
               FROM (SELECT *, {own} AS own, t * exp({eta}) AS mu
-                    FROM (SELECT fit.*, step % {k + 1} AS j, lm * power({SMALL_RATIO}, (step // {steps}) / {SMALL_LAMBDAS - 1}.0) AS l, n
+                    FROM (SELECT fit.*, step % {k + 1} AS j, lm * power({SMALL_RATIO}, (step // {steps}) / {SMALL_LAMBDAS - 1}.0) * CASE WHEN step < {steps} THEN 1 + 1e-9 ELSE 1 END AS l, n
                           FROM fit, top, tot WHERE step < {steps * SMALL_LAMBDAS}) f, z) g
               GROUP BY step, j, l, {', '.join(b)}) s) u),
 done AS (SELECT step // {steps} AS lambda_ix, {', '.join(b)} FROM fit WHERE step > 0 AND step % {steps} = 0)

@@ -108,7 +108,7 @@ def _small_path_sql() -> str:
     eta = "b0 + " + " + ".join(f"b{i} * x{i}" for i in range(1, k + 1))
     df = " + ".join(f"CAST(any_value(b{i}) <> 0 AS INTEGER)" for i in range(1, k + 1))
     return _small_sql(f"""SELECT CAST(lambda_ix AS INTEGER) AS lambda_ix, round(any_value(lm) * power({SMALL_RATIO}, (lambda_ix - 1) / {SMALL_LAMBDAS - 1}.0), 6) AS lambda,
-       round(1 - 2 * sum(CASE WHEN y > 0 THEN y * ln(y / (t * exp({eta}))) ELSE 0 END - y + t * exp({eta})) / any_value(nulldev), 4) AS dev_ratio, {df} AS df
+       round(1 - 2 * sum(CASE WHEN y > 0 THEN y * ln(y / (t * exp({eta}))) ELSE 0 END - y + t * exp({eta})) / any_value(nulldev), 4) + 0.0 AS dev_ratio, {df} AS df
 FROM done, z, top, tot GROUP BY lambda_ix""")
 
 
@@ -127,4 +127,4 @@ def q_lasso_small_coefficients(spark, sf_dir):
 @register("lasso_small_path", _small_path_sql())
 def q_lasso_small_path(spark, sf_dir):
     """MOD-9, MOD-24: penalties, deviance ratios and numbers of coefficients of the same path."""
-    return _small_path(spark, sf_dir).path_df(spark).select("lambda_ix", r6("lambda"), r6("dev_ratio", 4), "df")
+    return _small_path(spark, sf_dir).path_df(spark).select("lambda_ix", r6("lambda"), (F.round("dev_ratio", 4) + F.lit(0.0)).alias("dev_ratio"), "df")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scopes: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope that drops the work folders made in it when it ends.
+
+    Write what is to stay inside the scope (``with scratch(spark): near_duplicates(docs).write.parquet(out)``):
+    results are lazy and read the folders.  Without a scope the folders stay.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +75,9 @@ def let(value: Column, body) -> Column:
 
 
 def batched(spark: SparkSession, rows: int = 512) -> None:
-    """Small Arrow batches, so that a batch of long texts stays within a worker's memory."""
+    """Small Arrow batches, so that a batch of long texts stays within a worker's memory (Spark bounds
+    their bytes too).  The setting stays with the session, and a lazy result runs under the one set
+    last; no result depends on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -10,17 +10,22 @@ in proportion to their unigram probabilities, so every distribution sums to one
     P(w)     = d(c(w)) c(w) / N, and 1 - sum for the unknown word
 
 T(h) is C(h), or a little more where the discounts leave nothing.  The counts are tables in the
-shared folder that grow with the input: ``order=1`` (word, n), ``order=2`` (k, pair, n) and
-``histories`` (id, word, n, g, lam) with g = log10 T(h) and lam = log10 alpha(h) T(h).  A pair is
-written as k = id(h) * side + id(w), with the ids of the ``FREQUENT`` most frequent words of at
-most ``LONGEST`` bytes, and ``pair`` holds the words that have none; so the key is exact and mostly
-a number.  Only what has a bound goes to the tasks: the frequent words with their counts, g and
-lam, and at most CLASSES ** 2 of the most frequent pairs.  A text's score is
+shared folder that grow with the input.  A word is a 63-bit hash with its sign set, or a number from 1
+if it is one of the ``FREQUENT`` most frequent words (0 is the end sign); ``order=1`` has (h, n) of
+every word, with a check that no two words share a hash.  ``order=2`` has the pairs in buckets of
+about ``PAIRS`` tokens: a row is a bucket, its pairs (x, y, n) sorted, as differences by byte
+planes, compressed.  A bucket is chosen by the first word, for the ``SPREAD`` most frequent words by
+both, so all pairs of any other word are together.  ``histories`` has (h, n, g, lam) with g = log10
+T(h) and lam = log10 alpha(h) T(h).  Only what has a bound goes to the tasks: the frequent words with
+their counts, g and lam, and at most CLASSES ** 2 of the most frequent pairs.  A text's score is
 
     sum of -g(h)  +  sum over seen pairs of log10 d n  +  sum over unseen pairs of lam(h) + log10 P(w)
 
-and each text's pairs that were not sent are joined with ``order=2``, each other word with
-``histories``; hot pairs are among those sent, and AQE splits what is left.
+Pairs that were not sent travel to their bucket, packed in the same way with the places of their
+texts, and meet the bucket's counts there; a text gets one sum from each bucket.  Words without a
+number are joined with ``histories``.  Pairs are combined before they travel, and the hot ones are
+among those sent, so no bucket grows with a hot pair, and no word but the most frequent, which are
+spread, can fill one.
 
 Cases: a null or empty text is the end sign alone; a null doc_id counts as the empty string in
 the split; repeated rows are counted and scored each; without training texts every word is
@@ -34,18 +39,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from expstudy.llm.common import batched, work_dir, written
+from expstudy.llm.common import batched, slices, work_dir, written
 
-#: Side of the square that bounds the pairs sent to the tasks; frequent words sent, and their longest.
-CLASSES, FREQUENT, LONGEST = 2048, 65_536, 64
+#: Side of the square that bounds the pairs sent to the tasks; numbered words; words whose pairs are spread.
+CLASSES, FREQUENT, SPREAD = 1408, 1 << 20, 256
+#: Tokens for each bucket of pairs.
+PAIRS = 4_000_000
+#: Bytes of text that a task works on at once.
+PIECE = 1 << 22
 #: Counts above K are not discounted (nor above a smaller K that ``discounts`` settles for).
 K = 5
+#: Steps of the histograms of counts: powers of 1.05.
+STEPS = 500
+_CHECK = "0123456789abcdef"  # key of a second hash
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,24 +91,21 @@ class Model:
     """The path of the tables and the bounded parts of the model."""
 
     path: str
-    words: list[str]           # the frequent words, most frequent first
-    counts: np.ndarray         # their counts
+    hashes: np.ndarray         # of the numbered words, rising
+    numbers: np.ndarray        # their numbers
+    counts: np.ndarray         # by number; 0 is the end sign
     texts: int                 # training texts, the count of the end sign
     tokens: int                # N
     types: int                 # V
     d: np.ndarray              # unigram discounts
     total: float               # denominator of the unigram probabilities
     unknown: float             # probability of the unknown word
+    buckets: int = 1
     pair_d: np.ndarray | None = None  # bigram discounts
-    pair_keys: np.ndarray | None = None  # the most frequent pairs of frequent words, sorted
+    pair_keys: np.ndarray | None = None  # the most frequent pairs of numbered words, sorted
     pair_logs: np.ndarray | None = None  # log10 of their discounted counts
-    g: np.ndarray | None = None    # log10 T(h) by id; 0 for other words
-    lam: np.ndarray | None = None  # log10 alpha(h) T(h) by id; 0 for other words
-
-    @property
-    def side(self) -> int:
-        """Ids: 0 is the end sign, frequent words from 1, ``side - 1`` any other word."""
-        return len(self.words) + 2
+    g: np.ndarray | None = None    # log10 T(h) by number
+    lam: np.ndarray | None = None  # log10 alpha(h) T(h) by number
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, kept(counts, self.d) / self.total, self.unknown)
@@ -113,101 +124,167 @@ def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, places, ends
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            words, places, _ = _tokens(b.column(0))
-            n = np.bincount(places, minlength=len(words))
-            some = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays([words.filter(some), pa.array(n[n > 0].astype(np.int64))], names=["word", "n"])
+def _hashes(words: pa.Array, key: str | None = None) -> np.ndarray:
+    """A negative 64-bit integer for each word."""
+    words = words.to_numpy(zero_copy_only=False).astype(object)
+    h = pd.util.hash_array(words, categorize=False, **({"hash_key": key} if key else {})) if len(words) else np.zeros(0, np.uint64)
+    return (h | np.uint64(1 << 63)).view(np.int64)
 
 
-def _coded(texts: pa.Array, vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words with the end sign as "" at the end, their ids, each token's place among them
-    with the end sign after each text, the place of the one before, and where each text begins."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, check and n of the words of a task, combined as far as memory allows."""
+    held, size = [], 0
+
+    def made():
+        h, check, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, first, where = np.unique(h, return_index=True, return_inverse=True)
+        if (check[first][where] != check).any():
+            raise ArithmeticError("two words share a hash")
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(check[first]), pa.array(np.bincount(where, n).astype(np.int64))],
+                                          names=["h", "c", "n"])
+
+    for (texts,) in (part for b in batches for part in slices(b)):
+        words, places, _ = _tokens(texts)
+        n = np.bincount(places, minlength=len(words))
+        held.append((_hashes(words)[n > 0], (_hashes(words, _CHECK) & 0xFFFF)[n > 0], n[n > 0]))
+        size += len(held[-1][0])
+        if size > 2_000_000:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def _coded(texts: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the distinct words with the end sign at the end, each token's place among them with the
+    end sign after each text, the place of the one before, and where each text begins."""
     words, places, ends = _tokens(texts)
-    ids = pc.index_in(words, value_set=vocabulary).fill_null(len(vocabulary)).to_numpy().astype(np.int64) + 1
+    h = _hashes(words)
+    at = np.minimum(np.searchsorted(m.hashes, h), max(0, len(m.hashes) - 1))
+    codes = np.where(m.hashes[at] == h, m.numbers[at], h) if len(m.hashes) else h
     own, begins = np.insert(places, ends, len(words)), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
     before = np.concatenate(([len(words)], own[:-1]))  # a text begins after an end sign
-    return pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), np.append(ids, 0), own, before, begins
+    return np.append(codes, 0), own, before, begins
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bucket(x: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
+    spread = (x >= 0) & (x < SPREAD)
+    return (_mixed(np.where(spread, x.view(np.uint64) ^ _mixed(y.view(np.uint64)), x.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _pack(x: np.ndarray, *more: np.ndarray) -> bytes:
+    """Columns of 64-bit integers, the first one rising, as one compressed block."""
+    columns = [np.diff(x, prepend=0), *more]
+    return _CODEC.compress(b"".join(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), asbytes=True)
+
+
+def _unpack(data: bytes, size: int, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(_CODEC.decompress(data, 8 * size * columns), np.uint8).reshape(columns, 8, size)
+    out = [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in raw]
+    return [np.cumsum(out[0]), *out[1:]]
 
 
-def _pairs(words: pa.Array, ids: np.ndarray, before: np.ndarray, own: np.ndarray, side: int) -> tuple[np.ndarray, pa.Array]:
-    """k and pair of pairs of places."""
-    h, w = ids[before], ids[own]
-    rare_h, rare_w = h == side - 1, w == side - 1
-    last = len(words) - 1  # the empty string
-    return h * side + w, pc.binary_join_element_wise(
-        words.take(pa.array(np.where(rare_h, before, last))), words.take(pa.array(np.where(rare_w, own, last))),
-        pc.if_else(pa.array(rare_h & rare_w), " ", ""))
+def _blocks(buckets: int, x: np.ndarray, y: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, size, packed x, y and the rest, sorted) for each bucket with pairs."""
+    b = _bucket(x, y, buckets)
+    order = np.lexsort((*more[::-1][:1], y, x, b)) if len(more) > 1 else np.lexsort((y, x, b))
+    b, columns = b[order], [c[order] for c in (x, y, *more)]
+    edges = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b)).tolist()
+    for i, j in zip(edges, edges[1:], strict=False):
+        yield int(b[i]), j - i, _pack(*[c[i:j] for c in columns])
 
 
-def _count_pairs(words):
+def _count_pairs(parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(words.value, pa.string())
-        for b in batches:
-            if b.num_rows:
-                distinct, ids, own, before, _ = _coded(b.column(0), vocabulary)
-                seen, n = np.unique(before * len(distinct) + own, return_counts=True)
-                k, pair = _pairs(distinct, ids, *np.divmod(seen, len(distinct)), len(vocabulary) + 2)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pair, pa.array(n.astype(np.int64))], names=["k", "pair", "n"])
+        m = parts.value
+        for (texts,) in (part for b in batches for part in slices(b, PIECE)):
+            codes, own, before, _ = _coded(texts, m)
+            seen, n = np.unique(before * len(codes) + own, return_counts=True)
+            before, own = np.divmod(seen, len(codes))
+            columns = list(zip(*_blocks(m.buckets, codes[before], codes[own], n), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
+                                             names=["bucket", "size", "pairs"])
     return run
 
 
-def bigram_matrix(cells: np.ndarray, unigram: np.ndarray, k: int = K) -> np.ndarray:
-    """log10 P(column | row) for a square matrix of all pairs' counts and the columns' P: the
-    model that the tables hold, for inputs small enough to be one matrix (tests compare them)."""
-    count_of = dict(zip(*(x.tolist() for x in np.unique(cells[(cells > 0) & (cells <= k + 1)], return_counts=True)), strict=True))
-    d, out = discounts(count_of, k), np.empty(cells.shape)
-    for h, row in enumerate(cells):
-        seen = row > 0
-        if not seen.any():
-            p = unigram
-        else:
-            own, free = kept(row, d), unigram[~seen].sum()
-            total = row.sum() if row.sum() - own.sum() >= 0.5 else own.sum() + 0.5
-            p = own / total
-            if free > 0:
-                p = np.where(seen, p, (1 - p.sum()) / free * unigram)
-            else:
-                p = p / p.sum()
-        out[h] = np.log10(np.maximum(p, 1e-300))
+def _merged(key, table):  # without hints: Spark reads the kind of function from them
+    """The pairs of a bucket with their counts; how many have each count up to K + 1, and each step of counts."""
+    parts = [_unpack(d.as_py(), s.as_py(), 3) for s, d in zip(table.column("size"), table.column("pairs"), strict=True)]
+    x, y, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((y, x))
+    x, y, n = x[order], y[order], n[order]
+    first = np.flatnonzero(np.append(True, (np.diff(x) != 0) | (np.diff(y) != 0)))
+    x, y, n = x[first], y[first], np.add.reduceat(n, first)
+    sent = (x >= 0) & (y >= 0)
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([len(x)], pa.int64()),
+                     "pairs": pa.array([_pack(x, y, n)], pa.binary()), "small": pa.array([np.bincount(np.minimum(n, 64), minlength=65).tolist()]),
+                     "steps": pa.array([np.bincount(_step(n[sent]), minlength=STEPS).tolist()])})
+
+
+_ORDER2 = "bucket int, size long, pairs binary, small array<long>, steps array<long>"
+
+
+def _step(n: np.ndarray) -> np.ndarray:
+    return np.minimum(STEPS - 1, np.floor(np.log(n) / np.log(1.05))).astype(np.int64)
+
+
+def _least_step(sizes: np.ndarray, most: int) -> int:
+    """The lowest step from which on there are at most ``most``."""
+    return STEPS - int(np.searchsorted(np.cumsum(sizes[::-1]), most, side="right"))
+
+
+def _summed(df: DataFrame, column: str, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for r in df.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        out[r.pos] = r.n
     return out
 
 
 def train(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT, k: int = K) -> Model:
     """A model of the texts of ``docs``; its count tables go to the shared folder."""
     spark = docs.sparkSession
-    batched(spark, 1024)
+    batched(spark, 8192)
     path = work_dir(spark, "katz")
     texts = docs.select("text")
-    (texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-     .write.parquet(f"{path}/order=1"))
-    table = spark.read.schema("word string, n long").parquet(f"{path}/order=1")
+    words = texts.mapInArrow(_count_words, "h long, c long, n long").groupBy("h").agg(
+        F.sum("n").alias("n"), (F.min("c") != F.max("c")).alias("shared"))
+    words.write.option("compression", "zstd").parquet(f"{path}/order=1")
+    table = spark.read.schema("h long, n long, shared boolean").parquet(f"{path}/order=1")
     small = [F.sum((F.col("n") == r).cast("long")).alias(f"n{r}") for r in range(1, k + 2)]
-    stats = table.agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), *small).first()
+    stats = table.agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.max("shared").alias("shared"), *small).first()
+    if stats.shared:
+        raise ArithmeticError("two words share a hash")
     n_texts = docs.count()
     tokens, types = (stats.tokens or 0) + n_texts, stats.types + (n_texts > 0)
     count_of = {r: (stats[f"n{r}"] or 0) + (n_texts == r) for r in range(1, k + 2)}
     d = discounts(count_of, k)
     left = sum((1 - d[r]) * r * count_of[r] for r in range(1, len(d)))
     total = float(tokens) if left >= 0.5 else tokens - left + 0.5
-    top = (table.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).toArrow())
-    counts = np.array(top.column("n").to_pylist(), np.int64)
-    m = Model(path, top.column("word").to_pylist(), counts, n_texts, tokens, types, d, total, 1 - (tokens - left) / total)
+    step = F.least(F.lit(STEPS - 1), F.floor(F.log("n") / F.lit(np.log(1.05)))).cast("int")
+    sizes = np.zeros(STEPS, np.int64)
+    for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect():
+        sizes[r.step] = r.n
+    top = table.where(step >= _least_step(sizes, frequent)).select("h", "n").toArrow()  # at most ``frequent`` rows
+    h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
+    order = np.lexsort((h, -n))
+    numbers = np.empty(len(h), np.int64)
+    numbers[order] = np.arange(1, len(h) + 1)
+    by_hash = np.argsort(h)
+    m = Model(path, h[by_hash], numbers[by_hash], np.append(n_texts, n[order]), n_texts, tokens, types, d, total, 1 - (tokens - left) / total,
+              buckets=8 + tokens // PAIRS)
     if n_texts:
         _train_pairs(texts, m, classes ** 2, k)
     return m
 
 
-_PAIR, _HISTORY = "k long, pair string, n long", "id long, word string, n long, g double, lam double"
-
-
-def _halves(side: int) -> tuple[Column, Column, Column, Column]:
-    """Ids and words of the history and of the word of a pair; a frequent word's string is of no use."""
-    return (F.floor(F.col("k") / side), F.col("k") % side, F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1))
-
-
 def _kept(n: Column, d: np.ndarray) -> Column:
     """``kept`` of a column."""
     out = n.cast("double")
@@ -220,136 +297,178 @@ def _unigram(n: Column, m: Model) -> Column:
     return F.when(n > 0, _kept(n, m.d) / F.lit(m.total)).otherwise(F.lit(m.unknown))
 
 
+def _top_pairs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for size, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x, y, n = _unpack(data.as_py(), size, 3)
+                own = (x >= 0) & (y >= 0) & (_step(n) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (x, y, n)], names=["x", "y", "n"])
+    return run
+
+
+def _history_parts(parts, whole: bool):
+    """By bucket, for each first word h: n, own (discounted) and p (of the numbered words after it); or, if
+    not ``whole``, the pairs (h, w) whose w has no number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = parts.value
+        p = m.unigram(m.counts)
+        for b in batches:
+            for size, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x, y, n = _unpack(data.as_py(), size, 3)
+                if whole:
+                    first = np.flatnonzero(np.diff(x, prepend=x[0] - 1))
+                    add = lambda v: np.add.reduceat(v, first)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x[first]), pa.array(add(n)), pa.array(add(kept(n, m.pair_d))), pa.array(add(np.where(y >= 0, p[np.maximum(y, 0)], 0.0)))],
+                        names=["h", "n", "own", "p"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(x[y < 0]), pa.array(y[y < 0])], names=["h", "w"])
+    return run
+
+
+_HISTORY = "h long, n long, g double, lam double"
+
+
 def _train_pairs(texts: DataFrame, m: Model, most: int, k: int) -> None:
     """Writes order=2 and histories, and puts the bounded parts of them into ``m``."""
-    spark, other = texts.sparkSession, m.side - 1
-    words = spark.sparkContext.broadcast(m.words)
-    (texts.mapInArrow(_count_pairs(words), _PAIR).groupBy("k", "pair").agg(F.sum("n").alias("n"))
-     .write.option("compression", "zstd").parquet(f"{m.path}/order=2"))
-    pairs = spark.read.schema(_PAIR).parquet(f"{m.path}/order=2")
-    h, w, h_word, w_word = _halves(m.side)
-    # counts of counts, exact up to k + 1; of pairs of frequent words by powers of 1.05 for the cut
-    step = F.when(F.col("n") <= k + 1, F.col("n")).otherwise(F.floor(F.ln("n") / F.lit(np.log(1.05))) + 1000)
-    bins = pairs.groupBy(step.alias("step"), ((h < other) & (w < other)).alias("sent")).agg(
-        F.count("*").alias("n"), F.min("n").alias("least")).collect()
-    count_of = {r: sum(b.n for b in bins if b.step == r) for r in range(1, k + 2)}
-    m.pair_d, cut, room = discounts(count_of, k), None, most
-    for b in sorted((b for b in bins if b.sent), key=lambda b: -b.least):
-        if (room := room - b.n) < 0:
-            break
-        cut = b.least
-    top = pairs.where((h < other) & (w < other) & (F.col("n") >= (cut if cut is not None else m.tokens + 1))).select("k", "n").toArrow()
-    keys, n = top.column("k").to_numpy(), top.column("n").to_numpy()
+    spark = texts.sparkSession
+    parts = spark.sparkContext.broadcast(m)
+    (texts.mapInArrow(_count_pairs(parts), "bucket int, size long, pairs binary").groupBy("bucket").applyInArrow(_merged, _ORDER2)
+     .write.parquet(f"{m.path}/order=2"))
+    pairs = spark.read.schema(_ORDER2).parquet(f"{m.path}/order=2")
+    small = _summed(pairs, "small", 65)
+    m.pair_d = discounts({r: int(small[r]) for r in range(1, k + 2)}, k)
+    least = _least_step(_summed(pairs, "steps", STEPS), most)
+    top = pairs.select("size", "pairs").mapInArrow(_top_pairs(least), "x long, y long, n long").toArrow()  # at most ``most`` rows
+    keys = top.column("x").to_numpy() * len(m.counts) + top.column("y").to_numpy()
     order = np.argsort(keys)
-    m.pair_keys, m.pair_logs = keys[order], np.log10(kept(n[order], m.pair_d)).astype(np.float64)
-
-    counts = np.concatenate(([m.texts], m.counts))
-    ids = spark.createDataFrame(pa.table({"w_id": np.arange(len(counts)), "p": m.unigram(counts)}))
-    table = spark.read.schema("word string, n long").parquet(f"{m.path}/order=1")
-    half = pairs.select(h.alias("id"), F.when(h == other, h_word).otherwise("").alias("word"), w.alias("w_id"), w_word.alias("w_word"), "n")
-    own = ["id", "word", "n", "p"]
-    seen = half.where(F.col("w_id") < other).join(F.broadcast(ids), "w_id").select(*own).unionAll(
-        half.where(F.col("w_id") == other).join(table.select(F.col("word").alias("w_word"), _unigram(F.col("n"), m).alias("p")), "w_word")
-        .select(*own))
-    sums = seen.groupBy("id", "word").agg(F.sum("n").alias("n"), F.sum(_kept(F.col("n"), m.pair_d)).alias("own"), F.sum("p").alias("p"))
+    m.pair_keys, m.pair_logs = keys[order], np.log10(kept(top.column("n").to_numpy()[order], m.pair_d)).astype(np.float64)
+    parts = spark.sparkContext.broadcast(m)
+    table = spark.read.schema("h long, n long").parquet(f"{m.path}/order=1").select(F.col("h").alias("w"), _unigram(F.col("n"), m).alias("p"))
+    blocks = pairs.select("size", "pairs")
+    own = blocks.mapInArrow(_history_parts(parts, True), "h long, n long, own double, p double")
+    rare = blocks.mapInArrow(_history_parts(parts, False), "h long, w long").join(table, "w").select(
+        "h", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("own"), "p")
+    sums = own.unionAll(rare).groupBy("h").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum("p").alias("p"))
     full = F.when(F.col("n") - F.col("own") >= 0.5, F.col("n")).otherwise(F.col("own") + 0.5)
     free = F.greatest(1 - F.col("p"), F.lit(m.unknown))
-    (sums.select("id", "word", "n", F.log10(full).alias("g"), (F.log10(full - F.col("own")) - F.log10(free)).alias("lam"))
-     .write.parquet(f"{m.path}/histories"))
-    some = spark.read.schema(_HISTORY).parquet(f"{m.path}/histories").where(F.col("id") < other).toArrow()
-    m.g, m.lam = np.zeros(m.side), np.zeros(m.side)
-    m.g[some.column("id").to_numpy()], m.lam[some.column("id").to_numpy()] = some.column("g").to_numpy(), some.column("lam").to_numpy()
+    (sums.select("h", "n", F.log10(full).alias("g"), (F.log10(full - F.col("own")) - F.log10(free)).alias("lam"))
+     .write.option("compression", "zstd").parquet(f"{m.path}/histories"))
+    some = spark.read.schema(_HISTORY).parquet(f"{m.path}/histories").where("h >= 0").toArrow()
+    m.g, m.lam = np.zeros(len(m.counts)), np.zeros(len(m.counts))
+    at = some.column("h").to_numpy()
+    m.g[at], m.lam[at] = some.column("g").to_numpy(), some.column("lam").to_numpy()
 
 
 _SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-           "k long, pair string, m long")
+           "bucket int, size long, pairs binary, w long, times long")
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _rows(schema: str, n: int, **columns) -> pa.RecordBatch:
+    fields = [pa.field(*((x, _TYPES[t]))) for x, t in map(str.split, schema.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields],
+                                      schema=pa.schema(fields))
 
 
 def _score(parts):
-    """A row for each text with what the bounded parts give, one (k, pair, m) for each of its other
-    pairs, and one (pair, m) for each of its other words."""
+    """A row for each text with what the bounded parts give, blocks of its other pairs (x, y, place, times),
+    and (w, times) for each of its words without a number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = parts.value, TaskContext.get().partitionId() << 40
-        vocabulary, schema = pa.array(m.words, pa.string()), pa.schema([
-            (x.split()[0], {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]])
-            for x in _SCORED.split(", ")])
-        counts = np.concatenate(([m.texts], m.counts, [0]))  # the end sign, frequent words, others
-        base = np.log10((counts + 1) / (m.tokens + m.types + 1))
-        base[-1] = 0.0  # added later, with the word's count
-
-        def made(n: int, **columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema],
-                                              schema=schema)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words, ids, own, before, begins = _coded(b.column(2), vocabulary)
-            n, size = len(words), np.diff(begins)
-            texts = np.arange(b.num_rows, dtype=np.int64)
+        base = np.log10((m.counts + 1) / (m.tokens + m.types + 1))
+        for doc_ids, held, texts in (part for b in batches for part in slices(b, PIECE)):
+            codes, own, before, begins = _coded(texts, m)
+            n, size, places = len(codes), np.diff(begins), np.arange(len(texts), dtype=np.int64)
             add = lambda x: np.add.reduceat(x, begins[:-1])  # noqa: B023, E731
-            at, times = np.unique((np.repeat(texts, size) * n + before) * n + own, return_counts=True)
+            numbered, number = codes >= 0, np.maximum(codes, 0)
+            by_word = lambda values: np.where(numbered, values[number], 0.0)  # noqa: B023, E731
+            at, times = np.unique((np.repeat(places, size) * n + before) * n + own, return_counts=True)
             at, own_u = np.divmod(at, n)
             at, before_u = np.divmod(at, n)
-            k = ids[before_u] * m.side + ids[own_u]
-            place = np.minimum(np.searchsorted(m.pair_keys, k), max(0, len(m.pair_keys) - 1))
-            hit = (m.pair_keys[place] == k) if len(m.pair_keys) else np.zeros(len(k), bool)
-            score = np.bincount(at[hit], times[hit] * m.pair_logs[place[hit]], b.num_rows) - add(m.g[ids[before]])
-            yield made(b.num_rows, row=pa.array(row + texts), doc_id=b.column(0), held_out=b.column(1), n_tokens=pa.array(size),
-                       n_known=pa.array(add((counts[ids[own]] > 0).astype(np.int64))), base=pa.array(add(base[ids[own]])),
-                       score=pa.array(score))
-            k, pair = _pairs(words, ids, before_u[~hit], own_u[~hit], m.side)
-            yield made(len(k), row=pa.array(row + at[~hit]), k=pa.array(k), pair=pair, m=pa.array(times[~hit]))
-            rare = ids[own] == m.side - 1
-            at, times = np.unique(np.repeat(texts, size)[rare] * n + own[rare], return_counts=True)
-            yield made(len(at), row=pa.array(row + at // n), pair=words.take(pa.array(at % n)), m=pa.array(times))
-            row += b.num_rows
+            x, y = codes[before_u], codes[own_u]
+            key = np.where((x >= 0) & (y >= 0), x * len(m.counts) + y, -1)
+            place = np.minimum(np.searchsorted(m.pair_keys, key), max(0, len(m.pair_keys) - 1))
+            hit = (m.pair_keys[place] == key) if len(m.pair_keys) else np.zeros(len(key), bool)
+            score = np.bincount(at[hit], times[hit] * m.pair_logs[place[hit]], len(texts)) - add(by_word(m.g)[before])
+            known = numbered & (m.counts[number] > 0)
+            yield _rows(_SCORED, len(texts), row=row + places, doc_id=doc_ids, held_out=held, n_tokens=size,
+                        n_known=add(known[own].astype(np.int64)), base=add(by_word(base)[own]), score=score)
+            if not hit.all():
+                blocks = list(zip(*_blocks(m.buckets, x[~hit], y[~hit], at[~hit], times[~hit]), strict=True))
+                yield _rows(_SCORED, len(blocks[0]), row=np.full(len(blocks[0]), row), bucket=blocks[0], size=blocks[1], pairs=blocks[2])
+            rare = ~numbered[own]
+            at, times = np.unique(np.repeat(places, size)[rare] * n + own[rare], return_counts=True)
+            yield _rows(_SCORED, len(at), row=row + at // n, w=codes[at % n], times=times)
+            row += len(texts)
     return run
 
 
+_MET = "row long, score double, w long, lam long, p long"
+
+
+def _meet(parts):
+    def run(key, texts, counted):
+        """The pairs of a bucket's texts against its counts: a sum for each text, and what needs the words without a number."""
+        m = parts.value
+        empty = [np.zeros(0, np.int64)] * 3
+        cx, cy, cn = _unpack(counted.column("pairs")[0].as_py(), counted.column("size")[0].as_py(), 3) if counted.num_rows else empty
+        log_p = np.log10(m.unigram(m.counts))
+        ux, uy = np.unique(cx), np.unique(cy)
+        keys = np.searchsorted(ux, cx) * np.int64(len(uy)) + np.searchsorted(uy, cy)  # rising
+        made = []
+        for row, size, data in zip(texts.column("row").to_pylist(), texts.column("size").to_pylist(), texts.column("pairs"), strict=True):
+            x, y, place, times = _unpack(data.as_py(), size, 4)
+            n = np.zeros(size, np.int64)
+            if len(keys):
+                i, j = np.minimum(np.searchsorted(ux, x), len(ux) - 1), np.minimum(np.searchsorted(uy, y), len(uy) - 1)
+                own = i * np.int64(len(uy)) + j
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                n = np.where((ux[i] == x) & (uy[j] == y) & (keys[at] == own), cn[at], 0)
+            new = n == 0
+            value = np.log10(kept(np.maximum(n, 1), m.pair_d))
+            value[new] = np.where(x[new] >= 0, m.lam[np.maximum(x[new], 0)], 0.0) + np.where(y[new] >= 0, log_p[np.maximum(y[new], 0)], 0.0)
+            rows, where = np.unique(place, return_inverse=True)
+            made.append(_rows(_MET, len(rows), row=row + rows, score=np.bincount(where, value * times)))
+            for words, column in ((x, "lam"), (y, "p")):
+                rare = new & (words < 0)
+                made.append(_rows(_MET, int(rare.sum()), row=row + place[rare], w=words[rare], **{column: times[rare]}))
+        return pa.Table.from_batches(made, schema=_rows(_MET, 0).schema)
+
+    def untyped(key, texts, counted):  # without hints: Spark reads the kind of function from them
+        return run(key, texts, counted)
+    return untyped
+
+
 def score(docs: DataFrame, m: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
-    batched(spark, 1024)
+    batched(spark, 8192)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     n = F.lit(m.tokens).cast("long").alias("train_tokens")
     if not m.texts:
         size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
         return rows.select("doc_id", "held_out", size.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), n,
                            F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    path, other = f"{m.path}/scored-{work_dir(spark, 'x')[-32:]}", m.side - 1
-    rows.mapInArrow(_score(spark.sparkContext.broadcast(m)), _SCORED).write.option("compression", "zstd").parquet(path)
+    parts = spark.sparkContext.broadcast(m)
+    path = f"{m.path}/scored-{work_dir(spark, 'x')[-32:]}"
+    rows.mapInArrow(_score(parts), _SCORED).write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(_SCORED).parquet(path)
-    # pairs that were not sent: a text's seen ones become one row, unseen ones stay
-    pairs = spark.read.schema(_PAIR).parquet(f"{m.path}/order=2")
-    unseen = F.col("n").isNull()
-    met = (made.where("k IS NOT NULL").select("row", "k", "pair", "m").join(pairs, ["k", "pair"], "left")
-           .groupBy("row", F.when(unseen, F.col("k")).alias("k"), F.when(unseen, F.col("pair")).alias("pair"))
-           .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.log10(_kept(F.col("n"), m.pair_d))).alias("score")))
-    met = written(met, "katz-met")
-    h, w, h_word, w_word = _halves(m.side)
-    new = met.where("k IS NOT NULL").select("row", "m", h.alias("h"), w.alias("w"), h_word.alias("h_word"), w_word.alias("w_word"))
-    table = spark.read.schema(_HISTORY).parquet(f"{m.path}/histories").where(F.col("id") == other).drop("id")
-    ids = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(other), "lam": m.lam[:-1], "log_p": np.log10(
-        m.unigram(np.concatenate(([m.texts], m.counts))))})))
-    log_p = F.log10(_unigram(F.coalesce("n", F.lit(0)), m))
-    c = F.coalesce("n", F.lit(0))
-    part = lambda df, value, base=F.lit(0.0), known=F.lit(0): df.select(
-        "row", value.alias("score"), base.alias("base"), known.cast("long").alias("known"))
-    parts = [part(met.where("k IS NULL"), F.col("score")),
-             part(new.join(ids, F.col("w") == F.col("id")), F.col("m") * F.col("log_p")),
-             part(new.where(F.col("w") == other).join(table, F.col("w_word") == F.col("word"), "left"), F.col("m") * log_p),
-             part(new.join(ids, F.col("h") == F.col("id")), F.col("m") * F.col("lam")),
-             part(new.where(F.col("h") == other).join(table, F.col("h_word") == F.col("word")), F.col("m") * F.col("lam")),
-             part(made.where("k IS NULL AND pair IS NOT NULL").select("row", "pair", "m").join(table, F.col("pair") == F.col("word"), "left"),
-                  -F.col("m") * F.coalesce("g", F.lit(0.0)), F.col("m") * F.log10((c + 1) / F.lit(float(m.tokens + m.types + 1))),
-                  F.col("m") * (c > 0).cast("long"))]
-    more = parts[0]
-    for p in parts[1:]:
-        more = more.unionAll(p)
+    blocks = made.where("bucket IS NOT NULL").select("bucket", "row", "size", "pairs")
+    counted = spark.read.schema(_ORDER2).parquet(f"{m.path}/order=2").select("bucket", "size", "pairs")
+    met = written(blocks.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_meet(parts), _MET), "katz-met")
+    zero, table = F.lit(0).cast("long"), spark.read.schema(_HISTORY).parquet(f"{m.path}/histories")
+    words = made.where("w IS NOT NULL").select("row", "w", "times", zero.alias("lams"), zero.alias("ps")).unionAll(
+        met.where("w IS NOT NULL").select("row", "w", zero, F.coalesce("lam", zero), F.coalesce("p", zero)))
+    words = words.join(table.withColumnRenamed("h", "w"), "w", "left")
+    c = F.coalesce("n", zero)
+    more = words.select(
+        "row", (F.col("lams") * F.coalesce("lam", F.lit(0.0)) + F.col("ps") * F.log10(_unigram(c, m)) - F.col("times") * F.coalesce("g", F.lit(0.0))).alias("score"),
+        (F.col("times") * F.log10((c + 1) / F.lit(float(m.tokens + m.types + 1)))).alias("base"), (F.col("times") * (c > 0).cast("long")).alias("known"))
+    more = more.unionAll(met.where("w IS NULL").select("row", "score", F.lit(0.0), zero))
     more = more.groupBy("row").agg(F.sum("score").alias("r_score"), F.sum("base").alias("r_base"), F.sum("known").alias("r_known"))
-    zero = F.lit(0)
-    return (made.where("n_tokens IS NOT NULL").drop("k", "pair", "m").join(more, "row", "left")
+    return (made.where("n_tokens IS NOT NULL").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(more, "row", "left")
             .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("r_known", zero)).alias("n_known"), n,
-                    (F.col("base") + F.coalesce("r_base", zero)).alias("base_score"),
-                    (F.col("score") + F.coalesce("r_score", zero)).alias("score")))
+                    (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"),
+                    (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score")))

@@ -97,3 +97,51 @@ def article(page):
     if inner.rfind("<") > inner.rfind(">"):
         inner = inner[:inner.rfind("<")]
     return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(/?(p|h1)|br)>", " ", inner))).split())
+
+
+def good_turing(counts, k=5):
+    """{r: discounted r} for r up to the largest K <= k whose ratios all lie in (0, 1), else r - 1/2 up to k."""
+    n = collections.Counter(counts)
+    for most in range(k, 1, -1):
+        if all(n[r] for r in range(1, most + 2)):
+            rest = (most + 1) * n[most + 1] / n[1]
+            ratio = {r: ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) for r in range(1, most + 1)} if rest != 1 else {1: 2}
+            if rest < 1 and all(0 < x < 1 for x in ratio.values()):
+                return {r: r * x for r, x in ratio.items()}
+    return {r: r - 0.5 for r in range(1, k + 1)}
+
+
+class Katz:
+    """Katz backoff over dictionaries of words and pairs; the end sign is the empty word."""
+
+    def __init__(self, texts):
+        tokens = [[*words((t or "").translate(ASCII_LOWER)), ""] for t in texts]
+        self.c = collections.Counter(w for x in tokens for w in x)
+        self.pairs = collections.defaultdict(collections.Counter)
+        for x in tokens:
+            for h, w in zip(["", *x], x):  # noqa: B905
+                self.pairs[h][w] += 1
+        one = good_turing(self.c.values())
+        two = good_turing([n for p in self.pairs.values() for n in p.values()])
+        size = sum(self.c.values())
+        own = {w: one.get(n, n) for w, n in self.c.items()}
+        left = size - math.fsum(own.values())
+        total = size if left >= 0.5 else size - left + 0.5
+        self.p = {w: x / total for w, x in own.items()}
+        self.unknown = 1 - math.fsum(own.values()) / total
+        self.seen, self.alpha = {}, {}
+        for h, p in self.pairs.items():
+            kept = {w: two.get(n, n) for w, n in p.items()}
+            all_of, kept_of = sum(p.values()), math.fsum(kept.values())
+            full = all_of if all_of - kept_of >= 0.5 else kept_of + 0.5
+            self.seen[h] = {w: x / full for w, x in kept.items()}
+            self.alpha[h] = (1 - kept_of / full) / max(self.unknown, 1 - math.fsum(self.p[w] for w in p))
+
+    def prob(self, h, w):
+        if w in self.seen.get(h, ()):
+            return self.seen[h][w]
+        return self.alpha.get(h, 1.0) * self.p.get(w, self.unknown)
+
+    def score(self, text):
+        x = [*words((text or "").translate(ASCII_LOWER)), ""]
+        return math.fsum(math.log10(self.prob(h, w)) for h, w in zip(["", *x], x))  # noqa: B905

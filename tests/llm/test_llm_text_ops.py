@@ -106,33 +106,31 @@ def test_scoring_awkward_rows(spark, awkward, nothing):
     assert {(r.score, r.n_known, r.train_tokens) for r in katz.score(awkward, empty).collect()} == {(0.0, 0, 0)}
 
 
-def test_scores_are_those_of_the_model_over_all_words(spark, documents):
-    """Few words and pairs are sent to the tasks; the tables give what one matrix of all words gives."""
+@pytest.mark.parametrize("classes, frequent, pairs", [(1, 3, 500), (30, 400, 4_000_000), (1408, 1 << 20, 100)])
+def test_scores_are_those_of_a_plain_model(spark, documents, monkeypatch, classes, frequent, pairs):
+    """Whatever part of the words and pairs is sent to the tasks, and however many buckets there are."""
+    monkeypatch.setattr(katz, "PAIRS", pairs)
     texts = [t for _, t in documents[:60]] + [None, "", "never met words never met"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    split = lambda t: brute.words((t or "").translate(brute.ASCII_LOWER))
-    words = [split(t) for t in texts[:50]]
-    names = ["", *sorted({w for x in words for w in x})]
-    place = {w: i for i, w in enumerate(names)}  # one more row and column: the unknown word
-    cells = np.zeros((len(names) + 1,) * 2, np.int64)
-    for x in words:
-        np.add.at(cells, ([0, *(place[w] for w in x)], [*(place[w] for w in x), 0]), 1)
-    trained = rows.where("doc_id < 50")
-    for classes, frequent in ((1, 3), (30, 400)):
-        m = katz.train(trained, classes=classes, frequent=frequent)
-        log_p = katz.bigram_matrix(cells, m.unigram(cells.sum(axis=0)))
-        for r in katz.score(rows, m).collect():
-            x = [place.get(w, len(names)) for w in split(texts[r.doc_id])]
-            assert math.isclose(r.score, log_p[[0, *x], [*x, 0]].sum(), rel_tol=1e-9)
-            assert r.n_known == sum(i < len(names) for i in x) + 1
-
-
-def test_bigram_rows_sum_to_one():
-    rng = np.random.default_rng(5)
-    cells = rng.poisson(0.4, (40, 40)) * rng.integers(1, 9, (40, 40))
-    cells[3], cells[4] = 0, 7  # an unseen history, and one that has seen every class
-    p = rng.random(40)
-    assert np.allclose((10 ** katz.bigram_matrix(cells, p / p.sum())).sum(axis=1), 1, atol=1e-12)
+    plain = brute.Katz(texts[:50])
+    m = katz.train(rows.where("doc_id < 50"), classes=classes, frequent=frequent)
+    got = katz.score(rows, m).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r.score, plain.score(texts[r.doc_id]), rel_tol=1e-9)
+        assert r.n_known == sum(w in plain.c for w in brute.words((texts[r.doc_id] or "").translate(brute.ASCII_LOWER))) + 1
+
+
+def test_query_scores_are_those_of_a_plain_model(spark, documents):
+    plain = brute.Katz([t for d, t in documents if zlib.crc32(str(d).encode()) % 7 != 2])
+    for r in registry.op1_katz_backoff(spark, SF01).collect():
+        assert math.isclose(r.score, plain.score(dict(documents)[r.doc_id]), rel_tol=1e-9)
+
+
+def test_plain_model_sums_to_one():
+    plain = brute.Katz(["a b a c", "a b b", "", "c c c c a b", "d e a b a"])
+    for h in [*plain.pairs, "unmet"]:
+        assert math.isclose(sum(plain.prob(h, w) for w in plain.c) + plain.prob(h, "unmet"), 1, rel_tol=1e-12)
 
 
 def test_unigram_model_sums_to_one(spark, awkward):
@@ -412,3 +410,55 @@ def test_pipeline(spark):
                 assert not any(e[-1] for e in brute.contamination(texts, items))
     check_pieces(out.collect(), [t for _, t in texts])
     assert corpus_pipeline.run(spark, SF001).count() == out.count()
+
+
+def test_template_pages_do_not_meet(spark):
+    """Pages that share 85 % of their words are strays of each other's buckets, and no two are compared."""
+    import random
+
+    rng = random.Random(7)
+    shared = [f"t{i}" for i in range(170)]
+    texts = [" ".join([*shared, *(f"w{rng.randrange(10 ** 9)}" for _ in range(30))]) for _ in range(1500)]
+    near = texts[5].replace("t100 ", "changed ")  # a real link among them
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, near])], "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").alias("node"), "text")
+    sizes = 196
+    sets = rows.select("node", F.lit(sizes).cast("long").alias("size"), F.col("node").alias("label"), F.lit(True).alias("stray"), "text").mapInArrow(
+        minhash._sets, "node long, size long, label long, stray boolean, shingle long")
+    front = minhash.prefixes(sets).cache()
+    assert [tuple(r) for r in minhash.met_by_prefix(front).collect()] == [(5, 1500)]
+    looked_up = front.where("index").join(front.select("shingle", F.col("node").alias("other")), "shingle")
+    assert looked_up.where("node <> other").count() < 100  # all of the real link
+    classes = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert classes == {**{i: i for i in range(1500)}, 1500: 5}
+
+
+def test_every_letter_before_a_mark():
+    """Words are cut before their marks only where the tokenizer cuts them too."""
+    import random
+
+    import pyarrow as pa
+
+    e = tokens.Encoder(tokens.tokenizer_path())
+    ids = lambda xs: [x.ids for x in e.tokenizer.encode_batch(xs, add_special_tokens=False)]
+    cut = [chr(i) for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000 and tokens._cuts(chr(i))]
+    assert len(cut) > 80_000 and not any(map(tokens._cuts, "\u0130\u095e\ufb1d\u0301\u1885"))
+    assert [a + ids(["),"])[0] for a in ids(["a" + c for c in cut])] == ids(["a" + c + ")," for c in cut])
+    rng, pool = random.Random(5), "ŸŽžŠÆæŒœĲĳǄǅǆŉſẞÀÖ×÷µaZéßİıΣςσ中ひकखफ़ड़ְׁ́̈שיִא०1٣'’\"<|>endoftext한ᄀ각Ⅷ½²ªfiǅあ゙ạ̈"
+    words = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) + "".join(rng.choice(tokens.MARKS) for _ in range(rng.randint(0, 3)))
+             for _ in range(5000)]
+    got, sizes = e.encode(pa.array(words))
+    ends = np.cumsum(sizes)
+    assert [got[j - n:j - 1].tolist() for j, n in zip(ends, sizes, strict=True)] == ids(words)
+
+
+def test_scratch_folders_go(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    with common.scratch(spark):
+        kept = common.work_dir(spark, "probe")
+        minhash.near_duplicates(docs).write.parquet(str(tmp_path / "out"))
+        docs.write.parquet(kept)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert not os.path.exists(kept.removeprefix("file:"))
+    outside = common.written(docs, "probe")
+    assert outside.count() == 2

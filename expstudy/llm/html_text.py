@@ -3,9 +3,10 @@
 The standard library's streaming parser cuts a page into lines, one for each stretch of text
 between block-level tags.  A line's ratio is its characters over its tags.  The ratios are
 smoothed by a Gaussian over neighbouring lines and split by two-means clustering; lines of the
-upper cluster that are not page furniture are seeds.  The content region is the article (or
-main) element that holds most seed text, or else the deepest element that holds nearly all of
-it, and the text is every line of the region but furniture: menus, headers, footers, sidebars,
+upper cluster that are not page furniture are seeds.  The content region is the deepest element
+that holds nearly all seed text; where the page marks an article (or main) element with seed text
+in or around that region, the mark settles its edges, and a mark elsewhere is passed over.  The
+text is every line of the region but furniture: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments, by tag, class, id or role.  A class,
 id or role marks furniture if it is a known name as a whole, or begins or ends with one; where
 that leaves a doubt (``DOUBTFUL`` names, and ids inside the marked article) the element goes only
@@ -220,18 +221,26 @@ def main_text(html: str | None) -> str:
         weight[x[3]] += s * seed
     for e in range(n - 1, 0, -1):  # children have higher numbers than their parents
         weight[page.parent[e]] += weight[e]
-    marked = [e for e in range(1, n) if page.article[e] > page.article[page.parent[e]] and not page.furniture[e] and weight[e] > 0]
+    region, heavy = 0, {}
+    for e in range(1, n):
+        if weight[e] >= NEARLY_ALL * weight[0] and page.holder[e] and not page.furniture[e]:
+            heavy[page.parent[e]] = e
+    while region in heavy:
+        region = heavy[region]
+    around = {0}
+    e = region
+    while e > 0:
+        around.add(e)
+        e = page.parent[e]
+    within = [False] * n
+    within[region] = True
+    for e in range(region + 1, n):
+        within[e] = within[page.parent[e]]
+    marked = [e for e in range(1, n) if page.article[e] > page.article[page.parent[e]] and not page.furniture[e] and weight[e] > 0
+              and (within[e] or e in around)]
     if marked:
         kind = max(page.article[e] for e in marked)
         region = max((e for e in marked if page.article[e] == kind), key=lambda e: (weight[e], -e))
-    else:
-        region = 0
-        heavy = {}
-        for e in range(1, n):
-            if weight[e] >= NEARLY_ALL * weight[0] and page.holder[e] and not page.furniture[e]:
-                heavy[page.parent[e]] = e
-        while region in heavy:
-            region = heavy[region]
     inside = [False] * n
     inside[region] = True
     for e in range(region + 1, n):

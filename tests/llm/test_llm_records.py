@@ -71,6 +71,28 @@ def test_article_text_under_generated_ids_stays(holder):
     assert html_text.main_text("<body>" + PARTS["menu"] + PARTS["notice"] + holder.format(body) + PARTS["comments"]) == " ".join(want)
 
 
+PARAGRAPHS = [f"Paragraph {i} has a good many words in it, as the paragraphs of an article mostly have, and it goes on for a while." for i in range(8)]
+#: Much text in many tags, under a class that no list knows, without links.
+BITS = '<div class="qx7">' + "".join(f"<div><span>bit</span> <i>no</i> <b>{i}</b> <u>of</u> <em>many</em></div>" for i in range(60)) + "</div>"
+
+
+def test_ratio_chooses_the_region(monkeypatch):
+    """No mark and no known name: the clusters of the ratios decide, and flat ratios give another text."""
+    page = "<body>" + BITS + '<div class="zz9">' + "".join(f"<p>{x}</p>" for x in PARAGRAPHS) + "</div>" + BITS + "</body>"
+    assert html_text.main_text(page) == " ".join(PARAGRAPHS)
+    monkeypatch.setattr(html_text, "_smooth", lambda x: x * 0 + 1)
+    assert html_text.main_text(page) != " ".join(PARAGRAPHS)
+
+
+def test_marks_only_settle_the_edges():
+    """An article mark around or inside the region is followed; one elsewhere is not."""
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    teaser = f"<article><p>{LONG_TEXT}</p></article>"
+    assert html_text.main_text(f"<body>{teaser}<div class=zz9>{body}</div></body>") == " ".join(PARAGRAPHS)
+    assert html_text.main_text(f"<body><div class=zz9><p>Odds</p><article>{body}</article><p>and ends</p></div></body>") == " ".join(PARAGRAPHS)
+    assert html_text.main_text(f"<body><article><p>First.</p><div class=zz9>{body}</div></article><p>Ends</p></body>") == " ".join(["First.", *PARAGRAPHS])
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "<p>deep words</p>" + "</div>" * 2000
     rows = [(1, "u", None), (1, "u", None), (None, None, ""), (2, "u", "no markup at all"), (3, "u", "<p>cut &copy off<p>and <b"),

@@ -27,7 +27,6 @@ that names no node.
 from __future__ import annotations
 
 import json
-import math
 import time
 import uuid
 

@@ -53,8 +53,6 @@ PIECE = 1 << 18
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-
-
 def _shingles(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """The texts with one space between words, and each shingle's text, first and last byte there."""
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))

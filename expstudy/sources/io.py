@@ -203,6 +203,10 @@ def read_prediction_files(spark: SparkSession, root: str, must_contain=("preds",
     One scan of everything below ``root`` whatever the number of names: each row carries its file's
     path, files of other names are dropped by a filter on it, and the places are chosen by a join.
     The columns are those of ``schema``, or of the first matching file; a file without one of them gives NULL.
+
+    The places are the broadcast side, never the rows: Spark guesses the rows' size from their packed
+    files, which may hold millions of like rows in a few MB.  There is one place for each name, less than
+    what the file listing keeps on the driver for every file.
     """
     if schema is None:
         first = prediction_files(spark, root, must_contain).orderBy("name", "path").select("path").first()
@@ -216,4 +220,4 @@ def read_prediction_files(spark: SparkSession, root: str, must_contain=("preds",
     for m in must_contain:
         rows = rows.filter(F.col("name").contains(m))
     chosen = prediction_files(spark, root, must_contain).select("name", "place").distinct()
-    return rows.join(chosen, ["name", "place"]).select("__row.*", F.col("name").alias("filename"), "path")
+    return rows.join(F.broadcast(chosen), ["name", "place"]).select("__row.*", F.col("name").alias("filename"), "path")

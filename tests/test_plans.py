@@ -65,3 +65,24 @@ def test_ingested_experience_split_is_partition_pruning(tmp_path, spark):
     p = plan(train.select("Number_Of_Deaths"))
     assert "PartitionFilters: [isnotnull(Observation_Year" in p and "(Observation_Year#" in p
     assert train.count() == 30 and train.agg(F.max("Observation_Year")).first()[0] == 2015
+
+
+def test_prediction_rows_are_never_the_broadcast_side(tmp_path, spark):
+    """Packed files of millions of like rows look small: the chosen places are broadcast, not the rows."""
+    from expstudy.sources import io as IO
+
+    one = spark.range(2000).selectExpr("1.0D AS actual", "0.5D AS MODEL_PRED")
+    for node in ("a1", "b2"):
+        IO.export_parquet(one.coalesce(1), f"{tmp_path}/{node}/run_test_preds.parquet")
+    df = IO.read_prediction_files(spark, str(tmp_path))
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [" in x]
+    assert "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = IO.read_prediction_files(spark, str(tmp_path))
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [" in x]
+        assert "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0]
+        assert df.groupBy("filename").count().collect() == [("run_test_preds.parquet", 2000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

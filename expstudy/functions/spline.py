@@ -14,6 +14,7 @@ CASE with Horner polynomials, inside whole-stage codegen.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,19 +131,23 @@ class NaturalSpline:
     def columns(self, x: Column) -> list[Column]:
         """One Spark Column per basis column; NULL in, NULL out."""
         breaks, cubic, left, right = self.pieces()
+        return [self._piecewise(x, breaks, *column) for column in zip(cubic, left, right, strict=True)]
+
+    def weighted(self, x: Column, weights: Mapping[int, float]) -> Column:
+        """The sum of the basis columns by ``weights`` (by column number) as one piecewise cubic; NULL in, NULL out."""
+        breaks, *parts = self.pieces()
+        at, w = list(weights), np.array(list(weights.values()))
+        return self._piecewise(x, breaks, *((w @ np.array(part)[at].reshape(len(at), -1)).reshape(np.array(part[0]).shape).tolist()
+                                            for part in parts))
+
+    def _piecewise(self, x: Column, breaks, cubic, left, right) -> Column:
+        """A cubic per interval and a linear piece on either side."""
         b1, b2 = self.boundary
-        out = []
-        for j in range(self.n_columns):
-            v1, s1 = left[j]
-            v2, s2 = right[j]
-            expr = F.when(x.isNull(), F.lit(None).cast("double")).when(x < F.lit(b1), F.lit(v1) + F.lit(s1) * (x - F.lit(b1)))
-            for i, lo in enumerate(breaks):
-                hi = breaks[i + 1] if i + 1 < len(breaks) else b2
-                c0, c1, c2, c3 = cubic[j][i]
-                d = x - F.lit(lo)
-                poly = F.lit(c0) + d * (F.lit(c1) + d * (F.lit(c2) + d * F.lit(c3)))
-                cond = x < F.lit(hi) if i + 1 < len(breaks) else x <= F.lit(hi)
-                expr = expr.when(cond, poly)
-            expr = expr.otherwise(F.lit(v2) + F.lit(s2) * (x - F.lit(b2)))
-            out.append(expr)
-        return out
+        (v1, s1), (v2, s2) = left, right
+        expr = F.when(x.isNull(), F.lit(None).cast("double")).when(x < F.lit(b1), F.lit(v1) + F.lit(s1) * (x - F.lit(b1)))
+        for i, lo in enumerate(breaks):
+            c0, c1, c2, c3 = cubic[i]
+            d = x - F.lit(lo)
+            poly = F.lit(c0) + d * (F.lit(c1) + d * (F.lit(c2) + d * F.lit(c3)))
+            expr = expr.when(x < F.lit(breaks[i + 1]) if i + 1 < len(breaks) else x <= F.lit(b2), poly)
+        return expr.otherwise(F.lit(v2) + F.lit(s2) * (x - F.lit(b2)))

@@ -38,11 +38,20 @@ class GlmModel:
     info: dict = field(default_factory=dict)
 
     def eta(self, df: DataFrame | None = None) -> Column:
-        """Linear predictor without offset; zero coefficients are left out."""
-        expr = F.lit(float(self.intercept))
-        for b, c in zip(self.coefs, self.design.basis(df)):
+        """Linear predictor without offset, an expression for each term; zero coefficients are left out.
+
+        One of a factor's columns at most is not zero, so a CASE chooses its coefficient, and a spline's
+        columns are summed into one cubic per interval.  So the generated code stays small: written column
+        by column it passes what the JVM compiles, and every row is interpreted.
+        """
+        own: dict[Term, list] = {}
+        for b, c in zip(self.coefs, self.design.columns):
             if b != 0.0:
-                expr = expr + F.lit(float(b)) * c
+                own.setdefault(c.term, []).append((c.parts, float(b)))
+        baked = self.design.baked_columns(df)
+        expr = F.lit(float(self.intercept))
+        for term, columns in own.items():
+            expr = expr + _term_sum(term, columns, baked)
         return expr
 
     def predict(self, df: DataFrame, use_offset: bool = True, type: str = "response",
@@ -100,6 +109,46 @@ class GlmModel:
         return [("(Intercept)", float(self.intercept))] + [(n, float(b)) for n, b in zip(self.design.names, self.coefs)]
 
 
+def _term_sum(term: Term, columns: list, baked: dict) -> Column:
+    """The sum of a term's columns, each given as (parts, coefficient); NULL where a number is missing."""
+    kinds = [part[0] for part in columns[0][0]]
+    at = {kind: [i for i, k in enumerate(kinds) if k == kind] for kind in ("num", "lvl", "ns")}
+    expr = _chosen(term, columns, baked, at["lvl"] + at["ns"])
+    if at["lvl"]:  # a missing number is missing at every level
+        for i in at["ns"]:
+            expr = F.when(baked[term.components[i].var].isNotNull(), expr)
+    if at["num"]:
+        first, *more = (baked[term.components[i].var].cast("double") for i in at["num"])
+        for x in more:
+            first = first * x
+        expr = first * expr
+    return expr
+
+
+def _chosen(term: Term, columns: list, baked: dict, places: list[int]) -> Column:
+    """The sum of ``columns`` without their numbers, by the components at ``places``: factors, then splines."""
+    if not places:
+        return F.lit(columns[0][1])
+    i, *rest = places
+    comp, by = term.components[i], {}
+    for parts, b in columns:
+        by.setdefault(parts[i][1], []).append((parts, b))
+    x = baked[comp.var]
+    if isinstance(comp, NS):
+        if not rest:
+            return comp.spline.weighted(x, {j: own[0][1] for j, own in by.items()})
+        basis, out = comp.spline.columns(x), None
+        for j, own in by.items():
+            one = basis[j] * _chosen(term, own, baked, rest)
+            out = one if out is None else out + one
+        return out
+    out = None
+    for level, own in by.items():
+        is_level, value = x == F.lit(level), _chosen(term, own, baked, rest)
+        out = F.when(is_level, value) if out is None else out.when(is_level, value)
+    return out.otherwise(F.lit(0.0))
+
+
 def _comp_to_dict(c) -> dict:
     if isinstance(c, NS):
         return {"var": c.name, "ns": {"knots": list(c.knots), "boundary": list(c.boundary)}}

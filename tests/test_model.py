@@ -392,3 +392,39 @@ def test_assigned_leaves_are_the_case(spark):
     tree = TR.poisson_tree(train, MD.X_VARS, "expected", "actual", max_depth=3, cp=0.0001, min_split=10)
     both = tree.assign_leaves(train).withColumn("by_case", tree.leaf_column(train))
     assert both.where("leaf <> by_case").count() == 0 and both.count() == train.count()
+
+
+# ---------------------------------------------------------------- the predictor's expression
+
+def test_predictor_by_term_equals_the_sum_of_columns_and_compiles(spark):
+    """Every kind of term, missing numbers, rows at and beyond the knots; the JVM compiles methods of up to 8,000 bytes."""
+    from expstudy.operators.design import Cross, Interact
+
+    rec = Recipe({"g": list("ABCDE"), "h": ["x", "y", "z"]}, {"q": (1.0, 50.0), "d": (0.0, 10.0)})
+    ns, other = NS("q", [20, 35], [5, 45]), NS("d", [4], [1, 9])
+    rows = [(g, h, q, d, 2.0, 1.0) for g in "ABCDE" for h in "xyz" for q in (None, -3, 1, 5, 17, 20, 35, 45, 49, 80) for d in (None, 0, 4, 11)]
+    df = spark.createDataFrame(rows, "g string, h string, q int, d int, t double, y double")
+    rng = np.random.default_rng(3)
+    for spec in ([Main("g"), Main("h"), ns, Main("d"), Interact("d", "g")], [Main("g"), ns, Interact("d", "g", "q"), Interact(ns, "h")],
+                 Cross("q", "d") + [Interact(ns, other), Interact("g", "h"), Interact("g", other, "h")]):
+        design = build_design(spec, rec)
+        coefs = [0.0 if i % 5 == 4 else float(b) for i, b in enumerate(rng.normal(size=len(design.names)) * 1e-2)]
+        model = GlmModel(design, -0.7, coefs, "t", "y", ["g", "h", "q", "d"])
+        want = F.lit(-0.7)
+        for b, c in zip(coefs, design.basis(df), strict=True):
+            want = want + F.lit(b) * c if b else want
+        got = df.select(model.eta(df).alias("got"), want.alias("want")).collect()
+        assert sum(r["got"] is None for r in got) > 0
+        for r in got:
+            assert (r["got"] is None) == (r["want"] is None)
+            assert r["got"] is None or math.isclose(r["got"], r["want"], rel_tol=1e-12, abs_tol=1e-13)
+
+    model = GlmModel(build_design(MD.FITTED_TERMS, Recipe({"c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "l_returnflag": list("ANR")},
+                                                          {"quantity": (1.0, 50.0), "discount_pct": (0.0, 10.0)})), -0.7, [], "expected", "actual", MD.X_VARS)
+    model.coefs = [0.01 * (i + 1) for i in range(len(model.design.names))]
+    wide = spark.range(8).selectExpr("if(id > 3, 'BUILDING', 'FURNITURE') AS c_mktsegment", "if(id > 5, 'A', 'N') AS l_returnflag", "int(id) AS quantity",
+                                     "int(id) AS discount_pct", "0.25D AS expected", "1.0D AS actual")
+    plan = model.score(wide)._jdf.queryExecution().executedPlan()
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert sizes and 0 < max(sizes) < 8000
